@@ -22,12 +22,27 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hex_of(found.fp).alias("fingerprint"), "component_id")
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .packing import pack, token_pieces
+
+    pieces = token_pieces(_table(spark, folder, "documents"))
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from .secret_scan import digest, scan
 
     return digest(scan(_table(spark, folder, "documents")))
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from .mixing import mix, words_taken
+
+    return words_taken(mix(_table(spark, folder, "documents")))
+
+
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -37,5 +52,5 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_simhash, op5_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_simhash, op4_packing, op5_secret_scan, op6_mixing, op10_license_scan)}
 ORACLES: dict[str, str] = {}
