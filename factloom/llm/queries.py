@@ -43,6 +43,23 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return words_taken(mix(_table(spark, folder, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = _table(spark, folder, "documents")
+    return score(docs, fit(docs, _table(spark, folder, "labels")))
+
+
+def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .repeats import remove_repeats
+
+    found = remove_repeats(_table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -52,5 +69,5 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_simhash, op4_packing, op5_secret_scan, op6_mixing, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_simhash, op4_packing, op5_secret_scan, op6_mixing, op7_toxicity, op9_repeats, op10_license_scan)}
 ORACLES: dict[str, str] = {}
