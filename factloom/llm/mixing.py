@@ -115,7 +115,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, shard_words: int = 1 << 24, block_words: int = 4096, seed: int = 17) -> DataFrame:
     """One row per document and stretch that a shard takes of it; documents that no shard takes have one row with words 0.
 
-    Columns: doc_id, source, at (place in the source's stream, apart for documents
+    Columns: doc_id, key (of the text), source, at (place in the source's stream, apart for documents
     with words), size, source_size, target, pass, shard, position (order in the
     shard), word_from, words. docs: doc_id, text, source; other columns aren't
     read. Defined results: NULL texts have size 0, and nothing is taken of a
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: f
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
     rows = scratch.table(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("b", F.shiftrightunsigned("h", 52)))
     buckets = scratch.table(rows.groupBy("source", "b").agg(F.sum("size").alias("n")))
     targets = scratch.table(source_targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, cap).withColumn("quota", F.round("target").cast("long")))
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: f
     )
     inner = F.sum("size").over(Window.partitionBy("source", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = rows.withColumn("_in", inner).join(before, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("b") == F.col("_b")))
-    placed = placed.join(small, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "rank", (F.col("_in") + F.col("_before")).alias("at"), "size", "source_size", "target", "quota")
+    placed = placed.join(small, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "key", "source", "rank", (F.col("_in") + F.col("_before")).alias("at"), "size", "source_size", "target", "quota")
     placed = scratch.table(placed)
 
     shards = max(1, -(-total // shard_words))
@@ -169,11 +169,11 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: f
     met = met.filter(F.col("_bin") == F.greatest(F.floor(F.col("a") / width), F.floor(F.col("lo") / width)))
     cut_from = F.greatest("a", "lo")
     taken = met.select(
-        "doc_id", "source", "at", "size", "source_size", "target", "pass", "shard", F.xxhash64(F.lit(seed + 1), "shard", "source", "a").alias("position"),
+        "doc_id", "key", "source", "at", "size", "source_size", "target", "pass", "shard", F.xxhash64(F.lit(seed + 1), "shard", "source", "a").alias("position"),
         (cut_from - F.col("a")).alias("word_from"), (F.least("z", "hi") - cut_from).alias("words"),
     )
     none = placed.filter((F.col("size") == 0) | (F.col("at") >= F.col("quota"))).select(
-        "doc_id", "source", "at", "size", "source_size", "target", F.lit(None).cast("long").alias("pass"), F.lit(None).cast("long").alias("shard"), F.lit(None).cast("long").alias("position"),
+        "doc_id", "key", "source", "at", "size", "source_size", "target", F.lit(None).cast("long").alias("pass"), F.lit(None).cast("long").alias("shard"), F.lit(None).cast("long").alias("position"),
         F.lit(0).cast("long").alias("word_from"), F.lit(0).cast("long").alias("words"),
     )
     return taken.unionByName(none)
@@ -184,3 +184,22 @@ def words_taken(mixed: DataFrame) -> DataFrame:
     some = mixed.filter("size > 0").groupBy("source", "at").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("words").alias("taken"))
     names = ["doc_id", "size", "source_size", "target", "taken"]
     return some.select(*names).unionByName(mixed.filter("size = 0").withColumn("taken", F.col("words")).select(*names))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix with the documents' columns: a document once for each pass that takes it, its text cut to the words taken where a pass ends in it."""
+    scratch = Scratch(docs.sparkSession, "mixed")
+    got = mix(docs, **options).filter("words > 0").groupBy("doc_id", "key", "source", "at", "size", "pass").agg(F.min("word_from").alias("a"), F.sum("words").alias("n"))
+    takes = scratch.table(got.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("source").alias("_s")).agg(F.collect_list(F.struct("a", "n", "size")).alias("_takes")))
+    rows = docs.withColumn("_key", F.xxhash64("text"))
+    # repeated rows share one list of takes
+    if not rows.select("doc_id", "_key", "source").groupBy("doc_id", "_key", "source").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "_key", "source"])
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & F.col("source").cast("string").eqNullSafe(F.col("_s"))
+    out = rows.join(takes, same).withColumn("_take", F.explode("_takes"))
+    cut = F.array_join(F.slice(words(F.col("text")), (F.col("_take.a") + 1).cast("int"), F.col("_take.n").cast("int")), " ")
+    whole = F.col("_take.n") == F.col("_take.size")
+    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)

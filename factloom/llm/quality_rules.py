@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch, broadcast_if_small
 
-from .text import words
+from .text import fenced, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -49,7 +49,7 @@ RULES = (
 
 
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measured columns; NULL counts as a text without words.
+    """The measured columns in place of the text; NULL counts as a text without words.
 
     The repeated words of a text are those in three-word windows whose hash (64
     bits over the three words) occurs twice or more in it; windows are sorted
@@ -84,7 +84,7 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, p: F.struct(p.alias("p"), (a["n"] + F.least(F.lit(3), p - a["p"])).alias("n")),
         lambda a: a["n"],
     )
-    return base.withColumn("n_repeat_words", F.when(s.isNotNull(), covered).otherwise(F.lit(0).cast("long"))).drop("_s")
+    return fenced(base.withColumn("n_repeat_words", F.when(s.isNotNull(), covered).otherwise(F.lit(0).cast("long"))).drop("_s", text))
 
 
 def _log_gamma(z: str) -> str:
@@ -129,6 +129,36 @@ def choose_cutoffs(measured: DataFrame, stratum: str, good: str, alpha: float, d
     )
 
 
+def _measured(docs: DataFrame, min_words: int, max_repeat_percent: int) -> DataFrame:
+    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    return signals(docs).withColumn("base_failed", base)
+
+
+def _fit(feats: DataFrame, labels: DataFrame, alpha: float, delta: float, rules: tuple[Rule, ...], scratch: Scratch) -> DataFrame:
+    marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    held = scratch.table(feats.join(marks.filter("good"), "doc_id").filter(~F.col("base_failed")))
+    cut = scratch.table(choose_cutoffs(held, "stratum", "good", alpha, delta, rules))
+    scratch.drop(held)
+    return cut
+
+
+def _judged(feats: DataFrame, cut: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Adds rejected_by to measured rows with a stratum; cutoffs are few and broadcast, or joined by shuffle beyond 10,000 rows."""
+    wide = cut.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}") for r in rules])
+    wide = broadcast_if_small(wide.withColumnRenamed("stratum", "_stratum"), cut.count())
+    scored = feats.join(wide, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    failed = F.array_compact(F.array(*[F.when(F.expr(f"cast({r.signal} as double)") > F.col(f"cut_{r.name}"), F.lit(r.name)) for r in rules]))
+    return scored.withColumn("rejected_by", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(failed))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """The documents' rows, all columns, that apply_rules keeps. Texts are measured twice and never shuffled."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    cut = _fit(_measured(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text"), min_words, max_repeat_percent), labels, alpha, delta, rules, scratch)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(stratum).cast("string").alias("stratum"), "text")
+    return _judged(_measured(rows, min_words, max_repeat_percent), cut, rules).filter(F.size("rejected_by") == 0).select("row.*")
+
+
 def apply_rules(
     docs: DataFrame,
     labels: DataFrame,
@@ -150,20 +180,9 @@ def apply_rules(
     results; an empty table gives an empty result; a stratum with too few good
     labelled documents gets no cutoff, so that only the base rules act there.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
-    feats = scratch.table(signals(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text")).drop("text"))
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    feats = feats.withColumn("base_failed", base)
-    marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    held = scratch.table(feats.join(marks.filter("good"), "doc_id").filter(~F.col("base_failed")))
-    cut = scratch.table(choose_cutoffs(held, "stratum", "good", alpha, delta, rules))
-    wide = cut.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}") for r in rules])
-    wide = broadcast_if_small(wide.withColumnRenamed("stratum", "_stratum"), cut.count())
-    scratch.drop(held)
-    scored = feats.join(wide, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
-    failed = F.array_compact(F.array(*[F.when(F.expr(f"cast({r.signal} as double)") > F.col(f"cut_{r.name}"), F.lit(r.name)) for r in rules]))
-    scored = scored.withColumn("rejected_by", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(failed))
-    return scored.select(
+    scratch = Scratch(docs.sparkSession, "quality")
+    feats = scratch.table(_measured(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text"), min_words, max_repeat_percent))
+    cut = _fit(feats, labels, alpha, delta, rules, scratch)
+    return _judged(feats, cut, rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.size("rejected_by") == 0).alias("kept"), F.array_join("rejected_by", ",").alias("rejected_by")
     )

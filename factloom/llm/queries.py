@@ -15,6 +15,13 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return apply_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    from .lm_score import fit, score
+
+    docs = _table(spark, folder, "documents")
+    return score(docs, fit(docs, _table(spark, folder, "labels")))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from .simhash import hex_of, near_duplicates
 
@@ -50,6 +57,16 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, folder, "labels")))
 
 
+def op8_audio(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables hold no audio: each embedding is rendered as a recording, and every 20th is searched for among all."""
+    from pyspark.sql import functions as F
+
+    from .audio import align, fingerprint_column, render_vector
+
+    media = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("rec_id"), F.col("embedding").alias("media"))
+    return align(fingerprint_column(media, render_vector()), F.col("rec_id") % 20 == 0)
+
+
 def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -69,5 +86,5 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_simhash, op4_packing, op5_secret_scan, op6_mixing, op7_toxicity, op9_repeats, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_score, op3_simhash, op4_packing, op5_secret_scan, op6_mixing, op7_toxicity, op8_audio, op9_repeats, op10_license_scan)}
 ORACLES: dict[str, str] = {}

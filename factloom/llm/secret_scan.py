@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.scratch import Scratch
+from factloom.scratch import Scratch, broadcast_if_small
 
 #: kind, pattern, group whose length counts, its least length; in the order in which kinds are listed.
 BASE = (
@@ -129,3 +129,21 @@ def redact(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
         lambda a: F.array_join(F.concat(a["out"], F.array(text.substr(a["at"] + 1, F.greatest(F.length(text) - a["at"], F.lit(0))))), mask),
     )
     return F.when(F.size(spans) == 0, text).otherwise(walked)
+
+
+def redact_secrets(docs: DataFrame, *, reach: int = 160, mask: str = "[REDACTED]") -> DataFrame:
+    """The documents' rows, all columns, with every span in text masked and n_chars, where there is one, set anew.
+
+    Only the texts with spans are changed. Their spans are broadcast if they are
+    of few texts, and joined by a shuffle of all texts otherwise.
+    """
+    scratch = Scratch(docs.sparkSession, "redact")
+    found = scan(docs, reach=reach).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.concat("base", "linked").alias("_spans")).filter(F.size("_spans") > 0)
+    found = scratch.table(found.dropDuplicates(["_d", "_k"]))
+    few = broadcast_if_small(found, found.count())
+    text = F.coalesce("text", F.lit(""))
+    out = docs.withColumn("_key", F.xxhash64(text, F.length(text))).join(few, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    out = out.withColumn("text", F.when(F.col("_spans").isNotNull(), redact(F.col("text"), F.col("_spans"), mask)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -54,15 +54,15 @@ def fingerprint_of(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): A-Z lower-cased, words between ASCII white space; NULL and texts without words have 0."""
+    """(doc_id, key, fp): A-Z lower-cased, words between ASCII white space; NULL and texts without words have 0. key tells apart texts of one doc_id."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint_of(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            values = np.fromiter((fingerprint_of(x.as_py(), shingle) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["doc_id", "key", "fp"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("t"))
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("t"))
+    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, fp long")
 
 
 def _bits(mask: int, fp: Column) -> Column:
@@ -288,7 +288,7 @@ def links(distinct: DataFrame, scratch: Scratch, *, radius: int = 2, blocks: int
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 2, shingle: int = 3, blocks: int = 5, dense: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id (smallest doc_id that links reach).
+    """One row per document: doc_id, key (of its text), fp (long), root (of its component), component_id (smallest doc_id that links reach).
 
     docs: doc_id, text; other columns aren't read. Defined results: NULL and empty
     texts have fingerprint 0 and are linked like any other; repeated rows give
@@ -301,8 +301,21 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, shingle: int = 3, block
     roots = connected_components(links(distinct.select("fp"), scratch, radius=radius, blocks=blocks, dense=dense), scratch)
     tied = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = tied.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = tied.select("fp", "root").join(least, "root")
+    return marked.join(of, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The documents' rows, all columns, one of each component: that of the smallest doc_id (NULL last), then of the least text key."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    marked = scratch.table(near_duplicates(docs, **options).select("doc_id", "key", "root"))
+    first = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("x"))
+    heads = scratch.table(first.select(F.col("x.doc_id").alias("_d"), F.col("x.key").alias("_k")))
+    again = marked.groupBy("doc_id", "key").count().filter("count > 1").isEmpty()
+    scratch.drop(marked)
+    kept = docs.withColumn("_key", F.xxhash64("text")).join(heads, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi")
+    kept = kept if again else kept.dropDuplicates(["doc_id", "_key"])
+    return kept.select(*docs.columns)
 
 
 def hex_of(fp: Column) -> Column:
