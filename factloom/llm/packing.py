@@ -29,42 +29,43 @@ from factloom.scratch import Scratch
 _encoders: dict[str, _Encoder] = {}
 
 
-class _Encoder(dict):
-    """Token ids, as little-endian bytes, of the chunks of a text between single spaces.
+#: Fixed value: how byte-level BPE splits a text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    Byte-level BPE splits a text before a space that stands alone between two
-    other characters, so that these chunks, each with its space, are encoded
-    apart. Chunks are remembered; the memory is emptied when it is full.
-    """
 
-    LIMIT = 400_000
+class _Encoder:
+    """Token ids of texts, as little-endian bytes, by the tokenizer of a file.
+
+    A plain byte-level BPE is merged by tiktoken, which gives the same ids several
+    times as fast; other tokenizers, and texts that hold an added token's string,
+    take the tokenizers library.
+    """
 
     def __init__(self, path: str):
-        import re
+        import json
 
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.odd = re.compile(r" \s|\s ").search
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.tokenizer, self.fast = Tokenizer.from_file(path), None
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.added = [t["content"] for t in told.get("added_tokens") or []]
+        split = told.get("pre_tokenizer") or {}
+        if told["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not told.get("normalizer"):
+            import tiktoken
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        out = self.whole(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            rest = [b for b in range(256) if b not in set(plain)]
+            letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+            ranks = {bytes(letters[c] for c in w): i for w, i in told["model"]["vocab"].items() if w not in set(self.added)}
+            self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.odd(text) or text[0] == " ":
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + x] for x in rest])
+        if self.fast is None or any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def default_tokenizer() -> str:
