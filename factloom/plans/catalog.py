@@ -1,10 +1,760 @@
-"""The queries over the test tables and their SQL twins."""
+"""The queries over the test tables and their SQL twins.
+
+Every query applies a library function to whole tables. Arrays are given as
+joined strings, so that both engines hash the same values.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import paths, text
+from factloom.operators import candidates, graph, pages, planning, profile, quality, relations, resolve, runs, search, slugs
+from factloom.sources import extract, facts, manifests
+from factloom.streaming import history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return f(Tables(spark, folder))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def joined(c: str, sep: str = ","):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), sep)
+
+
+def _quoted(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+# ---- planning
+
+_PLAN_SQL = """
+with d as (select d.doc_id, (length(text) + 3) // 4 as estimated_tokens, case when quality = 1 then 'detailed' when quality = 0 then 'aggregate' else 'test' end as role,
+    len(string_split(text, chr(10))) as entity_count, (length(text) + 3) // 800 as dependency_count from documents d left join labels l using (doc_id)),
+o as (select bool_or(role <> 'test') as others from d),
+p as (select d.*, case when role = 'test' and others then 'skip' when role = 'detailed' then 'full' else 'summary' end as explain_mode,
+    case when role = 'test' then 'low' when role = 'detailed' then case when entity_count >= 20 or dependency_count >= 10 then 'high' else 'medium' end
+         when entity_count >= 5 then 'medium' else 'low' end as priority from d, o)
+select doc_id, role, entity_count::bigint as entity_count, dependency_count::bigint as dependency_count, estimated_tokens::bigint as estimated_tokens,
+    case when estimated_tokens > 1000 then 'over_limit' when estimated_tokens >= 800 then 'near_limit' else 'ok' end as budget_status, priority, explain_mode,
+    (case explain_mode when 'skip' then 0 when 'summary' then least(4000, 900 + entity_count * 10 + dependency_count * 8) else least(4000, 1400 + entity_count * 16 + dependency_count * 12) end)::bigint as estimated_output_tokens
+from p"""
+
+
+def _plan(t: Tables) -> DataFrame:
+    docs = t.documents.join(t.labels, "doc_id", "left")
+    n = text.tokens(F.col("text"))
+    rows = docs.select(
+        "doc_id", F.when(F.col("quality") == 1, "detailed").when(F.col("quality") == 0, "aggregate").otherwise("test").alias("role"),
+        F.size(F.split("text", "\n")).cast("long").alias("entity_count"), F.floor((F.length("text") + 3) / 800).alias("dependency_count"), n.alias("estimated_tokens"),
+    )
+    out = planning.plan_modules(rows.withColumn("budget_status", text.budget_status(F.col("estimated_tokens"), 1000)))
+    return out.select("doc_id", "role", "entity_count", "dependency_count", "estimated_tokens", "budget_status", "priority", "explain_mode", "estimated_output_tokens")
+
+
+@query(_PLAN_SQL)
+def plan_priority(t):
+    return _plan(t)
+
+
+@query(f"select * from ({_PLAN_SQL}) where explain_mode <> 'skip' order by case priority when 'high' then 1 when 'medium' then 2 else 3 end, case explain_mode when 'full' then 1 when 'summary' then 2 else 3 end, case role when 'detailed' then 1 when 'aggregate' then 2 else 4 end, lpad(doc_id::varchar, 12, '0') limit 25")
+def plan_selection(t):
+    chosen, _ = planning.select_modules(_plan(t).withColumn("name", F.lpad(F.col("doc_id").cast("string"), 12, "0")), limit=25)
+    return chosen.drop("name")
+
+
+@query("""with t as (select doc_id, (length(text) + 3) // 4 as n from documents)
+select doc_id, n::bigint as estimated_tokens, (n + greatest(512, (n * 35 + 99) // 100))::bigint as tokens_with_margin, case when n > 1000 then 'over_limit' when n >= 800 then 'near_limit' else 'ok' end as budget_status from t""")
+def token_budget(t):
+    return planning.token_budget(t.documents, "text", 1000).select("doc_id", "estimated_tokens", "tokens_with_margin", "budget_status")
+
+
+@query("""with h as (select doc_id, text, substr(text, 1, 1000) as head from documents)
+select doc_id, sha256(case when length(text) <= 1000 then text else regexp_replace(case when contains(head, chr(10)) then regexp_replace(head, '\\n[^\\n]*\\z', '') else head end, '[ \\t\\n\\x0B\\f\\r]+\\z', '') || chr(10) || chr(10) || '[truncated]' end) as cut from h""")
+def truncate_context(t):
+    return t.documents.select("doc_id", text.fingerprint(text.truncated(F.col("text"), 1000)).alias("cut"))
+
+
+@query("""with c as (select conv_id, list({'pos': turn, 'size': (length(text) + 3) // 4} order by turn, (length(text) + 3) // 4) as items from conversations group by 1),
+k as (select conv_id, items, list_reduce(list_prepend({'used': 0::bigint, 'kept': []::bigint[], 'pos': 0::bigint, 'size': 0::bigint}, list_transform(items, lambda x: {'used': 0::bigint, 'kept': []::bigint[], 'pos': x.pos, 'size': x.size})),
+    lambda a, x: case when a.used + x.size <= 300 then {'used': a.used + x.size, 'kept': list_append(a.kept, x.pos), 'pos': 0::bigint, 'size': 0::bigint} else a end).kept as kept from c)
+select conv_id, array_to_string(kept, ',') as kept, coalesce(array_to_string(list_sort(list_filter(list_transform(items, lambda x: x.pos), lambda p: not list_contains(kept, p))), ','), '') as dropped from k""")
+def greedy_budget(t):
+    out = planning.reduce_context(t.conversations, "conv_id", "turn", "text", 300)
+    return out.select("conv_id", joined("kept").alias("kept"), joined("dropped").alias("dropped"))
+
+
+@query("""select user_id, event_id, coalesce(sum(case event_type when 'signup' then 1 when 'purchase' then -1 else 0 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0)::bigint as depth from events""")
+def running_depth(t):
+    e = t.events.withColumn("k", F.struct("ts", "event_id"))
+    delta = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", -1).otherwise(0)
+    return planning.running_depth(e, "user_id", "k", delta).select("user_id", "event_id", "depth")
+
+
+@query("""select page_id, n, coalesce(sum(d) over (partition by page_id order by n rows between unbounded preceding and 1 preceding), 0)::bigint as depth from (
+select page_id, n, (length(regexp_replace(line, '//.*$', '')) - length(replace(regexp_replace(line, '//.*$', ''), '{', ''))) - (length(regexp_replace(line, '//.*$', '')) - length(replace(regexp_replace(line, '//.*$', ''), '}', ''))) as d
+from (select page_id, generate_subscripts(l, 1) as n, unnest(l) as line from (select page_id, string_split(html, '<') as l from pages)))""")
+def brace_depth(t):
+    lines = t.pages.select("page_id", F.posexplode(F.split("html", "<")).alias("n", "line")).withColumn("n", F.col("n") + 1)
+    return planning.running_depth(lines, "page_id", "n", text.brace_delta(F.col("line"))).select("page_id", F.col("n").cast("long"), "depth")
+
+
+@query("""select conv_id, turn, role, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as last_user_turn from conversations""")
+def carried_forward(t):
+    return planning.carried_forward(t.conversations, "conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")), "last_user_turn").select("conv_id", "turn", "role", "last_user_turn")
+
+
+@query("""select conv_id, role as heading, sha256(string_agg(text, chr(10) order by turn)) as body from conversations group by 1, 2""")
+def section_split(t):
+    turn = F.concat(F.lit("## "), F.col("role"), F.lit("\n"), F.col("text"))
+    whole = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("x")))).alias("t")).select("conv_id", F.array_join(F.transform("t", lambda x: x["x"]), "\n").alias("text"))
+    out = planning.markdown_sections(whole, "conv_id", "text")
+    return out.select("conv_id", "heading", text.fingerprint(F.col("body")).alias("body"))
+
+
+@query("""select o_custkey, o_orderkey, o_orderpriority, rank from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 3""")
+def top_n_entities(t):
+    out = planning.top_n(t.orders, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3)
+    return out.select("o_custkey", "o_orderkey", "o_orderpriority", F.col("rank").cast("long"))
+
+
+@query("""with e as (select ps.p_name as name, ps.p_brand as file, ps.p_size as line_start, case when p_size % 3 = 0 then true when p_size % 3 = 1 then false end as exported, case p_size % 4 when 0 then 'high' when 1 then 'medium' when 2 then 'low' end as confidence,
+ case p_partkey % 3 when 0 then 'class' when 1 then 'function' else 'method' end as entity_type, p_partkey from part ps)
+select file, name, p_partkey, rank from (select *, row_number() over (partition by file order by coalesce(exported, false) desc, case confidence when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 9 end, case entity_type when 'class' then 1 when 'function' then 2 else 3 end, file, line_start, name || lpad(p_partkey::varchar, 9, '0')) as rank from e) where rank <= 15""")
+def key_entities(t):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    rows = t.part.select(
+        F.concat("p_name", F.lpad(key.cast("string"), 9, "0")).alias("name"), F.col("p_name"), F.col("p_brand").alias("file"), size.alias("line_start"), F.when(size % 3 == 0, True).when(size % 3 == 1, False).alias("exported"),
+        F.when(size % 4 == 0, "high").when(size % 4 == 1, "medium").when(size % 4 == 2, "low").alias("confidence"), F.when(key % 3 == 0, "class").when(key % 3 == 1, "function").otherwise("method").alias("entity_type"), key,
+    )
+    return planning.top_entities(rows, "file", 15).select("file", F.col("p_name").alias("name"), "p_partkey", F.col("rank").cast("long"))
+
+
+# ---- paths
+
+_DIRS = ("src", "tests", "docs", "config", "assets/img", "lib/fixtures", "bin", "pkg.egg-info", "src/utils/spec", ".docgen-analysis/x")
+_EXTS = (".py", ".ts", ".json", ".md", ".png", ".yaml", ".test.js", ".bin", "", ".cfg")
+_STEMS = ("main", "test_core", "index", "setup", "readme", "x_test", "package", "settings", "Dockerfile", "cli")
+_PATHS_SQL = f"""p0 as (select p_partkey, ([{_quoted(_DIRS)}])[p_partkey % 10 + 1] || '/' || ([{_quoted(_STEMS)}])[p_partkey // 100 % 10 + 1] || ([{_quoted(_EXTS)}])[p_partkey // 10 % 10 + 1] as path from part),
+p1 as (select *, string_split(path, '/') as parts, list_last(string_split(path, '/')) as name from p0),
+p2 as (select *, lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) as extension, list_transform(parts, lambda x: lower(x)) as low, lower(name) as lname from p1),
+p3 as (select *, lower(left(name, length(name) - length(extension))) as lstem, list_slice(low, 1, len(low) - 1) as above from p2),
+p4 as (select *, (list_has_any(low, ['tests', '__tests__', 'spec']) and not list_has_any(low, ['fixtures', 'fixture'])) or starts_with(lname, 'test_') or ends_with(lstem, '_test') or contains(lname, '.test.') or contains(lname, '.spec.') as is_test,
+  lname in ({_quoted(paths.CONFIG_NAMES)}) or starts_with(lname, '.env') or regexp_matches(lname, '\\.config\\.(js|cjs|mjs|ts)$') or (list_contains(above, 'config') and extension in ({_quoted(paths.CONFIG_EXTENSIONS)})) as is_config from p3)"""
+
+
+def _paths(t: Tables) -> DataFrame:
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i.cast("int") + 1)
+    key = F.col("p_partkey")
+    return t.part.select("p_partkey", F.concat(pick(_DIRS, key % 10), F.lit("/"), pick(_STEMS, F.floor(key / 100) % 10), pick(_EXTS, F.floor(key / 10) % 10)).alias("path"))
+
+
+@query(f"""with {_PATHS_SQL}
+select p_partkey, path, extension, is_test, is_config,
+ case when is_test then 'test' when is_config then 'config' when extension in ({_quoted(paths.SOURCE_LANGUAGES)}) then 'source' when extension in ({_quoted(paths.DOC_EXTENSIONS)}) or list_contains(low, 'docs') then 'doc'
+  when extension in ({_quoted(paths.ASSET_EXTENSIONS)}) or list_has_any(above, ['assets', 'static', 'public']) then 'asset' else 'unknown' end as file_type,
+ (lname in ({_quoted(paths.ENTRYPOINT_NAMES)}) and (len(low) = 1 or low[1] in ('src', 'app', 'bin', 'scripts') or lname in ('__main__.py', 'manage.py', 'cli.py'))) or (extension in ({_quoted(paths.SOURCE_LANGUAGES)}) and len(low) >= 2 and low[1] in ('bin', 'scripts')) as is_possible_entrypoint
+from p4""")
+def path_classify(t):
+    return paths.classify(_paths(t)).select("p_partkey", "path", "extension", "is_test", "is_config", "file_type", "is_possible_entrypoint")
+
+
+@query(f"""with {_PATHS_SQL}
+select p_partkey, path, case when list_bool_or(list_transform(low, lambda x: ends_with(x, '.egg-info'))) then 'packaging_metadata'
+  when lname in ({_quoted(paths.GENERATED_NAMES)}) or list_bool_or(list_transform(low, lambda x: starts_with(x, '.docgen-analysis'))) then 'generated'
+  when regexp_matches(lower(path) || '/', 'tests/fixtures/|testdata/|fixtures/|samples/|sample_project/') then 'fixture' end as artifact_role,
+ case {" ".join(f"when extension = '{k}' then '{v}'" for k, v in {**paths.SOURCE_LANGUAGES, **paths.OTHER_LANGUAGES}.items())} when name in ('Dockerfile', 'Makefile') then lower(name) else 'unknown' end as language,
+ case when len(parts) > 1 then array_to_string(list_slice(parts, 1, len(parts) - 1), '/') else '.' end as parent, len(parts)::int as depth
+from p4""")
+def path_roles(t):
+    p = F.col("path")
+    return _paths(t).select("p_partkey", "path", paths.artifact_role(p).alias("artifact_role"), paths.language(p).alias("language"), paths.parent(p).alias("parent"), paths.depth(p).alias("depth"))
+
+
+@query(f"""with {_PATHS_SQL}
+select p_partkey, regexp_replace(regexp_replace(regexp_replace(lstem, '\\.(test|spec)$', ''), '^test_', ''), '_test$', '') as stem, replace(regexp_replace(path, '((^|/)__init__)?\\.[^./]+$', ''), '/', '.') as module, regexp_replace(path, '^[./]+', '') as doc_path from p4""")
+def path_stems(t):
+    p = F.col("path")
+    return _paths(t).select("p_partkey", paths.normalized_stem(p).alias("stem"), paths.python_module(p).alias("module"), paths.strip_doc_prefix(p).alias("doc_path"))
+
+
+@query(f"""with {_PATHS_SQL}, t as (select distinct path, unnest(['src', 'tests', 'build', 'node_modules', 'pkg.egg-info', 'Docgen-Smoke-1', '.venv', 'lib']) as dir from p4)
+select dir, count(*) as n, bool_or(lower(dir) in ({_quoted(paths.IGNORED_DIRECTORIES)}) or starts_with(lower(dir), '.docgen-analysis') or starts_with(lower(dir), 'docgen-smoke') or ends_with(lower(dir), '.egg-info')) as ignored from t group by 1""")
+def pruned_directories(t):
+    names = F.explode(F.array(*[F.lit(x) for x in ("src", "tests", "build", "node_modules", "pkg.egg-info", "Docgen-Smoke-1", ".venv", "lib")]))
+    rows = _paths(t).select("path").distinct().withColumn("dir", names)
+    return rows.groupBy("dir").agg(F.count("*").alias("n"), F.bool_or(paths.is_ignored_directory(F.col("dir"))).alias("ignored"))
+
+
+_URL_SQL = "u as (select page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') as path from pages), s as (select page_id, path, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from u)"
+
+
+def _urls(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("path"))
+
+
+@query(f"with {_URL_SQL}, a as (select page_id, array_to_string(list_slice(parts, 1, unnest(range(1, len(parts)))), '/') as directory from s) select directory, count(*) as n from a group by 1")
+def subtree_counts(t):
+    return resolve.subtree_counts(_urls(t))
+
+
+@query(f"""with {_URL_SQL}, a as (select page_id, i, array_to_string(list_slice(parts, 1, i), '/') as root from (select page_id, parts, unnest(range(1, len(parts))) as i from s)),
+r as (select root from a group by 1 having count(*) >= 3)
+select page_id, path, (select max_by(a.root, a.i) from a join r using (root) where a.page_id = s.page_id) as root from s""")
+def nearest_root(t):
+    roots = resolve.subtree_counts(_urls(t)).filter("n >= 3").select(F.col("directory").alias("root"))
+    return resolve.nearest_root(_urls(t), roots, ["page_id"]).select("page_id", "path", "root")
+
+
+# ---- joins
+
+@query("select page_id, href, count(*) as n from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) group by 1, 2")
+def link_edges(t):
+    return extract.links(t.pages).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query("""select case when href like '/%' or href like '.%' then 'internal' when regexp_matches(href, '^https?:') then 'third_party' when href <> '' then 'unresolved' else 'unknown' end as dependency_type, count(*) as n
+from (select unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) group by 1""")
+def link_type_counts(t):
+    h = F.col("href")
+    kind = F.when(h.rlike("^[/.]"), "internal").when(h.rlike("^https?:"), "third_party").when(h != "", "unresolved").otherwise("unknown")
+    return profile.histogram(extract.links(t.pages).select(kind.alias("dependency_type")), "dependency_type")
+
+
+@query("select p_partkey, max(l_suppkey) as l_suppkey from part left join lineitem on p_partkey = l_partkey group by 1")
+def module_lookup(t):
+    return resolve.lookup(t.part.select("p_partkey"), t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_suppkey"), "p_partkey", "l_suppkey")
+
+
+@query("""with d as (select distinct l_partkey, l_suppkey from lineitem) select p_partkey, coalesce(string_agg(s_name, ',' order by s_name), '') as suppliers from part left join d on p_partkey = l_partkey left join supplier on l_suppkey = s_suppkey group by 1""")
+def dependency_match_array(t):
+    declared = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct().join(t.supplier, "s_suppkey")
+    out = resolve.matched_arrays(t.part.select("p_partkey"), declared, ["p_partkey"], ["s_name"])
+    return out.select("p_partkey", F.coalesce(F.array_join(F.transform("matched", lambda x: x["s_name"]), ","), F.lit("")).alias("suppliers"))
+
+
+@query("""with e as (select distinct p_type as path from part where p_size < 4 union select distinct p_brand from part where p_size > 25)
+select p_partkey, case when exists (select 1 from e where path = p_name || '/index') then p_name || '/index' when exists (select 1 from e where path = p_type) then p_type when exists (select 1 from e where path = p_brand) then p_brand end as resolved from part""")
+def first_existing_candidate(t):
+    part = t.part
+    existing = part.filter("p_size < 4").select(F.col("p_type").alias("path")).union(part.filter("p_size > 25").select("p_brand"))
+    return resolve.first_candidate(part, F.array(F.concat("p_name", F.lit("/index")), "p_type", "p_brand"), existing, ["p_partkey"]).select("p_partkey", "resolved")
+
+
+@query("""select o_orderkey, c_custkey as source, n_nationkey as target from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where c_mktsegment = 'BUILDING' and n_regionkey = 1""")
+def star_relation(t):
+    edges = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_custkey").alias("source"), F.col("c_nationkey").alias("target"))
+    left = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("source"))
+    return relations.star(edges, left, t.nation.filter("n_regionkey = 1").select(F.col("n_nationkey").alias("target"))).select("o_orderkey", "source", "target")
+
+
+@query("""with r as (select p_name, p_brand, any_value(p_partkey) as target from part where p_size <= 10 group by 1, 2 having count(*) = 1) select p_partkey, target from part join r using (p_name, p_brand)""")
+def unique_stem_match(t):
+    right = t.part.filter("p_size <= 10").select("p_name", "p_brand", F.col("p_partkey").alias("target"))
+    return relations.unique_matches(t.part, right, ["p_name", "p_brand"]).select("p_partkey", "target")
+
+
+@query("select l_partkey, string_agg(distinct l_orderkey::varchar, ',' order by l_orderkey::varchar) as orders from lineitem group by 1")
+def inverted_index(t):
+    arrays = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("order")).agg(F.collect_list("l_partkey").alias("parts"))
+    return relations.inverted(arrays, "parts", "order", "l_partkey").select("l_partkey", joined("orders").alias("orders"))
+
+
+@query("""with e as (select distinct l_partkey as s, l_partkey // 3 as r from lineitem), m as (select p_partkey as f, p_brand as module from part)
+select a.module, e.s as source_file, e.r as resolved_file, string_agg(distinct b.module, ',' order by b.module) as modules, count(distinct b.module) > 1 as ambiguous
+from e join m a on a.f = e.s join m b on b.f = e.r where a.module <> b.module group by 1, 2, 3""")
+def related_rows(t):
+    edges = t.lineitem.select(F.col("l_partkey").alias("source_file"), F.expr("l_partkey div 3").alias("resolved_file")).distinct()
+    out = relations.related_modules(edges, t.part.select(F.col("p_brand").alias("module"), F.col("p_partkey").alias("file")))
+    return out.select("module", "source_file", "resolved_file", joined("modules").alias("modules"), "ambiguous")
+
+
+@query("select p_brand as module, count(l_partkey) as n from part left join lineitem on l_partkey = p_partkey group by 1")
+def membership_counts(t):
+    return relations.membership_counts(t.lineitem.select(F.col("l_partkey").alias("file")), t.part.select(F.col("p_brand").alias("module"), F.col("p_partkey").alias("file")))
+
+
+@query("select c_custkey, exists (select 1 from orders where o_custkey = c_custkey and year(o_orderdate) = 1995) as present from customer")
+def membership_split(t):
+    have = t.orders.filter("year(o_orderdate) = 1995").select(F.col("o_custkey").alias("c_custkey"))
+    yes, no = relations.split_by_presence(t.customer.select("c_custkey"), have, ["c_custkey"])
+    return yes.withColumn("present", F.lit(True)).unionByName(no.withColumn("present", F.lit(False)))
+
+
+@query("select count(*) as missing, count(*) >= 3 as stale from documents where doc_id not in (select doc_id from labels)")
+def missing_anti(t):
+    return quality.consistency(t.documents.select(F.col("doc_id").alias("file")), t.labels.select(F.col("doc_id").alias("file")))
+
+
+@query("select d.doc_id as file, l.quality, l.doc_id is null as mismatch from documents d left join labels l using (doc_id) where l.doc_id is not null or d.lang <> 'en'")
+def documented_files(t):
+    members = t.documents.select(F.col("doc_id").alias("file"))
+    docs = t.labels.select(F.col("doc_id").alias("file"), F.col("quality").alias("doc_path"))
+    return relations.documented(members, docs, t.documents.filter("lang <> 'en'").select(F.col("doc_id").alias("file"))).select("file", F.col("doc_path").alias("quality"), "mismatch")
+
+
+@query("""select d.doc_id as file, l.quality, l.doc_id is not null as has_page, d.lang from documents d left join labels l using (doc_id)""")
+def files_left_anti_union(t):
+    docs = t.documents.select(F.col("doc_id").alias("path"), "lang")
+    out = relations.files_index(t.labels.select(F.col("doc_id").alias("file"), "quality"), t.documents.select(F.col("doc_id").alias("file")), docs)
+    return out.select("file", "quality", "has_page", "lang")
+
+
+@query("select l_partkey as file, count(*) as entity_count, count(*) filter (l_returnflag = 'R') as import_count from lineitem group by 1")
+def file_counts(t):
+    items = t.lineitem
+    return pages.file_counts(items.select(F.col("l_partkey").alias("file")), items.filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("source_file")))
+
+
+@query("select count(*) as n from (select distinct l_partkey as a, l_suppkey as b from lineitem) where a % 2 = 0 and b % 3 = 0")
+def internal_edges(t):
+    edges = t.lineitem.select(F.col("l_partkey").alias("source_file"), F.col("l_suppkey").alias("resolved_file")).distinct()
+    evens = t.part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("file"))
+    thirds = t.supplier.filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("file"))
+    both = profile.internal_edges_within(edges, evens.unionByName(thirds)).join(evens.withColumnRenamed("file", "source_file"), "source_file", "left_semi").join(thirds.withColumnRenamed("file", "resolved_file"), "resolved_file", "left_semi")
+    return both.agg(F.count("*").alias("n"))
+
+
+# ---- runs
+
+_RUN_SQL = """a as (select o_custkey, count(*) as n, max(o_orderpriority) as p from orders where year(o_orderdate) = 1997 group by 1), b as (select o_custkey, count(*) as n, max(o_orderpriority) as p from orders where year(o_orderdate) = 1998 group by 1),
+d as (select coalesce(a.o_custkey, b.o_custkey) as o_custkey, case when a.n is null then 'added' when b.n is null then 'removed' when a.p <> b.p or a.n <> b.n then 'changed' else 'unchanged' end as change_status,
+ case when a.n is null then 'module_added' when b.n is null then 'module_removed' else concat_ws(',', case when a.p <> b.p then 'p' end, case when a.n <> b.n then 'usage.n' end) end as changed_fields, (coalesce(b.n, 0) - coalesce(a.n, 0))::bigint as n_delta
+ from a full join b on a.o_custkey = b.o_custkey)"""
+
+
+def _run_diff(t: Tables) -> DataFrame:
+    per = lambda y: t.orders.filter(F.year("o_orderdate") == y).groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("p"))
+    return runs.diff_runs(per(1997), per(1998), "o_custkey", ["p"], ["n"])
+
+
+@query(f"with {_RUN_SQL} select * from d")
+def run_diff_full_outer(t):
+    return _run_diff(t).select("o_custkey", "change_status", joined("changed_fields").alias("changed_fields"), "n_delta")
+
+
+@query(f"with {_RUN_SQL} select count(*) filter (change_status = 'added') as modules_added_count, count(*) filter (change_status = 'removed') as modules_removed_count, count(*) filter (change_status = 'changed') as modules_changed_count, count(*) filter (change_status = 'unchanged') as modules_unchanged_count from d")
+def run_diff_summary(t):
+    return runs.change_counts(_run_diff(t))
+
+
+@query("""with h as (select user_id, ts < timestamp '2024-01-15' as early, case when count(*) filter (event_type = 'error') > 7 then 'fail' when count(*) filter (event_type = 'error') > 5 then 'Warning ' when count(*) > 12 then 'pass' end as v from events group by 1, 2),
+u as (select distinct user_id from events), r as (select user_id, (select lower(trim(v)) from h where h.user_id = u.user_id and early) as a, (select lower(trim(v)) from h where h.user_id = u.user_id and not early) as b from u),
+k as (select user_id, a, b, case a when 'fail' then 0 when 'warning' then 1 when 'pass' then 2 end as x, case b when 'fail' then 0 when 'warning' then 1 when 'pass' then 2 end as y from r)
+select user_id, a as verdict_a, b as verdict_b, case when x is null or y is null then 'unknown' when y > x then 'improved' when y < x then 'worsened' else 'unchanged' end as verdict_direction from k""")
+def verdict_direction(t):
+    bad = F.count_if(F.col("event_type") == "error")
+    half = lambda f: t.events.filter(f).groupBy("user_id").agg(F.when(bad > 7, "fail").when(bad > 5, "Warning ").when(F.count("*") > 12, "pass").alias("v"))
+    early, late = half(F.col("ts") < "2024-01-15"), half(F.col("ts") >= "2024-01-15")
+    both = early.withColumnRenamed("v", "a").join(late.withColumnRenamed("v", "b"), "user_id", "full")
+    a, b = text.verdict(F.col("a")), text.verdict(F.col("b"))
+    return both.select("user_id", a.alias("verdict_a"), b.alias("verdict_b"), text.verdict_direction(a, b).alias("verdict_direction"))
+
+
+@query("with s as (select unnest(['signup', 'error', 'click', 'view', 'purchase', 'refund']) as event_type) select event_type, count(e.event_id) as n from s left join events e using (event_type) group by 1")
+def status_histogram_zeros(t):
+    return runs.status_counts(t.events, ("signup", "error", "click", "view", "purchase", "refund"), "event_type")
+
+
+@query("select conv_id, coalesce(sum((length(text) + 3) // 4) filter (role in ('user', 'system')), 0)::bigint as tokens from conversations group by 1")
+def filtered_token_sums(t):
+    rows = t.conversations.withColumn("tokens", text.tokens(F.col("text")))
+    return runs.filtered_sums(rows, ("user", "system"), ["tokens"], ["conv_id"], "role")
+
+
+@query("select user_id, round(count(*) filter (event_type = 'purchase') / nullif(count(*) filter (event_type in ('click', 'view')), 0), 4) as rate from events group by 1")
+def hit_rate(t):
+    hits, total = F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type").isin("click", "view"))
+    return t.events.groupBy("user_id").agg(runs.hit_rate(hits, total).alias("rate"))
+
+
+@query("select conv_id, role, sum(case when turn > 1 then length(text) end)::bigint as n from conversations group by 1, 2")
+def merged_usage(t):
+    rows = t.conversations.select("conv_id", "role", F.when(F.col("turn") > 1, F.length("text")).cast("long").alias("n"))
+    return runs.merged_usage(rows, ["conv_id", "role"], ("n",))
+
+
+@query("select user_id, event_type, event_id, (row_number() over (partition by user_id, event_type order by ts desc, event_id desc) - 1)::int as back from events qualify back < 2")
+def latest_two(t):
+    return runs.latest(t.events.select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", 2).select("user_id", "event_type", "event_id", "back")
+
+
+@query("select o_custkey, o_orderkey, o_orderpriority from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1")
+def latest_dedupe(t):
+    return runs.latest(t.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority"), ["o_custkey"], "o_orderdate").select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("select o_custkey, o_orderkey, lag(o_orderkey) over w as previous, o_orderkey - lag(o_orderkey) over w as delta from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
+def previous_delta(t):
+    return runs.previous_delta(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey").select("o_custkey", "o_orderkey", "previous", "delta")
+
+
+@query("select event_id, base || case when k > 1 then '-' || k else '' end as run_id from (select event_id, base, row_number() over (partition by base order by ts, event_id) as k from (select *, strftime(ts, '%Y%m%dT%H') || '-' || event_type as base from events))")
+def unique_run_ids(t):
+    rows = t.events.withColumn("base", F.concat_ws("-", F.date_format("ts", "yyyyMMdd'T'HH"), "event_type"))
+    return runs.unique_ids(rows, "base", ["ts", "event_id"]).select("event_id", "run_id")
+
+
+@query("""with r as (select case when user_id % 2 = 0 then 'generation' else 'verification' end as kind, 'run-' || user_id as run_id, max(ts) as t, count(*) as selected, count(*) filter (event_type = 'view') as cached, count(*) filter (event_type = 'error') as failed from events group by 1, 2),
+l as (select kind, count(*) as n, max_by(r, {'t': t, 'run_id': run_id}) as x from r group by 1)
+select coalesce(max(n) filter (kind = 'generation'), 0) as generation_runs, max(x.run_id) filter (kind = 'generation') as latest_generation_run_id, max(x.failed) filter (kind = 'generation') as latest_generation_failed, max(round(x.cached / nullif(x.selected, 0), 4)) filter (kind = 'generation') as latest_generation_hit_rate,
+ coalesce(max(n) filter (kind = 'verification'), 0) as verification_runs, max(x.run_id) filter (kind = 'verification') as latest_verification_run_id, max(x.failed) filter (kind = 'verification') as latest_verification_failed, max(round(x.cached / nullif(x.selected, 0), 4)) filter (kind = 'verification') as latest_verification_hit_rate from l""")
+def ops_summary(t):
+    kind = F.when(F.col("user_id") % 2 == 0, "generation").otherwise("verification")
+    rows = t.events.groupBy(kind.alias("kind"), F.concat(F.lit("run-"), "user_id").alias("run_id")).agg(
+        F.max("ts").alias("generated_at"), F.count("*").alias("selected"), F.count_if(F.col("event_type") == "view").alias("cached"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    return runs.ops_summary(rows)
+
+
+@query("select date_trunc('day', ts) as day, event_type, count(*) as n from events group by 1, 2")
+def windowed_counts(t):
+    return history.windowed_counts(t.events, "ts", "1 day", "1 day", "event_type").select(F.col("window.start").alias("day"), "event_type", "n")
+
+
+@query("select max(m) as generated_at from (select max(ts) as m from events union all select max(o_orderdate) from orders)")
+def latest_time(t):
+    return profile.latest_time(t.events.select(F.col("ts").alias("generated_at")), t.orders.select(F.col("o_orderdate").alias("generated_at")))
+
+
+# ---- aggregation and sets
+
+@query("select lang, count(*) as n from documents group by 1")
+def language_histogram(t):
+    return profile.histogram(t.documents, "lang")
+
+
+@query("select coalesce(l.quality::varchar, 'unknown') as quality, count(*) as n from documents d left join labels l using (doc_id) group by 1")
+def status_histogram_unknown(t):
+    return profile.histogram(t.documents.join(t.labels, "doc_id", "left").select(F.col("quality").cast("string")), "quality", "unknown")
+
+
+@query("""select count(*) as file_count, count(*) filter (lang = 'en') as source_file_count, count(*) filter (lang = 'fr') as test_file_count, count(*) filter (lang = 'de') as config_file_count, count(*) filter (quality = 1) as deep_analyzed_file_count,
+ array_to_string(list_sort(list(distinct lang) filter (lang <> 'unknown')), ',') as detected_languages, (select count(*) from lineitem) as entity_count, (select count(*) from orders) as import_count from documents d left join labels l using (doc_id)""")
+def summary_row(t):
+    kind = F.when(F.col("lang") == "en", "source").when(F.col("lang") == "fr", "test").when(F.col("lang") == "de", "config").otherwise("doc")
+    files = t.documents.join(t.labels, "doc_id", "left").select(kind.alias("file_type"), F.when(F.col("quality") == 1, "deep").otherwise("shallow").alias("analysis_depth"), F.col("lang").alias("language"))
+    out = profile.analysis_summary(files, t.lineitem, t.orders)
+    return out.withColumn("detected_languages", joined("detected_languages"))
+
+
+@query("""select count(*) as indexed_file_count, count(*) filter (quality = 1) as deep_analyzed_file_count, count(*) filter (quality is distinct from 1) as shallow_indexed_file_count, array_to_string(list_sort(list(distinct source) filter (lang not in ('en', 'fr'))), ',') as unsupported_deep_extensions,
+ (select count(*) from orders where o_orderstatus = 'P') as unresolved_import_count, (select count(*) from lineitem where l_returnflag = 'N') as low_confidence_entity_count from documents d left join labels l using (doc_id)""")
+def coverage_row(t):
+    files = t.documents.join(t.labels, "doc_id", "left").select(F.when(F.col("quality") == 1, "deep").otherwise("shallow").alias("analysis_depth"), F.col("lang").alias("language"), F.col("source").alias("extension"))
+    edges = t.orders.select(F.when(F.col("o_orderstatus") == "P", "unresolved").otherwise("internal").alias("dependency_type"))
+    ents = t.lineitem.select(F.when(F.col("l_returnflag") == "N", "low").otherwise("high").alias("confidence"))
+    out = profile.coverage(files, ents, edges, ("en", "fr"))
+    return out.withColumn("unsupported_deep_extensions", joined("unsupported_deep_extensions"))
+
+
+@query(" union all ".join(f"select '{n}' as artifact, count(*) as record_count, case when count(*) > 0 then '{n} has ' || count(*) || ' records' end as warning from {n}" for n in ("customer", "documents", "labels", "lineitem", "orders", "pages", "part", "supplier")))
+def manifest_counts(t):
+    counts = profile.record_counts({n: getattr(t, n) for n in ("customer", "documents", "labels", "lineitem", "orders", "pages", "part", "supplier")})
+    return counts.withColumn("warning", F.when(F.col("record_count") > 0, F.concat("artifact", F.lit(" has "), "record_count", F.lit(" records"))))
+
+
+@query("select p_name as stem, count(*) as n, count(distinct p_brand) as directories, string_agg(p_partkey::varchar, ',' order by p_partkey) as files from part group by 1 having count(*) >= 2")
+def name_cluster(t):
+    rows = t.part.groupBy(F.col("p_name").alias("stem")).agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("directories"), F.sort_array(F.collect_list("p_partkey")).alias("files"))
+    return rows.filter("n >= 2").withColumn("files", joined("files"))
+
+
+@query("""select l_partkey as name, string_agg(distinct l_returnflag, ',' order by l_returnflag) as reasons, string_agg(distinct l_linestatus, ',' order by l_linestatus) as warnings,
+ case max(case when l_quantity > 45 then 2 when l_quantity > 20 then 1 else 0 end) when 2 then 'high' when 1 then 'medium' else 'low' end as confidence from lineitem group by 1""")
+def candidate_merge(t):
+    q = F.col("l_quantity")
+    rows = t.lineitem.select(F.lit("package").alias("type"), F.col("l_partkey").alias("name"), F.array(F.col("l_partkey")).alias("files"), F.array("l_returnflag").alias("reasons"), F.array("l_linestatus").alias("warnings"), F.when(q > 45, "high").when(q > 20, "medium").otherwise("low").alias("confidence"))
+    return candidates.merge_candidates(rows).select("name", joined("reasons").alias("reasons"), joined("warnings").alias("warnings"), "confidence")
+
+
+@query("""with b as (select p_partkey, p_name, left(rtrim(left(trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '-'), 80), '-'), 80) as slug_base from part), c as (select *, count(*) over (partition by slug_base) as n from b)
+select p_partkey, slug_base, case when n = 1 then slug_base else rtrim(left(slug_base, 71), '-') || '-' || left(sha1(p_partkey::varchar), 8) end as slug from c""")
+def slug_collision(t):
+    return slugs.assign_slugs(t.part, F.col("p_name"), F.col("p_partkey").cast("string")).select("p_partkey", "slug_base", "slug")
+
+
+@query("""with h as (select page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as title from pages),
+s as (select page_id, rtrim(left(trim(regexp_replace(lower(trim(title)), '[^a-z0-9]+', '-', 'g'), '-'), 80), '-') as a, rtrim(left(trim(regexp_replace(lower(trim(title)), '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), 80), '-') as u from h)
+select page_id, case when a = '' then 'item' else a end as slug, case when u = '' then 'item' else u end as unicode_slug from s""")
+def slug_variants(t):
+    title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    return t.pages.select("page_id", text.slug(title).alias("slug"), text.unicode_slug(title).alias("unicode_slug"))
+
+
+@query("""with a as (select o_custkey, list_sort(list(distinct o_orderpriority)) as x, list_sort(list(distinct o_orderpriority) filter (o_orderstatus = 'F')) as f from orders group by 1)
+select o_custkey, array_to_string(list_filter(x, lambda v: not list_contains(coalesce(f, []), v)), ',') as related from a""")
+def set_related(t):
+    rows = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("x"), F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("f"))
+    return rows.select("o_custkey", F.array_join(F.array_except("x", "f"), ",").alias("related"))
+
+
+@query("""select l_orderkey, l_linenumber, x.l_partkey as l_partkey, x.l_suppkey as l_suppkey, x.l_returnflag as l_returnflag from (select l_orderkey, l_linenumber, max({'l_partkey': l_partkey, 'l_suppkey': l_suppkey, 'l_returnflag': l_returnflag}) as x from lineitem group by 1, 2)""")
+def key_dedupe(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return resolve.last_wins(rows, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_returnflag"])
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")
+def topk_limit(t):
+    return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query("""with recursive e as (select distinct p_partkey as src, p_partkey // 3 as dst from part union select 1, (select max(p_partkey) from part)), r(seed, node) as (select p_partkey, p_partkey from part where p_partkey in (5, 17, 101, 900, 1500) union select r.seed, e.dst from r join e on e.src = r.node)
+select seed, node from r""")
+def reachability(t):
+    part = t.part
+    edges = part.select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 3").alias("dst")).unionByName(part.agg(F.lit(1).cast("long").alias("src"), F.max("p_partkey").alias("dst")))
+    seeds = part.filter(F.col("p_partkey").isin(5, 17, 101, 900, 1500)).select(F.col("p_partkey").alias("seed"))
+    return graph.reachable(seeds, edges).select("seed", "node")
+
+
+# ---- search and problems
+
+_SEARCH_SQL = """r as (select 'module' as entity_kind, 'part:' || p_partkey as entity_id, p_name as title, p_brand as subtitle, p_type as type from part union all select 'file', 'supplier:' || s_suppkey, s_name, null, null from supplier
+ union all select 'function', 'customer:' || c_custkey, c_name, c_mktsegment, null from customer union all select 'run', 'nation:' || n_nationkey, n_name, null, null from nation)"""
+
+
+def _records(t: Tables) -> DataFrame:
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    return search.index(
+        search.records(t.part, "module", entity_id=key("part", "p_partkey"), title=F.col("p_name"), subtitle=F.col("p_brand"), type=F.col("p_type")),
+        search.records(t.supplier, "file", entity_id=key("supplier", "s_suppkey"), title=F.col("s_name")),
+        search.records(t.customer, "function", entity_id=key("customer", "c_custkey"), title=F.col("c_name"), subtitle=F.col("c_mktsegment")),
+        search.records(t.nation, "run", entity_id=key("nation", "n_nationkey"), title=F.col("n_name")),
+    )
+
+
+@query(f"with {_SEARCH_SQL} select * from r")
+def search_union(t):
+    return _records(t).select("entity_kind", "entity_id", "title", "subtitle", "type")
+
+
+@query(f"""with {_SEARCH_SQL} select entity_kind, entity_id, title, (case when lower(title) = 'brand#1' then 0 when contains(lower(title), 'brand#1') then 1 else 2 end)::int as rank from r
+where contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(subtitle, ''), coalesce(entity_id, ''), '', '', '')), 'brand#1') and entity_kind = 'module'""")
+def search_rank(t):
+    return search.search(_records(t), "Brand#1 ", kind="module").select("entity_kind", "entity_id", "title", "rank")
+
+
+@query(f"""with {_SEARCH_SQL} select entity_kind, entity_id, title, (case when lower(title) = '00' then 0 when contains(lower(title), '00') then 1 else 2 end)::int as rank from r
+where contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(subtitle, ''), coalesce(entity_id, ''), '', '', '')), '00') order by rank, entity_kind, title, entity_id limit 40""")
+def search_top(t):
+    return search.ranked(search.search(_records(t), "00")).select("entity_kind", "entity_id", "title", "rank").limit(40)
+
+
+_PROBLEM_SQL = """m as (select d.doc_id as module, case when toxic = 1 then 'fail' when quality = 0 then 'Warning' when quality = 1 then 'pass' end as verdict, length(text) > 1500 as enhanced_present, l.doc_id is not null as verified from documents d left join labels l using (doc_id)),
+p as (select *, list_filter([case when lower(verdict) = 'warning' then 'verification_warning' end, case when verdict = 'fail' then 'verification_fail' end, case when not enhanced_present then 'missing_enhanced' end, case when not verified then 'missing_verification' end], lambda x: x is not null) as t from m)"""
+
+
+def _modules(t: Tables) -> DataFrame:
+    rows = t.documents.join(t.labels.withColumn("verified", F.lit(True)), "doc_id", "left")
+    v = F.when(F.col("toxic") == 1, "fail").when(F.col("quality") == 0, "Warning").when(F.col("quality") == 1, "pass")
+    return rows.select(F.col("doc_id").alias("module"), v.alias("verdict"), (F.length("text") > 1500).alias("enhanced_present"), F.coalesce("verified", F.lit(False)).alias("verified"))
+
+
+@query(f"with {_PROBLEM_SQL} select module, array_to_string(t, ',') as problem_types, case when list_contains(t, 'verification_fail') then 'fail' when list_contains(t, 'verification_warning') then 'warning' else 'info' end as severity from p where len(t) > 0")
+def problems_flatten(t):
+    return quality.module_problems(_modules(t)).select("module", joined("problem_types").alias("problem_types"), "severity")
+
+
+@query(f"with {_PROBLEM_SQL} select module, array_to_string(t, ',') as problem_types from p where list_contains(t, 'verification_fail') and list_contains(t, 'missing_enhanced')")
+def problems_filtered(t):
+    found = quality.filter_problems(quality.module_problems(_modules(t)), severity="fail", kind="missing_enhanced")
+    return found.select("module", joined("problem_types").alias("problem_types"))
+
+
+@query(f"""with {_PROBLEM_SQL} select count(*) filter (lower(verdict) = 'warning') as modules_with_warnings, count(*) filter (verdict = 'fail') as modules_with_failures, count(*) filter (not enhanced_present) as modules_missing_enhanced, count(*) filter (not verified) as modules_missing_verification,
+ case when count(*) filter (verified) = 0 then 'no_data' when count(*) filter (verified) < count(*) then 'partial' else 'ok' end as status from m""")
+def problems_status(t):
+    return quality.problem_summary(_modules(t))
+
+
+@query("select user_id, count(*) filter (event_type = 'error') as error, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'view') as view from events group by 1")
+def problems_pivot(t):
+    return quality.pivot_counts(t.events, "user_id", "event_type", ["error", "click", "view"])
+
+
+@query("""select conv_id as module, 'weak_claim' as issue_type, 'warning' as severity, (row_number() over (partition by conv_id order by turn) - 1)::int as position, role as section, sha256(text) as claim_text from conversations where role = 'user'
+union all select conv_id, 'missing_uncertainty', 'warning', (row_number() over (partition by conv_id order by turn) - 1)::int, role, null from conversations where role = 'assistant'""")
+def issue_problems(t):
+    arrays = lambda r, *c: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", F.col("role").alias("section"), *c)))), lambda x: F.struct(x["section"].alias("section"), *([F.sha2(x["text"], 256).alias("claim")] if c else [])))
+    reports = t.conversations.groupBy(F.col("conv_id").alias("module")).agg(arrays("user", F.col("text")).alias("weak_claims"), arrays("assistant").alias("missing_uncertainty"))
+    return quality.issue_problems(reports).select("module", "issue_type", "severity", "position", "section", "claim_text")
+
+
+@query("""select doc_id, array_to_string(list_filter(['license', 'copyright', '@'], lambda m: not contains(lower(text), m)), ',') as missing,
+ case (case when contains(lower(text), 'license') then 0 else 1 end + case when contains(lower(text), 'copyright') then 0 else 1 end + case when contains(text, '@') then 0 else 1 end) when 0 then 'pass' when 1 then 'warning' else 'fail' end as verdict from documents""")
+def required_markers(t):
+    missing = quality.missing_markers(F.col("text"), ("license", "copyright", "@"))
+    return t.documents.select("doc_id", F.array_join(missing, ",").alias("missing"), quality.verdict_of_problems(F.size(missing)).alias("verdict"))
+
+
+# ---- scalars
+
+@query("select doc_id, sha256(text) as fingerprint, left(sha1(text), 8) as short_hash from documents")
+def fingerprint(t):
+    return t.documents.select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"), text.short_hash(F.col("text")).alias("short_hash"))
+
+
+@query("select sha256(text) as fingerprint, max(doc_id) as doc_id, count(*) as n from documents group by 1")
+def fingerprint_dedupe(t):
+    return t.documents.groupBy(text.fingerprint(F.col("text")).alias("fingerprint")).agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query("select d.doc_id, exists (select 1 from documents o join labels l using (doc_id) where l.quality = 1 and sha256(o.text) = sha256(d.text)) as hit from documents d")
+def cache_probe(t):
+    keyed = t.documents.select("doc_id", text.fingerprint(F.col("text")).alias("key"))
+    hits, rest = planning.cache_split(keyed, keyed.join(t.labels, "doc_id"), ["key"], F.col("quality") == 1)
+    return hits.select("doc_id", F.lit(True).alias("hit")).unionByName(rest.select("doc_id", F.lit(False).alias("hit")))
+
+
+@query("select page_id, sha256(trim(regexp_replace(translate(html, '#*_`>|[]()!-~', '             '), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) as plain from pages")
+def plain_text(t):
+    return t.pages.select("page_id", text.fingerprint(text.plain(F.col("html"))).alias("plain"))
+
+
+@query("select doc_id, sha256(case when e <> '' then replace(text, e, '[REDACTED]') else text end) as redacted from (select doc_id, text, regexp_extract(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', 0) as e from documents)")
+def redact(t):
+    mail = F.regexp_extract("text", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", 0)
+    return t.documents.select("doc_id", text.fingerprint(text.redacted(F.col("text"), mail)).alias("redacted"))
+
+
+@query("select event_id, json_extract(regexp_extract(props, '(?s)\\{.*\\}', 0), '$.k')::bigint as k from events")
+def json_props(t):
+    return t.events.select("event_id", F.get_json_object(text.embedded_json(F.col("props")), "$.k").try_cast("long").alias("k"))
+
+
+@query("""select c_custkey, case when n > 0 then '+' || n else n::varchar end as signed, printf('%.1f%%', (n % 1000) / 1000 * 100) as percent, strftime(timestamp '2024-01-01' + to_days((c_custkey % 28)::int), '%Y%m%dT%H%M%SZ') as slug from (select c_custkey, floor(c_acctbal)::bigint as n from customer)""")
+def format_values(t):
+    n = F.floor("c_acctbal")
+    share = (n % 1000) / F.lit(1000)
+    time = F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, cast(c_custkey % 28 as int))")
+    return t.customer.select("c_custkey", text.signed(n).alias("signed"), text.percent(share).alias("percent"), text.run_slug(time).alias("slug"))
+
+
+@query("""with c as (select doc_id, replace(replace(trim(text), '|', '\\|'), chr(10), '<br>') as x from documents) select doc_id, sha256(case when length(x) > 320 then left(x, 319) || '…' else x end) as cell from c""")
+def table_cells(t):
+    return t.documents.select("doc_id", text.fingerprint(text.cell(F.col("text"))).alias("cell"))
+
+
+@query("""select n_regionkey, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) order by n_nationkey) as page from nation group by 1""")
+def markdown_pages(t):
+    return pages.markdown_table(t.nation, ["n_regionkey"], ["n_nationkey", "n_name"], ["n_nationkey"])
+
+
+@query("""select spec, regexp_extract(spec, '^\\s*([A-Za-z0-9_.-]+(?:\\[[^\\]]+\\])?)\\s*(.*)$', 1) as name, nullif(trim(regexp_extract(spec, '^\\s*([A-Za-z0-9_.-]+(?:\\[[^\\]]+\\])?)\\s*(.*)$', 2)), '') as version,
+ translate(lower(string_split(spec, '[')[1]), '-.', '__') as normalized, regexp_extract(regexp_replace(node, '^node:', ''), '^(@[^/]+/[^/]+|[^/]+)', 1) as package
+from (select p_name || '-' || p_partkey || case p_partkey % 3 when 0 then '[extra] >=1.' || p_size when 1 then '==2.' || p_size else '' end as spec, case p_partkey % 3 when 0 then 'node:fs/' || p_partkey when 1 then '@scope/pkg' || p_partkey || '/lib' else 'pkg' || p_partkey || '/x' end as node from part)""")
+def dependency_specs(t):
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    m = F.col("p_partkey") % 3
+    spec = F.concat("p_name", F.lit("-"), key, F.when(m == 0, F.concat(F.lit("[extra] >=1."), size)).when(m == 1, F.concat(F.lit("==2."), size)).otherwise(""))
+    node = F.when(m == 0, F.concat(F.lit("node:fs/"), key)).when(m == 1, F.concat(F.lit("@scope/pkg"), key, F.lit("/lib"))).otherwise(F.concat(F.lit("pkg"), key, F.lit("/x")))
+    rows = t.part.select(spec.alias("spec"), node.alias("node"))
+    s = F.col("spec")
+    return rows.select("spec", text.spec_name(s).alias("name"), text.spec_version(s).alias("version"), text.python_distribution(s).alias("normalized"), text.node_package(F.col("node")).alias("package"))
+
+
+@query("""select o_orderkey, case when s in ('', 'no_data', 'unknown', 'skipped') then 'neutral' when contains(s, 'fail') or contains(s, 'error') then 'bad' when contains(s, 'warn') or contains(s, 'partial') or contains(s, 'missing') then 'warn' when contains(s, 'ok') or contains(s, 'pass') then 'good' else 'neutral' end as severity,
+ case o_orderkey % 5 when 0 then 'fail' when 1 then 'warning' when 2 then 'pass' end as verdict from (select o_orderkey, lower(([ 'verified_fail', 'Warning', 'ok', 'unknown', 'missing'])[o_orderkey % 5 + 1]) as s from orders)""")
+def severity_classes(t):
+    status = F.element_at(F.array(*[F.lit(x) for x in ("verified_fail", "Warning", "ok", "unknown", "missing")]), (F.col("o_orderkey") % 5).cast("int") + 1)
+    claim = F.element_at(F.array(*[F.lit(x) for x in ("Fail", " warning", "PASS ", "maybe", "")]), (F.col("o_orderkey") % 5).cast("int") + 1)
+    return t.orders.select("o_orderkey", text.severity(status).alias("severity"), text.verdict(claim).alias("verdict"))
+
+
+@query("""select l_orderkey, case when sum(case when l_quantity > 49 then 1 else 0 end) > 0 then 'fail' when count(*) filter (l_quantity > 25) > 0 then 'warning' else 'pass' end as verdict from lineitem group by 1""")
+def verdict_of_claims(t):
+    level = F.when(F.col("l_quantity") > 49, "high").when(F.col("l_quantity") > 25, "low")
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(level).alias("s"))
+    return rows.select("l_orderkey", quality.verdict_of_claims(F.col("s"), F.lit(0)).alias("verdict"))
+
+
+# ---- source texts: the test tables hold none, so that these run on a small project in this module
+
+PROJECT = {
+    "app.py": "from shop.cart import Cart, total\nimport json\nimport requests\n\n\ndef main() -> int:\n    return total(Cart())\n",
+    "shop/__init__.py": "from .cart import Cart\n\n__all__ = ['Cart']\n",
+    "shop/cart.py": "from .prices import price\nfrom . import prices\n\n\nclass Cart:\n    '''A cart.'''\n\n    def add(self, item, /, n: int = 1, *, gift=False) -> None:\n        pass\n\n\nasync def total(cart: Cart) -> int:\n    return price(1)\n",
+    "shop/prices.py": "def price(n):\n    return n\n\n\ndef _secret():\n    return 0\n",
+    "tests/test_cart.py": "from shop.cart import Cart\n\n\ndef test_cart():\n    assert Cart()\n",
+    "tests/test_prices.py": "def test_price():\n    assert True\n",
+    "web/index.ts": 'import { sum } from "./lib/sum";\nimport fs from "fs";\nimport React from "react";\nimport nothing from "nowhere";\n\n/** Starts. */\nexport function start(a: number, b = 2): number {\n  return sum(a, b);\n}\n\nexport class Page {\n  async render(x) {\n    return x;\n  }\n}\n',
+    "web/lib/sum.ts": "export const sum = (a: number, b: number): number => {\n  return a + b;\n};\n",
+    "package.json": '{"name": "p", "dependencies": {"react": "^18.0.0"}, "devDependencies": {"@types/node": "20"}}',
+    "requirements.txt": "requests==2.31.0\n# comment\n-r other.txt\nrich>=13\npkg[extra]==1\n",
+    "pyproject.toml": '[project]\ndependencies = ["attrs>=23", "click[x] ~= 8"]\n[project.optional-dependencies]\ndev = ["pytest"]\n[tool.poetry.dependencies]\npython = "^3.11"\ntoml = "1"\nlocal = {path = "."}\n',
+    "README.md": "# p\n",
+}
+
+
+def project_texts(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("path"), F.lit(v).alias("text")) for k, v in PROJECT.items()])))
+
+
+def project_facts(spark: SparkSession) -> dict[str, DataFrame]:
+    """All facts of the small project."""
+    import sys
+
+    texts = project_texts(spark)
+    files = paths.classify(texts.select("path")).withColumn("analysis_depth", F.when(F.col("supports_deep_analysis"), "deep").otherwise("partial"))
+    declared, found = manifests.external_dependencies(texts), extract.imports(texts)
+    script = resolve.resolve_scripts(found.filter("language <> 'python'"), files, declared)
+    names = ["id", "source_file", "imported", "line_start", "import_kind", "language", "resolved_file", "dependency_type", "resolved", "is_internal", "is_external"]
+    edges = resolve.resolve_python(found.filter("language = 'python'"), files, declared, sorted(sys.stdlib_module_names)).select(*names).unionByName(script.select(*names))
+    tested = relations.test_relations(edges, files)
+    return {"inventory": files, "entities": extract.entities(texts), "edges": edges, "dependencies": declared, "relations": tested, "candidates": candidates.build_candidates(files, edges, tested)}
+
+
+@query()
+def project_entities(t):
+    return project_facts(t.spark)["entities"].select("file", "name", "entity_type", "line_start", "line_end", "exported", "container", "signature", pages.parameter_text(F.col("parameters")).alias("parameters"), "docstring", "is_async", "confidence")
+
+
+@query()
+def project_edges(t):
+    return project_facts(t.spark)["edges"].select("source_file", "imported", "line_start", "import_kind", "resolved_file", "dependency_type", "resolved")
+
+
+@query()
+def project_dependencies(t):
+    return project_facts(t.spark)["dependencies"]
+
+
+@query()
+def project_relations(t):
+    return project_facts(t.spark)["relations"]
+
+
+@query()
+def project_candidates(t):
+    return project_facts(t.spark)["candidates"].select("type", "name", joined("files").alias("files"), "confidence", joined("reasons").alias("reasons"), joined("warnings").alias("warnings"))
+
+
+@query()
+def markdown_index(t):
+    """A page's table read back."""
+    made = pages.markdown_table(t.nation.withColumn("all", F.lit(1)), ["all"], ["n_nationkey", "n_name"], ["n_nationkey"])
+    return facts.markdown_table(made, "all", "page", ["n_nationkey", "n_name"]).select("n_nationkey", "n_name")
