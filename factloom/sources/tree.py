@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -91,8 +92,6 @@ def inventory(tree: DataFrame, *, tests: bool = True, fixtures: bool = False, ge
 
 def decoded(tree: DataFrame) -> DataFrame:
     """path and text; bytes that aren't UTF-8 are dropped."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def lossy(content: pd.Series) -> pd.Series:
         return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
