@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.workers import importable
+
 _local: dict[str, str] = {}
 
 
@@ -50,6 +52,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        importable(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/factloom-{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
