@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch
 
+from .text import words
+
 TRIM = ".,;:!?\"'()[]{}<>*_-"
 
 
@@ -93,7 +95,7 @@ class Index:
         return float((w * self.labels[rows]).sum() / w.sum())
 
     def calibrated(self, vote: float) -> float:
-        return float(self.steps[1][max(0, int(np.searchsorted(self.steps[0], vote, side="right")) - 1)])
+        return float(np.interp(vote, *self.steps))
 
 
 def build_index(examples: list[tuple], terms: list[str], document_counts: np.ndarray, n: int, importance: dict[int, float], block: int = 64, k: int = 15) -> Index:
@@ -120,7 +122,7 @@ def build_index(examples: list[tuple], terms: list[str], document_counts: np.nda
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rising step function nearest to y: (from which x, value)."""
+    """The rising values nearest to y, pooled: (first x of each pool, value)."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []
     for xi, yi, wi in zip(x[order].tolist(), y[order].tolist(), w[order].tolist(), strict=True):
@@ -136,11 +138,29 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, max_features: int = 4096, min_documents: int = 5, z: float = 4.0, k: int = 15, held_out: int = 2) -> Index:
+def _hashed(seed: int):
+    return lambda i: F.xxhash64(F.lit(seed), F.array_join(F.slice("_w", i + 1, F.lit(5)), " "))
+
+
+def _apart(texts: DataFrame, rounds: int = 3) -> DataFrame:
+    """Without most near copies, whose words would look like features: of texts with equal least five-word hashes one stays, in each round."""
+    texts = texts.withColumn("_w", words(F.lower("text")))
+    for r in range(rounds):
+        shingles = F.sequence(F.lit(0), F.greatest(F.size("_w") - 5, F.lit(0)))
+        least = F.array_min(F.transform(shingles, _hashed(r)))
+        texts = texts.withColumn(f"_m{r}", least)
+    texts = texts.drop("_w")
+    for r in range(rounds):
+        texts = texts.dropDuplicates([f"_m{r}"])
+    return texts.drop(*[f"_m{r}" for r in range(rounds)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, max_features: int = 4096, min_documents: int = 5, z: float = 5.0, min_ratio: float = 4.0, k: int = 15, held_out: int = 2) -> Index:
     """An index from at most ``sample_per_class`` labelled rows of each class, those with the least hashes.
 
     Rows whose crc32(doc_id as text) mod 4 is ``held_out`` are never read; of the
-    others every fourth, by hash, calibrates and the rest are examples.
+    others every fourth, by hash, calibrates and the rest are examples. A feature
+    is significantly (``z``) and ``min_ratio`` times as frequent in toxic examples.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.filter("toxic is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != held_out)
@@ -152,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, max
         part = known.filter(F.col("toxic") == c).orderBy("h", "doc_id").limit(sample_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by sample_per_class
-    texts = scratch.table(texts.dropDuplicates(["text"]))
+    texts = scratch.table(_apart(texts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both: tuple[Counter, Counter] = (Counter(), Counter())
@@ -167,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, max
     m0, m1 = max(size.get(0, 0), 1), max(size.get(1, 0), 1)
     pooled = (F.col("n0") + F.col("n1")) / (m0 + m1)
     score = (F.col("n1") / m1 - F.col("n0") / m0) / F.sqrt(pooled * (1 - pooled) * (1 / m0 + 1 / m1) + 1e-12)
-    picked = counts.withColumn("z", score).filter((F.col("z") >= z) & (F.col("n0") + F.col("n1") >= min_documents)).orderBy(F.desc("z"), "f").limit(max_features).collect()
+    picked = counts.withColumn("z", score).filter((F.col("z") >= z) & (F.col("n0") + F.col("n1") >= min_documents) & (F.col("n1") / m1 >= min_ratio * F.col("n0") / m0)).orderBy(F.desc("z"), "f").limit(max_features).collect()
     terms = [r["f"] for r in picked]
     index = build_index([], terms, np.array([r["n0"] + r["n1"] for r in picked], float), m0 + m1, {0: 1.0, 1: 1.0}, k=k)
 
