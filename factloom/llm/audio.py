@@ -4,8 +4,8 @@ Samples become frames of twelve pitch-class energies. Over the integral image of
 these frames, rectangle filters compare neighbouring areas; each answer is
 quantised to two bits in Gray code, and sixteen answers make a packed 32-bit
 integer per frame. Recordings are compared by the integers they share: each
-shared one votes for an offset, and at the best offset of a pair the share of
-differing bits decides.
+shared pair, WIDTH frames apart, votes for an offset, and at the best offset of
+two recordings the share of differing bits decides.
 """
 
 from __future__ import annotations
@@ -115,7 +115,9 @@ def align(prints: DataFrame, is_query: Column, *, max_error: float = 0.2, min_ov
     classes = scratch.table(
         held.filter(F.size("prints") > 0).groupBy("key").agg(F.min("rec_id").alias("class_id"), F.first("prints").alias("prints"), F.max(F.coalesce(is_query, F.lit(False))).alias("asked"))
     )
-    each = classes.select("key", "asked", F.posexplode("prints").alias("at", "print"))
+    # a vote takes two equal integers whose frames don't overlap: single ones agree by chance so often that votes would grow with the square of the recordings
+    both = F.transform(F.sequence(F.lit(0), F.size("prints") - 1 - WIDTH), lambda i: F.xxhash64(F.get("prints", i), F.get("prints", i + WIDTH)))
+    each = classes.filter(F.size("prints") > WIDTH).select("key", "asked", F.posexplode(both).alias("at", "print"))
     asked = each.filter("asked").select(F.col("key").alias("q"), F.col("at").alias("q_at"), "print")
     votes = asked.join(each.select(F.col("key").alias("r"), F.col("at").alias("r_at"), "print"), "print").filter("q <> r")
     votes = votes.groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= min_votes)
