@@ -252,11 +252,12 @@ def _compare_dense(contexts: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, scratch: Scratch, *, window: int = 200, dense: int = 50_000, flush: int = 20_000) -> DataFrame:
     """(k, spans) of the texts with repeats; docs: k, data (binary), k naming equal rows alike."""
     runs = scratch.table(_runs(docs, window))
-    twice = runs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # counts are tables of their own: a join whose sides are plain exchanges can split a common key
+    twice = scratch.table(runs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     left = scratch.table(runs.join(twice, "key", "left_semi"))
     scratch.drop(runs)
     texts = scratch.table(left.groupBy("key", "same").agg(F.count("*").alias("n"), F.min(F.struct("k", "start", "size", "place")).alias("one")))
-    kinds = texts.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    kinds = scratch.table(texts.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     mixed = texts.join(kinds, "key")
     asked = mixed.select(F.col("one.k").alias("k"), F.struct("key", "same", "one.start", "one.size", "one.place", "kinds").alias("x"))
     asked = asked.groupBy("k").agg(F.collect_list("x").alias("xs"))
