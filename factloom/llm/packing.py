@@ -243,7 +243,7 @@ def places(configs: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {k: table[:, i] for i, k in enumerate(("length", "rank", "sequence", "copies", "offset"))}
 
 
-def pack(pieces: DataFrame, *, capacity: int = 2048, rounds: int = 50, bucket_rows: int = 1_000_000) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 2048, rounds: int = 50, bucket_rows: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length and further columns).
 
     Pieces of one length are interchangeable; which one goes where follows from a
