@@ -86,9 +86,12 @@ def _first(sizes: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, word_bits: int = 18, bigram_bits: int = 21) -> Models:
-    """Both models, from all documents. labels: doc_id, quality (1: target)."""
+    """Both models, from all documents. labels: doc_id, quality (1: target).
+
+    The join is a merge join whatever the size, as labels grow with the documents.
+    """
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("t")).join(good, "doc_id", "left").select(F.col("good").isNotNull().alias("good"), "t")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("t")).join(good.hint("merge"), "doc_id", "left").select(F.col("good").isNotNull().alias("good"), "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots(word_bits)
