@@ -3,9 +3,9 @@
 Samples become frames of twelve pitch-class energies. Over the integral image of
 these frames, rectangle filters compare neighbouring areas; each answer is
 quantised to two bits in Gray code, and sixteen answers make a packed 32-bit
-integer per frame. Recordings are compared by the integers they share: each
-shared pair, WIDTH frames apart, votes for an offset, and at the best offset of
-two recordings the share of differing bits decides.
+integer per frame. Recordings are compared by the share of differing bits
+at their best offset. The search is exact: sums over few prints bound the
+differing bits from below, and what the bound can't rule out is compared in full.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch
@@ -92,20 +92,101 @@ def pcm16(raw: bytes, rate: int = 4000) -> tuple[np.ndarray, int]:
     return np.frombuffer(raw[: len(raw) // 2 * 2], "<i2") / 32768.0, rate
 
 
-def _bit_errors(a: Column, b: Column, offset: Column) -> Column:
-    """Differing bits where print i of a meets print i + offset of b."""
-    lo, hi = F.greatest(F.lit(0), -offset), F.least(F.size(a), F.size(b) - offset)
-    return F.aggregate(F.sequence(lo, hi - 1), F.lit(0), lambda s, i: s + F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i + offset))).cast("int"))
+#: Prints whose bits are summed in the bound that rules out pairs.
+SEGMENT = 2
 
 
-def align(prints: DataFrame, is_query: Column, *, max_error: float = 0.2, min_overlap: int = 20, min_votes: int = 2) -> DataFrame:
+def _bounds(bits: np.ndarray, begin: int, n: int) -> np.ndarray:
+    """Rows' sums over stretches of SEGMENT prints, n prints from ``begin``, scaled to an orthonormal projection; bits are running sums (rows, prints + 1, 32)."""
+    cut = np.append(np.arange(0, n, SEGMENT), n)
+    sums = np.diff(bits[:, begin + cut], axis=1) / np.sqrt(np.diff(cut), dtype=np.float32)[None, :, None]
+    return sums.reshape(len(bits), -1)
+
+
+def _sums(prints: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(prints), prints.shape[1] + 1, 32), np.float32)
+    bits = np.unpackbits(np.ascontiguousarray(prints, "<u4").view(np.uint8).reshape(*prints.shape, 4), axis=2)
+    np.cumsum(bits, axis=1, dtype=np.float32, out=out[:, 1:])
+    return out
+
+
+def closest(a: np.ndarray, b: np.ndarray, max_error: float, min_overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, offset, error) of every two rows with an offset of at most ``max_error`` differing bits over ``min_overlap`` prints or more, at the offset of the least error, then the nearest to 0, then the greatest.
+
+    Rows are prints of one length each, uint32. Differing bits are a squared
+    distance, which no projection makes greater: the distance of sums over few
+    prints, a matrix product, rules out most pairs, and the rest are compared bit
+    by bit, so that the search is exact.
+    """
+    x, y = a.shape[1], b.shape[1]
+    sa, sb = _sums(a), _sums(b)
+    found = []
+    for offset in range(min_overlap - x, y - min_overlap + 1):
+        lo, hi = max(0, -offset), min(x, y - offset)
+        n = hi - lo
+        if n < max(1, min_overlap):
+            continue
+        one, two = _bounds(sa, lo, n), _bounds(sb, lo + offset, n)
+        # |u - v|^2 as one product: the squares ride along as two columns
+        one = np.hstack([one, np.ones((len(one), 1), np.float32), (one * one).sum(axis=1, keepdims=True)])
+        two = np.hstack([-2 * two, (two * two).sum(axis=1, keepdims=True), np.ones((len(two), 1), np.float32)])
+        i, j = np.divmod(np.flatnonzero(one @ two.T <= 32.0 * n * max_error * (1 + 1e-4) + 0.5), len(b))
+        for at in range(0, len(i), 1 << 15):
+            p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+            error = np.bitwise_count(a[p, lo:hi] ^ b[q, lo + offset : hi + offset]).sum(axis=1, dtype=np.int64) / (32.0 * n)
+            near = error <= max_error
+            if near.any():
+                found.append((p[near], q[near], np.full(int(near.sum()), offset), error[near]))
+    if not found:
+        none = np.empty(0, np.int64)
+        return none, none, none, np.empty(0)
+    p, q, offset, error = (np.concatenate(f) for f in zip(*found, strict=True))
+    order = np.lexsort((-offset, np.abs(offset), error, q, p))
+    p, q, offset, error = p[order], q[order], offset[order], error[order]
+    first = np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+    return p[first], q[first], offset[first], error[first]
+
+
+def _by_length(rows: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, prints) of a block's rows, those of one length together."""
+    keys, prints = rows.field("key").to_numpy(), rows.field("prints")
+    sizes = prints.value_lengths().to_numpy()
+    flat, starts = prints.flatten().to_numpy().astype(np.uint32), np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        yield keys[at], flat[starts[at][:, None] + np.arange(n)[None, :]]
+
+
+def _links(classes: DataFrame, max_error: float, min_overlap: int, block: int) -> DataFrame:
+    """(q, r, offset, error): every class that is asked, with every other that aligns, by blocks of about ``block`` prints."""
+    total, asked = classes.agg(F.sum(F.size("prints")), F.sum(F.when(F.col("asked"), F.size("prints")))).first()
+
+    def blocks(rows: DataFrame, prints: int | None, name: str) -> DataFrame:
+        return rows.groupBy(F.pmod("key", F.lit(-(-(prints or 1) // block))).alias(f"{name}_at")).agg(F.collect_list(F.struct("key", "prints")).alias(name))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for q_keys, a in _by_length(batch.column(0)[i].values):
+                    for r_keys, b in _by_length(batch.column(1)[i].values):
+                        p, q, offset, error = closest(a, b, max_error, min_overlap)
+                        other = q_keys[p] != r_keys[q]
+                        yield pa.RecordBatch.from_arrays([pa.array(q_keys[p][other]), pa.array(r_keys[q][other]), pa.array(offset[other].astype(np.int32)), pa.array(error[other])], ["q", "r", "offset", "error"])
+
+    pairs = blocks(classes.filter("asked"), asked, "a").crossJoin(blocks(classes, total, "b"))
+    return pairs.repartition("a_at", "b_at").select("a", "b").mapInArrow(work, "q long, r long, offset int, error double")
+
+
+def align(prints: DataFrame, is_query: Column, *, max_error: float = 0.2, min_overlap: int = 20, block: int = 100_000) -> DataFrame:
     """One row per recording: rec_id, class_id, n_prints, n_links, best_match, best_offset, best_error.
 
     Recordings with equal prints form a class, named by its least rec_id; classes
     that hold a query (``is_query`` over rec_id) are aligned with all classes, and
-    copies are never paired. n_links counts the classes that align with the
+    copies are never paired. Every pair is compared at every offset, in blocks of
+    about ``block`` prints, so that no link is missed; the work grows with queries
+    times recordings. n_links counts the classes that align with the
     query's at no more than ``max_error`` differing bits over ``min_overlap``
-    prints or more; it is NULL for rows that are no query. Defined results: NULL
+    prints or more, at the offset of the least error; it is NULL for rows that are no query. Defined results: NULL
     or short recordings have no prints and no links; repeated rows give repeated
     results; a NULL rec_id is no query; an empty table gives an empty result;
     ties for the best match go to the least class.
@@ -115,19 +196,8 @@ def align(prints: DataFrame, is_query: Column, *, max_error: float = 0.2, min_ov
     classes = scratch.table(
         held.filter(F.size("prints") > 0).groupBy("key").agg(F.min("rec_id").alias("class_id"), F.first("prints").alias("prints"), F.max(F.coalesce(is_query, F.lit(False))).alias("asked"))
     )
-    # a vote takes two equal integers whose frames don't overlap: single ones agree by chance so often that votes would grow with the square of the recordings
-    both = F.transform(F.sequence(F.lit(0), F.size("prints") - 1 - WIDTH), lambda i: F.xxhash64(F.get("prints", i), F.get("prints", i + WIDTH)))
-    each = classes.filter(F.size("prints") > WIDTH).select("key", "asked", F.posexplode(both).alias("at", "print"))
-    asked = each.filter("asked").select(F.col("key").alias("q"), F.col("at").alias("q_at"), "print")
-    votes = asked.join(each.select(F.col("key").alias("r"), F.col("at").alias("r_at"), "print"), "print").filter("q <> r")
-    votes = votes.groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= min_votes)
-    best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "r", "b.offset")
-    left = classes.select(F.col("key").alias("q"), F.col("prints").alias("qp"))
-    right = classes.select(F.col("key").alias("r"), F.col("prints").alias("rp"), F.col("class_id").alias("r_id"))
-    pairs = best.join(left, "q").join(right, "r")
-    overlap = F.least(F.size("qp"), F.size("rp") - F.col("offset")) - F.greatest(F.lit(0), -F.col("offset"))
-    pairs = pairs.withColumn("overlap", overlap).filter(F.col("overlap") >= min_overlap)
-    pairs = pairs.withColumn("error", _bit_errors(F.col("qp"), F.col("rp"), F.col("offset")) / (32.0 * F.col("overlap"))).filter(F.col("error") <= max_error)
+    names = classes.select(F.col("key").alias("r"), F.col("class_id").alias("r_id"))
+    pairs = _links(classes, max_error, min_overlap, block).join(names, "r")
     found = pairs.groupBy(F.col("q").alias("key")).agg(F.count("*").alias("n"), F.min(F.struct("error", "r_id", "offset")).alias("b"))
     names = classes.select("key", "class_id").join(found, "key", "left")
     out = held.join(names, "key", "left").withColumn("ask", F.coalesce(is_query, F.lit(False)))

@@ -130,6 +130,29 @@ def test_recordings_align(spark):
     assert got[60].n_prints in (-1, 0, None) and got[60].n_links == 0 and got[80].n_links == 0
 
 
+def test_links_are_those_of_brute_force(spark):
+    r = np.random.default_rng(5)
+    rows = [r.integers(0, 1 << 32, n, dtype=np.uint32) for n in (40, 40, 40, 51, 51, 64)]
+    flipped = lambda x, share: x ^ np.packbits(r.random((len(x), 32)) < share, axis=1).view(np.uint32).ravel()
+    rows += [flipped(rows[i % 6], share) for i, share in enumerate((0.03, 0.08, 0.12, 0.15, 0.17, 0.18) * 3)]
+    rows += [flipped(rows[5][at : at + 30], 0.15) for at in (0, 9, 31)]
+    want = {}
+    for a in range(0, len(rows), 2):
+        for b in range(len(rows)):
+            x, y = rows[a], rows[b]
+            for offset in range(20 - len(x), len(y) - 19) if a != b else ():
+                lo, hi = max(0, -offset), min(len(x), len(y) - offset)
+                if hi - lo >= 20 and (e := int(np.bitwise_count(x[lo:hi] ^ y[lo + offset : hi + offset]).sum()) / (32 * (hi - lo))) <= 0.2:
+                    want[a, b] = min(want.get((a, b), (2.0, 0)), (e, offset))
+    prints = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "rec_id long, prints array<long>")
+    got = {x.rec_id: x for x in audio.align(prints, F.col("rec_id") % 2 == 0, block=200).collect()}
+    assert len(want) > 20
+    for a in range(0, len(rows), 2):
+        of = [(*v, b) for (q, b), v in want.items() if q == a]
+        assert got[a].n_links == len(of)
+        assert not of or (got[a].best_error, got[a].best_offset, got[a].best_match) == min(of)
+
+
 def test_audio_of_nothing(spark):
     media = spark.createDataFrame([], "rec_id long, media binary")
     assert audio.align(audio.fingerprint_column(media, audio.pcm16), F.col("rec_id") % 20 == 0).count() == 0
