@@ -1,124 +1,149 @@
 """Cross-entropy difference of documents under two n-gram models.
 
 The target model counts the documents labelled good, the background model all
-documents. Both are bigram models interpolated with unigrams, over one
-vocabulary: words are hashed to ``2**word_bits`` slots and bigrams to
-``2**bigram_bits``, so that a model's size is fixed whatever the corpus, while
-its counts cover all of it. Tasks count in arrays and send the slots that they
-filled; what is gathered grows with the input.
+documents. Both are bigram models interpolated with unigrams. Words are 64-bit
+hashes; words and bigrams are counted in distributed tables, one row for each
+that occurs, so that nothing is capped and nothing but totals is gathered. Every
+bigram's loss is one row, to which the documents' bigrams are joined.
 """
 
 from __future__ import annotations
 
-import zlib
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.scratch import Scratch
 
-class _Slots(dict):
-    def __init__(self, bits: int):
-        self.mask = (1 << bits) - 1
+#: Tokens that a task counts before it sends them.
+HELD = 2_000_000
+
+
+class _Hashes(dict):
+    """Signed 64-bit hashes of words; 0, the context of a first word, is none of them."""
 
     def __missing__(self, word: bytes) -> int:
+        import xxhash
+
         if len(self) > 500_000:
             self.clear()
-        h = zlib.crc32(word)
-        self[word] = got = (h ^ h >> 15) & self.mask
+        h = xxhash.xxh64_intdigest(word) or 1
+        self[word] = got = h - (1 << 64) if h >> 63 else h
         return got
 
 
 @dataclass
 class Models:
-    """Counts of words and bigrams, target then background; slot 0 of ``totals`` is the target's number of words."""
+    """pairs: before, w, target, background, one row for every bigram counted; ``before`` of a document's first word is 0. The prior is spread over 2**word_bits words, no less than there are."""
 
+    docs: DataFrame
+    pairs: DataFrame
     word_bits: int
-    bigram_bits: int
-    words: np.ndarray  # (2, slots)
-    bigrams: np.ndarray  # (2, slots)
     mix: float = 0.6
     prior: float = 0.5
 
-    def losses(self, w: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(2, tokens) negative log probabilities; ``first`` marks a document's first word, which has no context."""
-        pair = bigram_slots(w, self.bigram_bits)
-        out = np.empty((2, len(w)))
-        slots = self.words.shape[1]
-        before = np.concatenate(([0], w[:-1]))
-        for m in (0, 1):
-            c = self.words[m]
-            single = (c[w] + self.prior) / (c.sum(dtype=np.float64) + self.prior * slots)
-            context = np.where(first, 0, c[before])
-            # a slot shared by several bigrams can count more than its context
-            both = np.minimum(self.bigrams[m][pair], context)
-            share = np.divide(both, context, out=np.zeros(len(w)), where=context > 0)
-            mix = np.where(context > 0, self.mix, 0.0)
-            out[m] = -np.log(mix * share + (1 - mix) * single)
-        return out
-
-
-def bigram_slots(w: np.ndarray, bits: int) -> np.ndarray:
-    """Slots of (word before, word); the first has slot of no use."""
-    before = np.concatenate(([0], w[:-1])).astype(np.uint64)
-    h = (before * np.uint64(0x9E3779B97F4A7C15) ^ w.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _tokens(texts: list[bytes | None], slots: _Slots) -> tuple[np.ndarray, np.ndarray]:
-    """Word slots of all texts in a row, and how many each has."""
+
+def _tokens(texts: list[bytes | None], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts in a row, the words before them, and how many each text has."""
     flat: list[int] = []
     sizes = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
-        got = [slots[x] for x in t.lower().split()] if t else []
+        got = [hashes[x] for x in t.lower().split()] if t else []
         sizes[i] = len(got)
         flat += got
-    return np.array(flat, np.int64), sizes
+    w = np.array(flat, np.int64)
+    before = np.concatenate((np.zeros(1, np.int64), w[:-1]))[: len(w)]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return w, before, sizes
+
+
+def _pair(before: np.ndarray, w: np.ndarray) -> np.ndarray:
+    b = before.view(np.uint64)
+    return (b << np.uint64(21) | b >> np.uint64(43)).view(np.int64) ^ w
+
 
+def _pair_column() -> Column:
+    """As _pair."""
+    return F.shiftleft("before", 21).bitwiseOR(F.shiftrightunsigned("before", 43)).bitwiseXOR(F.col("w"))
 
-def _first(sizes: np.ndarray) -> np.ndarray:
-    marks = np.zeros(int(sizes.sum()) + 1, bool)
-    marks[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = True if len(sizes) else False
-    return marks[:-1]
 
+def _bigrams(rows: DataFrame) -> DataFrame:
+    """(before, w, target, background): partial counts. rows: good (NULL: counts for neither model), t."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            w, before, target, every = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, inverse = np.unique(_pair(before, w), return_index=True, return_inverse=True)
+            sums = [pa.array(np.bincount(inverse, x, len(at)).astype(np.int64)) for x in (target, every)]
+            return pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(w[at]), *sums], ["before", "w", "target", "background"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                marks = part.column(0).to_pylist()
+                w, before, sizes = _tokens(part.column(1).to_pylist(), hashes)
+                held.append((w, before, np.repeat([float(g is True) for g in marks], sizes), np.repeat([float(g is not None) for g in marks], sizes)))
+                size += len(w)
+                if size >= HELD:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
 
-def fit(docs: DataFrame, labels: DataFrame, *, word_bits: int = 18, bigram_bits: int = 21) -> Models:
+    return rows.mapInArrow(count, "before long, w long, target long, background long")
+
+
+def _total(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("before", "w").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def _free(docs: DataFrame) -> None:
+    """Shuffle files of what is written already go, as far as nothing refers to them."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, word_bits: int = 18) -> Models:
     """Both models, from all documents. labels: doc_id, quality (1: target).
 
-    The join is a merge join whatever the size, as labels grow with the documents.
+    The prior is spread over ``2**word_bits`` words, or the least power of two
+    that exceeds the words counted. The join is a merge join whatever the size,
+    as labels grow with the documents.
     """
+    scratch = Scratch(docs.sparkSession, "lm")
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("t")).join(good.hint("merge"), "doc_id", "left").select(F.col("good").isNotNull().alias("good"), "t")
+    pairs = scratch.table(_total(_bigrams(rows)))
+    _free(docs)
+    words = pairs.select("w").distinct().count()
+    return Models(docs, pairs, max(word_bits, words.bit_length()))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = _Slots(word_bits)
-        size = (1 << word_bits) + (1 << bigram_bits)
-        held = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
-        for batch in batches:
-            marks = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            texts = batch.column(1).to_pylist()
-            for m, chosen in ((0, [t for t, g in zip(texts, marks, strict=True) if g]), (1, texts)):
-                w, sizes = _tokens(chosen, slots)
-                if not len(w):
-                    continue
-                held[m][: 1 << word_bits] += np.bincount(w, minlength=1 << word_bits)
-                pairs = bigram_slots(w, bigram_bits)[~_first(sizes)]
-                held[m][1 << word_bits :] += np.bincount(pairs, minlength=1 << bigram_bits)
-        used = np.flatnonzero(held[1])  # the target's documents are among all documents
-        for at in range(0, len(used), 500_000):
-            s = used[at : at + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(held[0][s]), pa.array(held[1][s])], ["slot", "target", "background"])
-
-    counts = rows.mapInArrow(count, "slot long, target long, background long").groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    table = counts.toArrow()  # at most one row per slot
-    slot = table.column("slot").to_numpy()
-    both = np.zeros((2, (1 << word_bits) + (1 << bigram_bits)), np.float32)
-    both[0, slot] = table.column("target").to_numpy()
-    both[1, slot] = table.column("background").to_numpy()
-    return Models(word_bits, bigram_bits, both[:, : 1 << word_bits].copy(), both[:, 1 << word_bits :].copy())
+
+def _losses(models: Models, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(pair, target_loss, background_loss): negative log probabilities of a word after another.
+
+    The words' counts are a table of their own, so that a common word's rows can be split.
+    """
+    words = scratch.table(pairs.groupBy("w").agg(F.sum("target").alias("t"), F.sum("background").alias("b")))
+    total = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    single = words.select("w", F.col("t").alias("t_w"), F.col("b").alias("b_w"))
+    context = words.select(F.col("w").alias("before"), F.col("t").alias("t_c"), F.col("b").alias("b_c"))
+    both = pairs.join(single, "w").join(context, "before", "left")
+
+    def loss(c: str, count: str) -> Column:
+        alone = (F.col(f"{c}_w") + models.prior) / ((total[c] or 0) + models.prior * float(1 << models.word_bits))
+        return -F.log(F.when(F.col(f"{c}_c") > 0, models.mix * F.col(count) / F.col(f"{c}_c") + (1 - models.mix) * alone).otherwise(alone))
+
+    return both.select(_pair_column().alias("pair"), loss("t", "target").alias("target_loss"), loss("b", "background").alias("background_loss"))
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -127,27 +152,32 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     docs: doc_id, text; other columns aren't read. Defined results: NULL and empty
     texts have no tokens, NULL losses and score 0; repeated rows give repeated
     results; an empty table gives an empty result; without labels the target
-    model is uniform.
+    model is uniform; bigrams that were not counted have count 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # the slots bound its size
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    scratch = Scratch(docs.sparkSession, "lm-score")
+    pairs = models.pairs
+    if not docs.sameSemantics(models.docs):
+        pairs = scratch.table(_total(pairs.unionByName(_bigrams(docs.select(F.lit(None).cast("boolean").alias("good"), F.col("text").cast("binary").alias("t"))))))
+    losses = scratch.table(_losses(models, pairs, scratch))
+    _free(docs)
+    kind = docs.schema["doc_id"].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        slots = _Slots(m.word_bits)
+        hashes = _Hashes()
+        names = ["doc_id", "row", "pair", "n"]
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                w, sizes = _tokens(part.column(1).to_pylist(), slots)
-                sums = np.zeros((2, len(sizes)))
+                w, before, sizes = _tokens(part.column(2).to_pylist(), hashes)
+                row = part.column(1).to_numpy()
+                # a document's own row has a key that spreads and no bigram has
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(row), pa.array(row), pa.array(sizes)], names)
                 if len(w):
-                    loss = m.losses(w, _first(sizes[sizes > 0]))
-                    starts = np.cumsum(sizes[sizes > 0]) - sizes[sizes > 0]
-                    sums[:, sizes > 0] = np.add.reduceat(loss, starts, axis=1) / sizes[sizes > 0]
-                none = sizes == 0
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), pa.array(sums[0], mask=none), pa.array(sums[1], mask=none), pa.array(sums[1] - sums[0])],
-                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(work, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(w), part.column(0).type), pa.array(np.repeat(row, sizes)), pa.array(_pair(before, w)), pa.nulls(len(w), pa.int64())], names)
+
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("t")).mapInArrow(work, f"doc_id {kind.simpleString()}, row long, pair long, n long")
+    met = rows.join(losses.hint("merge"), "pair", "left")
+    of = lambda c: F.sum(F.when(F.col("n").isNull(), F.col(c)))
+    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), of("target_loss").alias("t"), of("background_loss").alias("b"))
+    out = sums.select("doc_id", "n_tokens", (F.col("t") / F.col("n_tokens")).alias("target_loss"), (F.col("b") / F.col("n_tokens")).alias("background_loss"))
+    return out.withColumn("score", F.coalesce(F.col("background_loss") - F.col("target_loss"), F.lit(0.0)))

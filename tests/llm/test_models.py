@@ -47,6 +47,20 @@ def test_scores_of_odd_rows(spark):
     assert lm_score.score(docs, none).count() == len(got)
 
 
+def test_rare_words_share_nothing(spark):
+    # more words and bigrams than 2**18 and 2**21 slots: a model of fixed size gives them counts of others
+    base = llm_cases.documents(spark, [(i, " ".join(f"v{i}x{j}" for j in range(4000))) for i in range(80)] + [(900, "a b a b")])
+    models = lm_score.fit(base, marks(spark, [(900, 1, 0, None)]))
+    got = {r.doc_id: r for r in lm_score.score(base, models).collect()}
+    assert models.word_bits == 19 and models.pairs.count() == 80 * 4000 + 3
+    n, slots = 80 * 4000 + 4, 1 << 19
+    single = 1.5 / (n + 0.5 * slots)
+    want = -(np.log(single) + 3999 * np.log(0.6 + 0.4 * single)) / 4000
+    assert all(abs(got[i].background_loss - want) < 1e-9 for i in range(80))
+    new = lm_score.score(llm_cases.documents(spark, [(1, "a never")]), models).first()
+    assert abs(new.background_loss + (np.log(2.5 / (n + 0.5 * slots)) + np.log(0.4 * 0.5 / (n + 0.5 * slots))) / 2) < 1e-9
+
+
 def toxic_corpus(n=1500):
     r = random.Random(1)
     rows, labels = [], []
