@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import mixing, packing, quality_rules, secret_scan, simhash
+from factloom.llm import mixing, near_text, packing, quality_rules, secret_scan
 from factloom.scratch import Scratch
 
 
@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
+    return near_text.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -305,10 +305,8 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, shingle: int = 3, block
     return marked.join(of, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents' rows, all columns, one of each component: that of the smallest doc_id (NULL last), then of the least text key."""
-    scratch = Scratch(docs.sparkSession, "keep")
-    marked = scratch.table(near_duplicates(docs, **options).select("doc_id", "key", "root"))
+def first_of(docs: DataFrame, marked: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents' rows, all columns, one of each root: that of the smallest doc_id (NULL last), then of the least text key. marked: a table of doc_id, key, root."""
     first = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("x"))
     heads = scratch.table(first.select(F.col("x.doc_id").alias("_d"), F.col("x.key").alias("_k")))
     again = marked.groupBy("doc_id", "key").count().filter("count > 1").isEmpty()
@@ -318,5 +316,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The documents' rows, all columns, one of each component: that of the smallest doc_id (NULL last), then of the least text key."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    return first_of(docs, scratch.table(near_duplicates(docs, **options).select("doc_id", "key", "root")), scratch)
+
+
 def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

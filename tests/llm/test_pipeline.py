@@ -1,6 +1,7 @@
 """The pipeline against its stages in plain Python."""
 
 import os
+import random
 from collections import Counter, defaultdict
 
 import llm_cases
@@ -10,6 +11,8 @@ from test_duplicates import fingerprint, groups
 from test_packing_mixing import WORD, fill, ids_of
 from test_text_scans import KINDS, signals
 
+from factloom.llm import near_text
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -66,6 +69,31 @@ def test_stages(spark, folder):
     assert not single - Counter({k[: len(k) % (4 * 2048) or len(k)] if len(k) > 4 * 2048 else k: n for k, n in texts.items()})
 
 
+def test_near_copies_of_brute_force_go(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(60):
+        w = llm_cases.prose(500 + i, 150, 4000).split()
+        rows.append((1000 * i, " ".join(w)))
+        for k in range(1, 4):
+            v = list(w)
+            for at in r.sample(range(0, 150, 5), r.randrange(1, 6)):
+                v[at] = f"new{i}x{k}x{at}"
+            rows.append((1000 * i + k, " ".join(v)))
+    sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    similar = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    root = groups(len(rows), similar)
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if similar(a, b)]
+    fps = [fingerprint(t) for _, t in rows]
+    assert len(near) > 50 and sum((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in near) < len(near) / 2
+    docs = llm_cases.documents(spark, rows)
+    got = {x.doc_id: x.root for x in near_text.near_copies(docs).collect()}
+    assert sum(got[rows[a][0]] == got[rows[b][0]] for a, b in near) >= 0.9 * len(near)
+    assert all(got[rows[a][0]] != got[rows[b][0]] for a in range(len(rows)) for b in range(a) if root[a] != root[b])
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert {x.doc_id for x in kept.collect()} == {min(d for d in got if got[d] == k) for k in set(got.values())}
+
+
 def test_run_is_the_stages_in_a_row(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.count() > 0 and {"sequence_id", "offset", "ids"} <= set(got.columns)
