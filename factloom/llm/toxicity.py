@@ -155,12 +155,42 @@ def _apart(texts: DataFrame, rounds: int = 3) -> DataFrame:
     return texts.drop(*[f"_m{r}" for r in range(rounds)])
 
 
+def _document_counts(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many of them hold each term."""
+    number = {t: i for i, t in enumerate(terms)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(number) + 1, np.int64)
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            held[-1] += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                found: set[int] = set()
+                for w in set(text.lower().split()) if text else ():
+                    got = known.get(w)
+                    if got is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        known[w] = got = tuple(t for f in features_of(w) if (t := number.get(f)) is not None)
+                    found.update(got)
+                held[list(found)] += 1
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used])], ["t", "n"])
+
+    sums = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(terms) + 1)
+    for r in sums:
+        out[r["t"]] = r["n"]
+    return int(out[-1]), out[:-1]
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, max_features: int = 4096, min_documents: int = 5, z: float = 5.0, min_ratio: float = 4.0, k: int = 15, held_out: int = 2) -> Index:
     """An index from at most ``sample_per_class`` labelled rows of each class, those with the least hashes.
 
     Rows whose crc32(doc_id as text) mod 4 is ``held_out`` are never read; of the
     others every fourth, by hash, calibrates and the rest are examples. A feature
     is significantly (``z``) and ``min_ratio`` times as frequent in toxic examples.
+    Its document frequency counts all documents; words that are no feature are in no vector.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.filter("toxic is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != held_out)
@@ -189,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, max
     score = (F.col("n1") / m1 - F.col("n0") / m0) / F.sqrt(pooled * (1 - pooled) * (1 / m0 + 1 / m1) + 1e-12)
     picked = counts.withColumn("z", score).filter((F.col("z") >= z) & (F.col("n0") + F.col("n1") >= min_documents) & (F.col("n1") / m1 >= min_ratio * F.col("n0") / m0)).orderBy(F.desc("z"), "f").limit(max_features).collect()
     terms = [r["f"] for r in picked]
-    index = build_index([], terms, np.array([r["n0"] + r["n1"] for r in picked], float), m0 + m1, {0: 1.0, 1: 1.0}, k=k)
+    n, document_counts = _document_counts(docs, terms)
+    index = build_index([], terms, document_counts, n, {0: 1.0, 1: 1.0}, k=k)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, max
     rows = texts.select("doc_id", "toxic", "h", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, h long, t array<bigint>, n array<bigint>").collect()
     importance = {c: total.get(c, 0) / max(1, size.get(c, 0)) for c in (0, 1)}
     examples = [(r["doc_id"], r["toxic"], dict(zip(r["t"], r["n"], strict=True))) for r in rows if r["h"] % 4]
-    fitted = build_index(examples, terms, np.array([r["n0"] + r["n1"] for r in picked], float), m0 + m1, importance, k=k)
+    fitted = build_index(examples, terms, document_counts, n, importance, k=k)
     x, y, w, none = [], [], [], [0.0, 0.0]
     for r in rows:
         if r["t"]:

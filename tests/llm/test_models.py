@@ -87,6 +87,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and (r.predicted == 1) == (r.score >= 0.3) for r in got)
 
 
+def test_document_frequencies_count_all_documents(spark):
+    rows, labels = toxic_corpus()
+    rows += [(10_000 + i, "slur, again" if i % 2 else None) for i in range(400)]  # without labels
+    index = toxicity.fit(llm_cases.documents(spark, rows), marks(spark, labels))
+    assert "slur" in index.terms
+    for t in ("slur", "vile"):
+        held = sum(t in {f for w in (x or "").lower().split() for f in toxicity.features_of(w)} for _, x in rows)
+        assert abs(index.idf[index.terms[t]] - (np.log((1 + len(rows)) / (1 + held)) + 1)) < 1e-9
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = llm_cases.documents(spark)
     for labels in ([], [(0, None, 1, None)], [(i, None, i % 2, None) for i in range(20)]):
