@@ -16,17 +16,17 @@ from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch, broadcast_if_small
 
-#: kind, pattern, group whose length counts, its least length; in the order in which kinds are listed.
+#: kind, pattern, group whose length counts, its least length; in the order in which kinds are listed. Keywords are matched in either case, here and below.
 BASE = (
     ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 WEAK = (
-    ("weak_id", r"""(user|username|login|client_id|account_id|key_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)""", 2, 3),
-    ("weak_secret", r"""(pass|pwd|auth|credential|signature|private_key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("weak_id", r"""((?i:user|username|login|client_id|account_id|key_id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)""", 2, 3),
+    ("weak_secret", r"""((?i:pass|pwd|auth|credential|signature|private_key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("weak_block", r"""(?<![A-Za-z0-9+/=])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=])""", 0, 40),
-    ("weak_endpoint", r"""(https?|postgres|mysql|mongodb|redis|amqp|ftp)://([A-Za-z0-9._:/-]+)""", 0, 10),
+    ("weak_endpoint", r"""((?i:https?|postgres|mysql|mongodb|redis|amqp|ftp))://([A-Za-z0-9._:/-]+)""", 0, 10),
 )
 #: The part that a kind plays.
 ROLE = {"assign": "secret", "hex": "secret", "access": "id", "weak_id": "id", "weak_secret": "secret", "weak_block": "secret", "weak_endpoint": "endpoint"}

@@ -97,6 +97,14 @@ def test_weak_parts_need_complements(spark):
     assert by[None] == [["linked_secret"]]  # an endpoint alone completes a secret, but isn't reported without an id
 
 
+def test_weak_parts_in_either_case(spark):
+    lower = "user=alice auth=abc123xyz https://host.example/x"
+    docs = llm_cases.documents(spark, [(1, lower), (2, lower.replace("user", "USER").replace("auth", "Auth").replace("https", "HTTPS"))])
+    got = {r.doc_id: sorted((x.s, x.e, x.kind) for x in r.linked) for r in secret_scan.scan(docs).collect()}
+    assert len(got[1]) == 3 and got[2] == got[1]
+
+
+
 def test_redaction(spark):
     docs = llm_cases.documents(spark, SECRETS)
     got = secret_scan.redact_secrets(docs)
