@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 # Names, prefixes and extensions that decide what a path is.
 IGNORED_DIRECTORIES = (
-    ".docgen-analysis", ".docgen-analysis-live", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", "node_modules", ".git", "dist",
+    ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", "node_modules", ".git", "dist",
     "build", "out", "coverage", "htmlcov", ".next", ".turbo", "__pycache__", ".venv", "venv",
 )
-IGNORED_PREFIXES = (".docgen-analysis", "docgen-smoke")
 IGNORED_SUFFIXES = (".egg-info",)
 GENERATED_NAMES = (
     "analysis-summary.json", "artifact-manifest.json", "coverage-report.json", "dependency-graph.json", "function-index.json", "inventory.json",
     "module-candidates.json",
 )
-GENERATED_PREFIX = ".docgen-analysis"
+#: The folder that an analysis writes its facts to, and the folder of its trial runs, unless a caller names others.
+OUTPUT_PREFIX, TRIAL_PREFIX = ".factloom-analysis", "factloom-smoke"
 FIXTURE_MARKERS = ("tests/fixtures/", "testdata/", "fixtures/", "samples/", "sample_project/")
 SOURCE_LANGUAGES = {".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".py": "python"}
 OTHER_LANGUAGES = {
@@ -87,20 +87,21 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.array_join(F.slice(p, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
-def is_ignored_directory(dirname: Column) -> Column:
+def is_ignored_directory(dirname: Column, output: str = OUTPUT_PREFIX, trial: str = TRIAL_PREFIX) -> Column:
     low = F.lower(dirname)
-    return _any(low.isin(*IGNORED_DIRECTORIES), *[low.startswith(p) for p in IGNORED_PREFIXES], *[low.endswith(s) for s in IGNORED_SUFFIXES])
+    return _any(low.isin(*IGNORED_DIRECTORIES), *[low.startswith(p) for p in (output, trial)], *[low.endswith(s) for s in IGNORED_SUFFIXES])
 
 
 def is_fixture(path: Column) -> Column:
     return _any(*[normalized(path).contains(m) for m in FIXTURE_MARKERS])
 
 
-def is_generated(path: Column) -> Column:
+def is_generated(path: Column, output: str = OUTPUT_PREFIX, trial: str = TRIAL_PREFIX) -> Column:
+    """Files of an analysis: by name, packed, or below its own folders."""
     low = F.lower(name(path))
     return _any(
-        low.isin(*GENERATED_NAMES), low.startswith(GENERATED_PREFIX) & low.endswith(".zip"),
-        F.exists(parts(path), lambda x: F.lower(x).startswith(GENERATED_PREFIX)), normalized(path).contains("docgen-smoke/"),
+        low.isin(*GENERATED_NAMES), low.startswith(output) & low.endswith(".zip"),
+        F.exists(parts(path), lambda x: F.lower(x).startswith(output)), normalized(path).contains(f"{trial}/"),
     )
 
 

@@ -155,7 +155,7 @@ def key_entities(t):
 
 # ---- paths
 
-_DIRS = ("src", "tests", "docs", "config", "assets/img", "lib/fixtures", "bin", "pkg.egg-info", "src/utils/spec", ".docgen-analysis/x")
+_DIRS = ("src", "tests", "docs", "config", "assets/img", "lib/fixtures", "bin", "pkg.egg-info", "src/utils/spec", ".factloom-analysis/x")
 _EXTS = (".py", ".ts", ".json", ".md", ".png", ".yaml", ".test.js", ".bin", "", ".cfg")
 _STEMS = ("main", "test_core", "index", "setup", "readme", "x_test", "package", "settings", "Dockerfile", "cli")
 _PATHS_SQL = f"""p0 as (select p_partkey, ([{_quoted(_DIRS)}])[p_partkey % 10 + 1] || '/' || ([{_quoted(_STEMS)}])[p_partkey // 100 % 10 + 1] || ([{_quoted(_EXTS)}])[p_partkey // 10 % 10 + 1] as path from part),
@@ -184,7 +184,7 @@ def path_classify(t):
 
 @query(f"""with {_PATHS_SQL}
 select p_partkey, path, case when list_bool_or(list_transform(low, lambda x: ends_with(x, '.egg-info'))) then 'packaging_metadata'
-  when lname in ({_quoted(paths.GENERATED_NAMES)}) or list_bool_or(list_transform(low, lambda x: starts_with(x, '.docgen-analysis'))) then 'generated'
+  when lname in ({_quoted(paths.GENERATED_NAMES)}) or list_bool_or(list_transform(low, lambda x: starts_with(x, '.factloom-analysis'))) then 'generated'
   when regexp_matches(lower(path) || '/', 'tests/fixtures/|testdata/|fixtures/|samples/|sample_project/') then 'fixture' end as artifact_role,
  case {" ".join(f"when extension = '{k}' then '{v}'" for k, v in {**paths.SOURCE_LANGUAGES, **paths.OTHER_LANGUAGES}.items())} when name in ('Dockerfile', 'Makefile') then lower(name) else 'unknown' end as language,
  case when len(parts) > 1 then array_to_string(list_slice(parts, 1, len(parts) - 1), '/') else '.' end as parent, len(parts)::int as depth
@@ -201,10 +201,10 @@ def path_stems(t):
     return _paths(t).select("p_partkey", paths.normalized_stem(p).alias("stem"), paths.python_module(p).alias("module"), paths.strip_doc_prefix(p).alias("doc_path"))
 
 
-@query(f"""with {_PATHS_SQL}, t as (select distinct path, unnest(['src', 'tests', 'build', 'node_modules', 'pkg.egg-info', 'Docgen-Smoke-1', '.venv', 'lib']) as dir from p4)
-select dir, count(*) as n, bool_or(lower(dir) in ({_quoted(paths.IGNORED_DIRECTORIES)}) or starts_with(lower(dir), '.docgen-analysis') or starts_with(lower(dir), 'docgen-smoke') or ends_with(lower(dir), '.egg-info')) as ignored from t group by 1""")
+@query(f"""with {_PATHS_SQL}, t as (select distinct path, unnest(['src', 'tests', 'build', 'node_modules', 'pkg.egg-info', 'Factloom-Smoke-1', '.venv', 'lib']) as dir from p4)
+select dir, count(*) as n, bool_or(lower(dir) in ({_quoted(paths.IGNORED_DIRECTORIES)}) or starts_with(lower(dir), '.factloom-analysis') or starts_with(lower(dir), 'factloom-smoke') or ends_with(lower(dir), '.egg-info')) as ignored from t group by 1""")
 def pruned_directories(t):
-    names = F.explode(F.array(*[F.lit(x) for x in ("src", "tests", "build", "node_modules", "pkg.egg-info", "Docgen-Smoke-1", ".venv", "lib")]))
+    names = F.explode(F.array(*[F.lit(x) for x in ("src", "tests", "build", "node_modules", "pkg.egg-info", "Factloom-Smoke-1", ".venv", "lib")]))
     rows = _paths(t).select("path").distinct().withColumn("dir", names)
     return rows.groupBy("dir").agg(F.count("*").alias("n"), F.bool_or(paths.is_ignored_directory(F.col("dir"))).alias("ignored"))
 

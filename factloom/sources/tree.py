@@ -2,7 +2,7 @@
 
 Spark's file sources leave out names that begin with ``_`` or ``.``, among them
 ``__init__.py``; this one walks the tree, prunes ignored directories while it
-walks and reads one top-level entry per task.
+walks and deals directories to tasks.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from factloom.functions import paths
 def pruned(name: str) -> bool:
     """is_ignored_directory of the path functions, for one name."""
     low = name.lower()
-    return low in paths.IGNORED_DIRECTORIES or low.startswith(paths.IGNORED_PREFIXES) or low.endswith(paths.IGNORED_SUFFIXES)
+    return low in paths.IGNORED_DIRECTORIES or low.startswith((paths.OUTPUT_PREFIX, paths.TRIAL_PREFIX)) or low.endswith(paths.IGNORED_SUFFIXES)
 
 
-class _Entry(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+class _Part(InputPartition):
+    """Files of one directory, by name, and directories to walk."""
+
+    def __init__(self, above: str, files: list[str], below: list[str]):
+        self.above, self.files, self.below = above, files, below
 
 
 class _TreeReader(DataSourceReader):
@@ -34,26 +36,34 @@ class _TreeReader(DataSourceReader):
         self.root = options["path"]
         self.skip = os.path.abspath(options["skip"]) if options.get("skip") else None
         self.content = options.get("content", "true").lower() == "true"
+        self.parts = int(options.get("parts", "256"))
+        self.files = int(options.get("files", "1000"))
 
     def partitions(self) -> list[InputPartition]:
+        """Directories are opened, the uppermost first, until there are enough of them; files of one directory go in bunches."""
         if not os.path.isdir(self.root):
             raise NotADirectoryError(self.root)
-        return [_Entry(x) for x in sorted(os.listdir(self.root)) if not (os.path.isdir(os.path.join(self.root, x)) and self._left_out(self.root, x))] or [_Entry("")]
+        out, waiting = [], [self.root]
+        while waiting and len(out) + len(waiting) < self.parts:
+            above = waiting.pop(0)
+            with os.scandir(above) as entries:
+                found = sorted(entries, key=lambda e: e.name)
+            files = [e.name for e in found if not e.is_dir(follow_symlinks=False)]
+            out += [_Part(above, files[i : i + self.files], []) for i in range(0, len(files), self.files)]
+            waiting += [e.path for e in found if e.is_dir(follow_symlinks=False) and not self._left_out(above, e.name)]
+        return [*out, *[_Part(x, [], [x]) for x in waiting]] or [_Part(self.root, [], [])]
 
     def _left_out(self, above: str, name: str) -> bool:
         return pruned(name) or self.skip == os.path.abspath(os.path.join(above, name))
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not partition.name:
-            return
-        top = os.path.join(self.root, partition.name)
-        if not os.path.isdir(top):
-            yield self._row(top)
-            return
-        for above, dirs, files in os.walk(top):
-            dirs[:] = sorted(d for d in dirs if not self._left_out(above, d))
-            for f in sorted(files):
-                yield self._row(os.path.join(above, f))
+        for f in partition.files:
+            yield self._row(os.path.join(partition.above, f))
+        for top in partition.below:
+            for above, dirs, files in os.walk(top):
+                dirs[:] = sorted(d for d in dirs if not self._left_out(above, d))
+                for f in sorted(files):
+                    yield self._row(os.path.join(above, f))
 
     def _row(self, path: str) -> tuple:
         data = None
@@ -64,7 +74,7 @@ class _TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """Options: path; skip (a directory to leave out); content (false: names and sizes only)."""
+    """Options: path; skip (a directory to leave out); content (false: names and sizes only); parts (directories are dealt to about as many tasks); files (of one directory, to a task at most)."""
 
     @classmethod
     def name(cls) -> str:

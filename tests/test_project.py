@@ -105,3 +105,89 @@ def test_lenient_json(spark, tmp_path):
 
 def test_dotenv():
     assert facts.dotenv("# c\nA=1\nexport B='x=y'\nnothing") == {"A": "1", "B": "x=y"}
+
+
+SCRIPT = """// class Commented {
+/* function no() { */
+import {
+  a,
+} from "several/lines";
+import one from 'one'; const two = require("two"), three = require('three');
+import "side/effect";
+export * from "./again";
+const brace = "{", pattern = /[{/]+/g, text = `function f() { ${[1].map((x) => `{${x}`)} }`;
+export async function load(
+  path: string,
+  { deep = 1, ...rest } = {},
+): Promise<{ ok: boolean }> {
+  if (path) { return { ok: true }; }
+}
+export default class Shelf extends Base.of({ a: 1 }) {
+  static async put(item = "}") {
+    function inner() {}
+  }
+  field = () => { };
+  get;
+}
+const pick = async (a, b = [1, 2]): T => a;
+let single = x => {
+  return x;
+};
+export { pick, single as one };
+export const number = 1;
+  function late(x) { return x }
+{ function hidden() {} }
+"""
+
+
+def test_scripts_with_odd_places_of_braces_and_lines():
+    from factloom.sources import script
+
+    got = script.read(SCRIPT)
+    told = {d.name: d for d in got.declarations}
+    assert [d.name for d in got.declarations] == ["load", "Shelf", "put", "pick", "single", "late"]
+    load = told["load"]
+    assert (load.line, load.end, load.is_async, load.returns) == (10, 15, True, "Promise<{ ok: boolean }>")
+    assert extract.script_parameters(load.arguments)[0] == ("path", "parameter", "string", None, False)
+    assert extract.script_parameters(load.arguments)[1][0] == "{ deep = 1, ...rest }"
+    assert (told["Shelf"].base, told["Shelf"].line, told["Shelf"].end) == ("Base.of({ a: 1 })", 16, 22)
+    assert (told["put"].parent, told["put"].is_async, told["put"].end) == ("Shelf", True, 19)
+    assert (told["pick"].returns, told["pick"].is_async, told["pick"].line, told["pick"].end) == ("T", True, 23, 23)
+    assert (told["single"].arguments, told["single"].end) == ("x", 26)
+    assert got.exported == {"load", "Shelf", "pick", "single", "number"}
+    assert got.imports == [("import", 6, "one"), ("require", 6, "two"), ("require", 6, "three"), ("import", 7, "side/effect"), ("re-export", 8, "./again")]
+
+
+def test_scripts_that_end_early():
+    from factloom.sources import script
+
+    for text in ("", "class", "class A {", "export", "export default", "function f(", "const a =", "import", "import 'x", "`${", "/*", "'", "export {", "async function", "a = /["):
+        script.read(text)
+
+
+def test_tree_parts(spark, tmp_path):
+    """Few or many parts, all files are read once."""
+    for i in range(30):
+        at = tmp_path / "one" / f"d{i % 3}" / f"e{i % 5}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"{i}.txt").write_bytes(b"x")
+    spark.dataSource.register(tree.TreeSource)
+    for parts in ("1", "3", "100"):
+        got = spark.read.format(tree.TreeSource.name()).option("path", str(tmp_path)).option("parts", parts).option("files", "2").load()
+        assert sorted(r.path.rsplit("/", 1)[1] for r in got.collect()) == sorted(f"{i}.txt" for i in range(30))
+
+
+def test_specs(spark):
+    from factloom.functions import text
+    from pyspark.sql import functions as F
+
+    rows = [("click[x] ~= 8", "click[x]", "~= 8"), (" attrs>=23 ", "attrs", ">=23"), ("a.b-c_d", "a.b-c_d", None), ("x[]>1", "x", "[]>1"), ("@scope", "", None), ("", "", None), ("n [e]", "n", "[e]")]
+    got = spark.createDataFrame(rows, "s string, n string, v string").select("s", "n", "v", text.spec_name(F.col("s")).alias("name"), text.spec_version(F.col("s")).alias("version"))
+    for r in got.collect():
+        assert (r["name"], r["version"]) == (r["n"], r["v"]), r
+
+
+def test_requirement_lines(spark):
+    lines = "a==1\n b >= 2 # c\n-e x\n# a\nc\nd[x]==1\ne;python\nf @ url\ng ~=1\n\n"
+    got = manifests.requirements(spark.createDataFrame([("requirements.txt", lines)], "path string, text string"))
+    assert [(r["name"], r["version"]) for r in got.collect()] == [("a", "==1"), ("b", ">= 2 # c"), ("c", None), ("g", "~=1")]
