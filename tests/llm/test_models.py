@@ -14,26 +14,59 @@ def marks(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int, text string")
 
 
-def test_losses_by_hand(spark):
-    docs = llm_cases.documents(spark, [(1, "a b a b"), (2, "c c"), (3, "a b")])
-    models = lm_score.fit(docs, marks(spark, [(1, 1, 0, None), (2, 0, 0, None)]))
-    got = {r.doc_id: r for r in lm_score.score(docs, models).collect()}
-    slots = 1 << models.word_bits
-
-    def loss(words, corpus):
-        uni, bi, n = Counter(w for t in corpus for w in t), Counter(p for t in corpus for p in zip(t, t[1:])), sum(map(len, corpus))
-        out = []
+def lm_by_hand(words, taken, target, every, prior=0.5, weight=2.0):
+    """Losses of a text under both models, without ``taken`` of either (lists of texts)."""
+    n, size = sum(map(len, every)), sum(map(len, target))
+    scale, vocabulary = size / max(1, n), len({w for t in every for w in t})
+    out = []
+    for corpus, mine, each in ((target, taken[0], 1.0), (every, taken[1], scale)):
+        uni, bi = Counter(w for t in corpus for w in t), Counter(p for t in corpus for p in zip(t, t[1:]))
+        uni.subtract(w for t in mine for w in t)
+        bi.subtract(p for t in mine for p in zip(t, t[1:]))
+        total = each * (sum(map(len, corpus)) - sum(map(len, mine)))
+        loss = 0.0
         for i, w in enumerate(words):
-            single = (uni[w] + 0.5) / (n + 0.5 * slots)
-            before = words[i - 1] if i else None
-            out.append(-np.log(0.6 * bi[before, w] / uni[before] + 0.4 * single if i and uni[before] else single))
-        return np.mean(out)
-
-    every = [["a", "b", "a", "b"], ["c", "c"], ["a", "b"]]
-    for d, words in ((1, every[0]), (2, every[1]), (3, every[2])):
-        assert abs(got[d].target_loss - loss(words, every[:1])) < 1e-5 and abs(got[d].background_loss - loss(words, every)) < 1e-5
-        assert abs(got[d].score - (got[d].background_loss - got[d].target_loss)) < 1e-9
-    assert got[1].score > got[2].score
+            alone = (each * uni[w] + prior) / (total + prior * (vocabulary + 1))
+            pair, before = (each * bi[words[i - 1], w], each * uni[words[i - 1]]) if i else (0, 0)
+            loss -= np.log((pair + weight * alone) / (max(before, pair) + weight))
+        out.append(loss / len(words))
+    return out
+
+
+def test_losses_by_hand(spark, monkeypatch):
+    """Every document against counts in plain Python, with several chunks and parts."""
+    monkeypatch.setattr(lm_score, "CHUNK", 300)
+    monkeypatch.setattr(lm_score, "PART", 100)
+    texts = [llm_cases.prose(i % 37, 20 + i % 90, 60) for i in range(60)] + ["a b a b", "c c", "a b", "A  b", "", None]
+    docs = llm_cases.documents(spark, list(enumerate(texts))).repartition(3).checkpoint()
+    good = [i for i in range(66) if i % 5 == 0]
+    models = lm_score.fit(docs, marks(spark, [(i, int(i in good), 0, None) for i in range(0, 66)]))
+    assert models.parts > 3 and models.chunks.count() > 6
+    got = {r.doc_id: r for r in lm_score.score(docs, models).collect()}
+    split = [(t or "").lower().split() for t in texts]
+    target = [split[i] for i in good]
+    assert len(got) == 66
+    for i, words in enumerate(split):
+        assert got[i].n_tokens == len(words)
+        if words:
+            t, b = lm_by_hand(words, ([words] if i in good else [], [words]), target, split)
+            assert abs(got[i].target_loss - t) < 1e-9 and abs(got[i].background_loss - b) < 1e-9 and abs(got[i].score - (b - t)) < 1e-9
+    new = [(1, "a b c never seen"), (2, texts[5])]
+    for r in lm_score.score(llm_cases.documents(spark, new), models).collect():
+        words = dict(new)[r.doc_id].lower().split()
+        t, b = lm_by_hand(words, ([], []), target, split)
+        assert abs(r.target_loss - t) < 1e-9 and abs(r.background_loss - b) < 1e-9
+
+
+def test_models_are_matched(spark):
+    """Without a difference in domain, target documents score as the others do although the background has four times the words; a domain of its own is scored above it."""
+    texts = [llm_cases.prose(i, 200, 400) for i in range(200)] + [" ".join(f"law{(i * j) % 50}" for j in range(200)) for i in range(40)]
+    docs = llm_cases.documents(spark, list(enumerate(texts)))
+    same = lm_score.score(docs.filter("doc_id < 200"), lm_score.fit(docs.filter("doc_id < 200"), marks(spark, [(i, int(i % 4 == 0), 0, None) for i in range(200)]))).collect()
+    good, rest = ([r.score for r in same if (r.doc_id % 4 == 0) == g] for g in (True, False))
+    assert abs(np.mean(good) - np.mean(rest)) < 0.03 and max(map(abs, good + rest)) < 0.5
+    apart = {r.doc_id: r.score for r in lm_score.score(docs, lm_score.fit(docs, marks(spark, [(i, int(i >= 220), 0, None) for i in range(240)]))).collect()}
+    assert min(apart[i] for i in range(200, 240)) > max(apart[i] for i in range(200))
 
 
 def test_scores_of_odd_rows(spark):
@@ -47,18 +80,13 @@ def test_scores_of_odd_rows(spark):
     assert lm_score.score(docs, none).count() == len(got)
 
 
-def test_rare_words_share_nothing(spark):
-    # more words and bigrams than 2**18 and 2**21 slots: a model of fixed size gives them counts of others
+def test_nothing_is_capped(spark):
+    # over 2**18 words and bigrams, all of them counted apart
     base = llm_cases.documents(spark, [(i, " ".join(f"v{i}x{j}" for j in range(4000))) for i in range(80)] + [(900, "a b a b")])
     models = lm_score.fit(base, marks(spark, [(900, 1, 0, None)]))
+    assert (models.vocabulary, models.words, models.target_words) == (80 * 4000 + 2, 80 * 4000 + 4, 4)
     got = {r.doc_id: r for r in lm_score.score(base, models).collect()}
-    assert models.word_bits == 19 and models.pairs.count() == 80 * 4000 + 3
-    n, slots = 80 * 4000 + 4, 1 << 19
-    single = 1.5 / (n + 0.5 * slots)
-    want = -(np.log(single) + 3999 * np.log(0.6 + 0.4 * single)) / 4000
-    assert all(abs(got[i].background_loss - want) < 1e-9 for i in range(80))
-    new = lm_score.score(llm_cases.documents(spark, [(1, "a never")]), models).first()
-    assert abs(new.background_loss + (np.log(2.5 / (n + 0.5 * slots)) + np.log(0.4 * 0.5 / (n + 0.5 * slots))) / 2) < 1e-9
+    assert len({round(got[i].background_loss, 9) for i in range(80)}) == 1
 
 
 def toxic_corpus(n=1500):
