@@ -8,7 +8,7 @@ then weigh alike in both, and differences come from the domain and not from a
 model's size. A document is scored by what the other documents say: its own
 counts are taken out of both models first.
 
-Words and bigrams are 64-bit hashes. Documents are read once into chunks of
+Words and bigrams are hashes of ``BITS`` bits. Documents are read once into chunks of
 about ``CHUNK`` words. A chunk sends each of its distinct words and bigrams once,
 as sorted and packed keys with counts, to the part of the key space that they are
 in; a part adds up what all chunks sent and answers each chunk with the sums for
@@ -30,20 +30,22 @@ from factloom.scratch import Scratch
 
 #: Words of a chunk, and keys of a part, about.
 CHUNK, PART = 1_000_000, 2_000_000
+#: Of a key; 10**13 different bigrams would give one in 7,000 the counts of another.
+BITS = 56
 
 _TEXTS = "chunk long, ids array<{}>, sizes array<int>, words binary, n_words int, tokens binary, n_tokens long"
 _SENT = "part long, chunk long, n long, keys binary, counts binary"
 
 
 class _Hashes(dict):
-    """64-bit hashes of words."""
+    """Hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) > 500_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        self[word] = h = xxhash.xxh64_intdigest(word) >> 64 - BITS
         return h
 
 
@@ -72,7 +74,7 @@ def _unpacked_keys(data: bytes, n: int) -> np.ndarray:
 
 def _pair(before: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A bigram's key; multiplied, so that it is no word's."""
-    return ((before << np.uint64(21) | before >> np.uint64(43)) ^ w) * np.uint64(0x9E3779B97F4A7C15)
+    return ((before << np.uint64(21) | before >> np.uint64(BITS - 21)) ^ w) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)
 
 
 def _read(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -154,7 +156,7 @@ def _sent(chunks: DataFrame, parts: int, counted: bool) -> DataFrame:
     """What chunks (by _TEXTS, and good: the numbers of target documents) send, by _SENT; counts of 0 if they are only to be answered."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+        edges = np.array([(i << BITS) // parts for i in range(1, parts)], np.uint64)
         for batch in batches:
             for r in batch.to_pylist():
                 c = _Chunk.of(r["sizes"], r["words"], r["n_words"], r["tokens"], r["n_tokens"])
@@ -193,11 +195,10 @@ def _answered(sent: DataFrame) -> DataFrame:
 
 @dataclass
 class Models:
-    """sent: the counts of all chunks; target_words and words: numbers of words counted; vocabulary: distinct words."""
+    """target_words and words: numbers of words counted; vocabulary: distinct words."""
 
     docs: DataFrame
     chunks: DataFrame
-    sent: DataFrame
     parts: int
     target_words: int
     words: int
@@ -210,7 +211,7 @@ def _vocabulary(chunks: DataFrame, parts: int) -> int:
     """How many distinct words all chunks have."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+        edges = np.array([(i << BITS) // parts for i in range(1, parts)], np.uint64)
         for batch in batches:
             for r in batch.to_pylist():
                 keys = _unpacked_keys(r["words"], r["n_words"])
@@ -229,17 +230,16 @@ def _vocabulary(chunks: DataFrame, parts: int) -> int:
 def fit(docs: DataFrame, labels: DataFrame) -> Models:
     """Both models, from all documents. labels: doc_id, quality (1: target). Repeated rows count each; a NULL doc_id is never a target."""
     scratch = Scratch(docs.sparkSession, "lm")
-    chunks = _read(docs, scratch)
-    marked = chunks.select("chunk", F.posexplode("ids").alias("i", "doc_id"))
+    read = _read(docs, scratch)
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
     # labels grow with the documents: a merge join whatever the size
-    marks = marked.join(good.hint("merge"), "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("i").alias("good"))
-    marked = scratch.table(chunks.drop("ids").join(marks, "chunk", "left"))
+    marks = read.select("chunk", F.posexplode("ids").alias("i", "doc_id")).join(good.hint("merge"), "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("i").alias("good"))
+    chunks = scratch.table(read.join(marks, "chunk", "left"))
     target = F.aggregate(F.coalesce("good", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, i: a + F.get("sizes", i))
-    n, t, distinct = marked.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(target), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    n, t, distinct = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(target), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    scratch.drop(read)
     parts = max(1, -(-(n + distinct) // PART))
-    sent = scratch.table(_sent(marked, parts, True))
-    return Models(docs, chunks.join(marked.select("chunk", "good"), "chunk"), sent, parts, t, n, _vocabulary(chunks, max(1, -(-distinct // PART))))
+    return Models(docs, chunks, parts, t, n, _vocabulary(chunks, max(1, -(-distinct // PART))))
 
 
 def _losses(c: _Chunk, sums: np.ndarray, good: np.ndarray | None, m: Models) -> list[np.ndarray]:
@@ -271,15 +271,15 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lm-score")
     fitted = docs.sameSemantics(models.docs)
+    counted = _sent(models.chunks, models.parts, True).withColumn("asks", F.lit(fitted))
     if fitted:
-        chunks, sent = models.chunks, models.sent.withColumn("asks", F.lit(True))
+        chunks, sent = models.chunks, counted
     else:
         chunks = _read(docs, scratch).withColumn("good", F.lit(None).cast("array<int>"))
-        asked = _sent(chunks, models.parts, False).withColumn("asks", F.lit(True))
-        sent = models.sent.withColumn("asks", F.lit(False)).unionByName(asked)
+        sent = counted.unionByName(_sent(chunks, models.parts, False).withColumn("asks", F.lit(True)))
     answers = scratch.table(_answered(sent))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    numbers = Models(None, None, None, models.parts, models.target_words, models.words, models.vocabulary, models.prior, models.weight)
+    numbers = Models(None, None, models.parts, models.target_words, models.words, models.vocabulary, models.prior, models.weight)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         answered = sorted(right.to_pylist(), key=lambda r: r["part"])
