@@ -60,13 +60,14 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_audio(spark: SparkSession, folder: str) -> DataFrame:
-    """The tables hold no audio: each embedding is rendered as a recording, and every 20th is searched for among all."""
+    """The tables hold no audio: each embedding is rendered as a recording, and a noisy clip of every 20th is searched for among all."""
     from pyspark.sql import functions as F
 
     from .audio import align, fingerprint_column, render_vector
 
     media = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("rec_id"), F.col("embedding").alias("media"))
-    return align(fingerprint_column(media, render_vector()), F.col("rec_id") % 20 == 0)
+    clips = fingerprint_column(media.filter("rec_id % 20 = 0"), render_vector(noise=0.3, part=0.75))
+    return align(fingerprint_column(media, render_vector()), clips)
 
 
 def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:

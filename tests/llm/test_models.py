@@ -174,40 +174,86 @@ def test_recordings_align(spark):
     noise = np.random.default_rng(9).normal(scale=0.02, size=len(whole))
     rows = [(0, raw(whole)), (20, raw(whole[256 * 12 :])), (3, raw(whole + noise)), (4, raw(other)), (40, raw(other)), (5, b""), (60, None), (None, raw(whole)), (6, raw(whole)), (80, raw(melody(3)))]
     media = spark.createDataFrame([(*r, 1) for r in rows], "rec_id long, media binary, prints int")
-    got = {r.rec_id: r for r in audio.align(audio.fingerprint_column(media, audio.pcm16), F.col("rec_id") % 20 == 0).collect()}
+    prints = audio.fingerprint_column(media, audio.pcm16)
+    got = {r.rec_id: r for r in audio.align(prints, prints.filter("rec_id % 20 = 0")).collect()}
     assert len(got) == len(rows)
-    assert got[20].n_links == 2 and got[20].best_match == 0 and got[20].best_offset == 12 and got[20].best_error < 0.01
-    assert got[0].n_links == 2 and got[6].class_id == 0 and got[6].n_links is None
-    assert got[40].class_id == 4 and got[40].n_links == 0
-    assert got[60].n_prints in (-1, 0, None) and got[60].n_links == 0 and got[80].n_links == 0
+    assert got[20].n_links == 3 and got[20].best_match == 0 and got[20].best_offset == 12 and got[20].best_error == 0
+    assert got[0].n_links == 3 and got[6].class_id == 0 and got[6].n_links is None
+    assert got[40].class_id == 4 and got[40].n_links == 1
+    assert got[60].n_prints == 0 and got[60].n_links == 0 and got[80].n_links == 1 and None in got
 
 
 def test_links_are_those_of_brute_force(spark):
+    """All offsets of all pairs in plain Python: what is found is right, and over nine in ten are found up to the greatest error."""
     r = np.random.default_rng(5)
     rows = [r.integers(0, 1 << 32, n, dtype=np.uint32) for n in (40, 40, 40, 51, 51, 64)]
     flipped = lambda x, share: x ^ np.packbits(r.random((len(x), 32)) < share, axis=1).view(np.uint32).ravel()
-    rows += [flipped(rows[i % 6], share) for i, share in enumerate((0.03, 0.08, 0.12, 0.15, 0.17, 0.18) * 3)]
-    rows += [flipped(rows[5][at : at + 30], 0.15) for at in (0, 9, 31)]
+    rows += [flipped(rows[i % 6], share) for i, share in enumerate((0.03, 0.08, 0.11, 0.13, 0.14, 0.145) * 10)]
+    rows += [flipped(rows[5][at : at + 30], 0.1) for at in (0, 9, 31)]
     want = {}
     for a in range(0, len(rows), 2):
         for b in range(len(rows)):
             x, y = rows[a], rows[b]
-            for offset in range(20 - len(x), len(y) - 19) if a != b else ():
+            for offset in range(20 - len(x), len(y) - 19):
                 lo, hi = max(0, -offset), min(len(x), len(y) - offset)
-                if hi - lo >= 20 and (e := int(np.bitwise_count(x[lo:hi] ^ y[lo + offset : hi + offset]).sum()) / (32 * (hi - lo))) <= 0.2:
+                if hi - lo >= 20 and (e := int(np.bitwise_count(x[lo:hi] ^ y[lo + offset : hi + offset]).sum()) / (32 * (hi - lo))) <= 0.15:
                     want[a, b] = min(want.get((a, b), (2.0, 0)), (e, offset))
     prints = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "rec_id long, prints array<long>")
-    got = {x.rec_id: x for x in audio.align(prints, F.col("rec_id") % 2 == 0, block=200).collect()}
-    assert len(want) > 20
-    for a in range(0, len(rows), 2):
-        of = [(*v, b) for (q, b), v in want.items() if q == a]
-        assert got[a].n_links == len(of)
-        assert not of or (got[a].best_error, got[a].best_offset, got[a].best_match) == min(of)
+    got = {x.rec_id: x for x in audio.align(prints, prints.filter("rec_id % 2 = 0"), block=500).collect()}
+    asked = range(0, len(rows), 2)
+    of = {a: [(*v, b) for (q, b), v in want.items() if q == a] for a in asked}
+    assert all(got[a].n_links <= len(of[a]) for a in asked) and all(got[a].n_links is None for a in range(1, len(rows), 2))
+    assert sum(got[a].n_links for a in asked) >= 0.9 * len(want) > 100
+    assert all((got[a].best_error, got[a].best_offset, got[a].best_match) == min(of[a]) for a in asked)
+
+
+def test_votes_and_bounds_agree():
+    """The offset histograms against the exact search on rendered vectors, noisy clips and near copies."""
+    r = np.random.default_rng(8)
+    vectors = r.normal(size=(300, 64))
+    vectors[200:] = vectors[:100] + 0.06 * r.normal(size=(100, 64))
+    of = lambda decode: np.stack([audio.packed(audio.chroma(*decode(v))) for v in vectors])
+    whole = of(audio.render_vector())
+    for noise, part in ((0.0, 1.0), (0.3, 0.75), (0.6, 0.75), (0.6, 0.6)):
+        clips = of(audio.render_vector(noise=noise, part=part))[::5]
+        exact = {(p, q): (o, e) for p, q, o, e in zip(*[x.tolist() for x in audio.closest(clips, whole, 0.15, 20, exact=True)], strict=True)}
+        got = {(p, q): (o, e) for p, q, o, e in zip(*[x.tolist() for x in audio.closest(clips, whole, 0.15, 20)], strict=True)}
+        assert len(exact) >= 50 and set(got) <= set(exact) and len(got) >= 0.95 * len(exact)
+        assert sum(got[k] == exact[k] for k in got) >= 0.99 * len(got)
+
+
+def test_silence_and_shared_keys_are_whole(spark):
+    """Silence in all recordings is no link; a jingle in all is one, though all keys are shared, by the exact search."""
+    r = np.random.default_rng(3)
+    quiet = [np.concatenate((r.integers(0, 1 << 32, 15, dtype=np.uint32), np.full(60, audio.SILENT), r.integers(0, 1 << 32, 15, dtype=np.uint32))) for _ in range(40)]
+    p, q, _, _ = audio.closest(np.stack(quiet), np.stack(quiet), 0.15, 20)
+    assert p.tolist() == q.tolist() == list(range(40))
+    jingle = np.repeat(r.integers(0, 1 << 32, 1, dtype=np.uint32), 40)
+    shared = np.stack([np.concatenate((r.integers(0, 1 << 32, 15, dtype=np.uint32), jingle)) for _ in range(40)])
+    assert audio._voted(shared, shared, 20, 10_000) is None
+    p, q, offset, error = audio.closest(shared, shared, 0.15, 20)
+    assert len(p) == 1600 and (error[p != q] <= 0.15).all()
+
+
+def test_audio_query_against_brute_force(spark):
+    from factloom.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    plain, clip = audio.render_vector(), audio.render_vector(noise=0.3, part=0.75)
+    whole = np.stack([audio.packed(audio.chroma(*plain(x.embedding))) for x in rows])
+    asked = [x for x in rows if x.vec_id % 20 == 0]
+    p, q, offset, error = audio.closest(np.stack([audio.packed(audio.chroma(*clip(x.embedding))) for x in asked]), whole, 0.15, 20, exact=True)
+    got = {x.rec_id: x for x in queries.op8_audio(spark, folder).collect()}
+    assert len(got) == len(rows) and sum(x.n_links or 0 for x in got.values()) >= 0.9 * len(p) >= 0.9 * len(asked)
+    best = {asked[a].vec_id: rows[b].vec_id for a, b, e in sorted(zip(p.tolist(), q.tolist(), error.tolist(), strict=True), key=lambda x: -x[2])}
+    assert all(got[k].best_match == v for k, v in best.items()) and all(got[x.vec_id].best_match == x.vec_id for x in asked)
 
 
 def test_audio_of_nothing(spark):
     media = spark.createDataFrame([], "rec_id long, media binary")
-    assert audio.align(audio.fingerprint_column(media, audio.pcm16), F.col("rec_id") % 20 == 0).count() == 0
+    prints = audio.fingerprint_column(media, audio.pcm16)
+    assert audio.align(prints, prints).count() == 0
 
 
 def test_integral_image_sums():
