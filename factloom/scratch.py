@@ -75,8 +75,11 @@ class Scratch:
                 _delete(self.spark, path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 10_000) -> DataFrame:
-    """A broadcast hint for a table whose counted rows are within the limit; else the plain table, joined by shuffle."""
+def broadcast_if_small(df: DataFrame, size: int, limit: int = 50_000) -> DataFrame:
+    """A broadcast hint for a table whose counted rows, with the entries of their arrays, are within the limit; else the plain table, joined by shuffle.
+
+    Rows and entries are numbers and short names, under 100 bytes each.
+    """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if size <= limit else df
