@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +40,20 @@ TEMPLATES = (
 )
 
 
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, nothing else."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def license_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), "")
+    return F.array_remove(F.split(lowered(F.coalesce(text, F.lit(""))), SEPARATOR), "")
 
 
 def template_sets(templates=TEMPLATES) -> dict[str, set[str]]:
-    return {name: set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())) for name, text in templates}
+    return {name: set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(_LOWER))) for name, text in templates}
 
 
 def _strings(values) -> Column:

@@ -15,19 +15,12 @@ shuffles what it got by a hash of its own.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch, broadcast_if_small
 
-from .text import array_sum, words
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from .text import array_sum, excerpt, field_of, let, rows_of, words
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
@@ -191,15 +184,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixed")
     got = mix(docs, **options).filter("words > 0").groupBy("doc_id", "key", "source", "at", "size", "pass").agg(F.min("word_from").alias("a"), F.sum("words").alias("n"))
     takes = scratch.table(got.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("source").alias("_s")).agg(F.collect_list(F.struct("a", "n", "size")).alias("_takes")))
-    rows = docs.withColumn("_key", F.xxhash64("text"))
+    rows = rows_of(docs).select("row", F.xxhash64(field_of("text")).alias("key"))
+    same = ["row.doc_id", "key", "row.source"]
     # repeated rows share one list of takes
-    if not rows.select("doc_id", "_key", "source").groupBy("doc_id", "_key", "source").count().filter("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_key", "source"])
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & F.col("source").cast("string").eqNullSafe(F.col("_s"))
-    out = rows.join(takes, same).withColumn("_take", F.explode("_takes"))
-    cut = F.array_join(F.slice(words(F.col("text")), (F.col("_take.a") + 1).cast("int"), F.col("_take.n").cast("int")), " ")
-    whole = F.col("_take.n") == F.col("_take.size")
-    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    if not rows.groupBy(*same).count().filter("count > 1").isEmpty():
+        rows = rows.withColumns({"d": field_of("doc_id"), "s": field_of("source")}).dropDuplicates(["d", "key", "s"]).select("row", "key")
+    on = field_of("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & field_of("source").cast("string").eqNullSafe(F.col("_s"))
+    out = rows.join(takes, on).withColumn("take", F.explode("_takes"))
+    text, take = field_of("text"), F.col("take")
+    cut = excerpt(text, take["a"], take["n"])
+    whole = take["n"] == take["size"]
+    changed = F.col("row").withField("text", F.when(whole, text).otherwise(cut))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        changed = changed.withField("n_chars", F.when(whole, field_of("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType)))
+    return out.select(changed.alias("row")).select("row.*")

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch
 
+from .text import field_of, rows_of
+
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -247,38 +249,36 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, rounds: int = 50, bucket_ro
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length and further columns).
 
     Pieces of one length are interchangeable; which one goes where follows from a
-    hash, so that reruns agree. An empty table gives an empty result.
+    hash, so that reruns agree. Further columns may have any names, but those called
+    sequence_id or offset are replaced. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
-    held = scratch.table(pieces)
-    counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    held = scratch.table(rows_of(pieces))
+    counts = {r["length"]: r["n"] for r in held.groupBy(field_of("length").alias("length")).agg(F.count("*").alias("n")).collect()}
     buckets = max(16, sum(counts.values()) // bucket_rows)
     table = spark.sparkContext.broadcast(places(plan(counts, capacity, rounds)))
-    dealt = held.withColumn("_h", F.xxhash64("doc_id", "piece", "start")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    sizes = dealt.groupBy("length", "_b").agg(F.count("*").alias("n"))
-    before = sizes.select(
-        F.col("length").alias("_l"), F.col("_b").alias("_c"), (F.sum("n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_before")
-    )
-    inner = F.row_number().over(Window.partitionBy("length", "_b").orderBy("_h", "doc_id", "piece", "start")).cast("long")
-    ranked = dealt.withColumn("_r", inner - 1).join(before, (F.col("length") == F.col("_l")) & (F.col("_b") == F.col("_c")))
-    ranked = ranked.select(*held.columns, (F.col("_r") + F.col("_before")).alias("_rank"))
-    names = [c for c in held.columns]
+    same = [field_of(c) for c in ("doc_id", "piece", "start")]
+    dealt = held.select("row", field_of("length").alias("length"), F.xxhash64(*same).alias("h")).withColumn("b", F.pmod("h", F.lit(buckets)))
+    sizes = dealt.groupBy("length", "b").agg(F.count("*").alias("n"))
+    before = sizes.select("length", "b", (F.sum("n").over(Window.partitionBy("length").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    inner = F.row_number().over(Window.partitionBy("length", "b").orderBy("h", *same)).cast("long")
+    ranked = dealt.withColumn("r", inner - 1).join(before, ["length", "b"]).select("row", "length", (F.col("r") + F.col("before")).alias("rank"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
         stride = int(t["rank"].max()) + (1 << 40) if len(t["rank"]) else 1
         keys = t["length"].astype(object) * stride + t["rank"] if stride * (capacity + 1) > 2**62 else t["length"] * stride + t["rank"]
         for batch in batches:
-            length = batch.column(names.index("length")).to_numpy()
-            rank = batch.column(len(names)).to_numpy()
+            length, rank = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             at = np.searchsorted(keys, length * stride + rank, side="right") - 1
             past = rank - t["rank"][at]
             sequence = t["sequence"][at] + past // t["copies"][at]
             offset = t["offset"][at] + past % t["copies"][at] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequence), pa.array(offset)], ["row", "sequence_id", "offset"])
 
     from pyspark.sql.types import LongType, StructType
 
-    schema = StructType([*held.schema.fields]).add("sequence_id", LongType()).add("offset", LongType())
-    return ranked.mapInArrow(work, schema)
+    schema = StructType([held.schema["row"]]).add("sequence_id", LongType()).add("offset", LongType())
+    kept = [field_of(c).alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")]
+    return ranked.mapInArrow(work, schema).select(*kept, "sequence_id", "offset")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch, broadcast_if_small
 
-from .text import fenced, words
+from .text import fenced, field_of, rows_of, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -155,7 +155,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", alph
     """The documents' rows, all columns, that apply_rules keeps. Texts are measured twice and never shuffled."""
     scratch = Scratch(docs.sparkSession, "quality")
     cut = _fit(_measured(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text"), min_words, max_repeat_percent), labels, alpha, delta, rules, scratch)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(stratum).cast("string").alias("stratum"), "text")
+    rows = rows_of(docs).select("row", field_of(stratum).cast("string").alias("stratum"), field_of("text").alias("text"))
     return _judged(_measured(rows, min_words, max_repeat_percent), cut, rules).filter(F.size("rejected_by") == 0).select("row.*")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch, broadcast_if_small
 
+from .text import field_of, let, rows_of, running
+
 #: kind, pattern, group whose length counts, its least length; in the order in which kinds are listed. Keywords are matched in either case, here and below.
 BASE = (
     ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -46,18 +48,13 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> C
     sized = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
     rows = F.zip_with(F.arrays_zip(found.alias("m"), sized.alias("g")), F.slice(gaps, 1, F.size(found)), lambda x, gap: F.struct(F.length(gap).alias("gap"), F.length(x["m"]).alias("m"), F.length(x["g"]).alias("g")))
-    empty = F.array().cast(SPAN)
-    walked = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["m"]).alias("at"),
-            F.when(x["g"] >= least, F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + x["m"]).alias("e"), F.lit(kind).alias("kind")))))
-            .otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+
+    def placed(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda x: (x["gap"] + x["m"]).cast("long")), lambda a, b: a + b)
+        spans = F.zip_with(rows, ends, lambda x, e: F.struct((e - x["m"]).cast("int").alias("s"), e.cast("int").alias("e"), F.lit(kind).alias("kind"), (x["g"] >= least).alias("ok")))
+        return F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: x.dropFields("ok"))
+
+    return F.when(text.rlike(pattern), let(rows, placed)).otherwise(F.array().cast(SPAN))
 
 
 def _link(parts: DataFrame, reach: int) -> DataFrame:
@@ -116,34 +113,61 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
+def _apart(spans: Column) -> Column:
+    """(s, e) of the spans in order, overlapping ones merged, touching ones not."""
+
+    def merged(x: Column) -> Column:
+        def cut(ends: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["s"] >= F.get(ends, i - 1)))
+            return let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(x, i)["s"].alias("s"), F.get(ends, F.coalesce(F.get(f, k + 1), F.size(x)) - 1).cast("int").alias("e"))))
+
+        return let(running(F.transform(x, lambda v: v["e"].cast("long")), F.greatest), cut)
+
+    return let(F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))), merged)
+
+
 def redact(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
-    """The text with every span, overlapping ones merged, replaced by the mask; NULL stays NULL."""
-    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    walked = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"),
-            F.when((x["s"] >= a["at"]), F.concat(a["out"], F.array(text.substr(a["at"] + 1, x["s"] - a["at"])))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.array_join(F.concat(a["out"], F.array(text.substr(a["at"] + 1, F.greatest(F.length(text) - a["at"], F.lit(0))))), mask),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(walked)
+    """The text with every span, overlapping ones merged, replaced by the mask; NULL stays NULL.
+
+    Places are code points, which have to be counted from the text's beginning:
+    stretches of the text, then of a stretch, are taken out first, so that the
+    work doesn't grow as spans times length.
+    """
+
+    def masked(part: Column, begin: Column, x: Column, bunches: tuple[int, ...]) -> Column:
+        """The part, which begins at code point ``begin`` and holds the spans x."""
+        n = F.size(x)
+        if not bunches:
+            gap = lambda i: let(
+                F.when(i == 0, begin).otherwise(F.get(x, i - 1)["e"]), lambda a: part.substr(a - begin + 1, F.when(i == n, F.length(part) + begin).otherwise(F.get(x, i)["s"]) - a)
+            )
+            return F.array_join(F.transform(F.sequence(F.lit(0), n), gap), mask)
+        size = bunches[0]
+        first = lambda i: F.when(i == 0, begin).otherwise(F.get(x, i * size)["s"])
+        after = lambda i: F.when((i + 1) * size >= n, F.length(part) + begin).otherwise(F.get(x, (i + 1) * size)["s"])
+        one = lambda i: let(first(i), lambda a: let(part.substr(a - begin + 1, after(i) - a), lambda p: let(F.slice(x, i * size + 1, F.lit(size)), lambda y: masked(p, a, y, bunches[1:]))))
+        return F.array_join(F.transform(F.sequence(F.lit(0), ((n - 1) / size).cast("int")), one), "")
+
+    whole = let(_apart(spans), lambda x: let(text, lambda t: masked(t, F.lit(0), x, (8192, 128))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def redact_secrets(docs: DataFrame, *, reach: int = 160, mask: str = "[REDACTED]") -> DataFrame:
     """The documents' rows, all columns, with every span in text masked and n_chars, where there is one, set anew.
 
     Only the texts with spans are changed. Their spans are broadcast if they are
-    of few texts, and joined by a shuffle of all texts otherwise.
+    few, and joined by a shuffle of all texts otherwise.
     """
     scratch = Scratch(docs.sparkSession, "redact")
     found = scan(docs, reach=reach).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.concat("base", "linked").alias("_spans")).filter(F.size("_spans") > 0)
     found = scratch.table(found.dropDuplicates(["_d", "_k"]))
-    few = broadcast_if_small(found, found.count())
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_key", F.xxhash64(text, F.length(text))).join(few, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    out = out.withColumn("text", F.when(F.col("_spans").isNotNull(), redact(F.col("text"), F.col("_spans"), mask)).otherwise(F.col("text")))
+    few = broadcast_if_small(found, found.agg(F.coalesce(F.sum(1 + F.size("_spans")), F.lit(0))).first()[0])
+    text = F.coalesce(field_of("text"), F.lit(""))
+    rows = rows_of(docs).withColumn("key", F.xxhash64(text, F.length(text)))
+    out = rows.join(few, field_of("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left")
+    hit = F.col("_spans").isNotNull()
+    out = out.select("row", hit.alias("hit"), F.when(hit, redact(field_of("text"), F.col("_spans"), mask)).alias("masked"))
+    changed = F.col("row").withField("text", F.when(F.col("hit"), F.col("masked")).otherwise(field_of("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed = changed.withField("n_chars", F.when(F.col("hit"), F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(field_of("n_chars")))
+    return out.select(changed.alias("row")).select("row.*")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from factloom.scratch import Scratch
 
 from .components import connected_components
+from .text import field_of, rows_of
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -306,14 +307,14 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, shingle: int = 3, block
 
 
 def first_of(docs: DataFrame, marked: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents' rows, all columns, one of each root: that of the smallest doc_id (NULL last), then of the least text key. marked: a table of doc_id, key, root."""
+    """The documents' rows, all columns, one of each root: that of the smallest doc_id (NULL last), then of the least text key; of rows with one doc_id and text any stays, whatever its other columns. marked: a table of doc_id, key, root."""
     first = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("x"))
     heads = scratch.table(first.select(F.col("x.doc_id").alias("_d"), F.col("x.key").alias("_k")))
     again = marked.groupBy("doc_id", "key").count().filter("count > 1").isEmpty()
     scratch.drop(marked)
-    kept = docs.withColumn("_key", F.xxhash64("text")).join(heads, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi")
-    kept = kept if again else kept.dropDuplicates(["doc_id", "_key"])
-    return kept.select(*docs.columns)
+    rows = rows_of(docs).select("row", field_of("doc_id").alias("d"), F.xxhash64(field_of("text")).alias("key"))
+    kept = rows.join(heads, F.col("d").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left_semi")
+    return (kept if again else kept.dropDuplicates(["d", "key"])).select("row.*")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -2,7 +2,8 @@
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, n_words long, key long, h long, b long, size long, base string, stratum string, fp long, k long, data binary,"
-    " component_id long, score double, at long, piece int, _text string, _w string"
+    " component_id long, score double, at long, piece int, _text string, _w string, _key long, _d long, _k long, _s string, _h long, _b long, _r long, _l long, _c long, _rank long, _take long, _takes long, _spans string, row string, d long, s string, r long,"
+    " length2 long, masked string, hit boolean, take string, rank long, data2 string, spans string, `a.b` long"
 )
 
 
@@ -30,7 +31,7 @@ def texts() -> list[tuple]:
 
 def documents(spark, rows=None):
     rows = texts() if rows is None else rows
-    full = [(i, t, ("en", "fr", None)[n % 3], ("s0", "s0", "s1", None)[n % 4], None if t is None else len(t), *[None] * 16) for n, (i, t) in enumerate(rows)]
+    full = [(i, t, ("en", "fr", None)[n % 3], ("s0", "s0", "s1", None)[n % 4], None if t is None else len(t), *[None] * 41) for n, (i, t) in enumerate(rows)]
     return spark.createDataFrame(full, SCHEMA)
 
 

@@ -150,3 +150,47 @@ def test_licenses_against_all_blocks(spark):
 
 def test_licenses_of_nothing(spark):
     assert license_scan.scan(llm_cases.empty(spark)).count() == 0
+
+
+def test_long_texts_with_many_secrets(spark):
+    """300,000 matches in one text of 5 MB, in seconds; overlapping spans, text around them and code points beyond ASCII."""
+    import time
+
+    text = "é" + "secret=abcdef x " * 300_000
+    docs = llm_cases.documents(spark, [(1, text), (2, "plain")]).checkpoint()
+    began = time.time()
+    found = secret_scan.digest(secret_scan.scan(docs)).filter("doc_id = 1").first()
+    got = secret_scan.redact_secrets(docs).filter("doc_id = 1").first()
+    took = time.time() - began
+    assert found.n_assign == 300_000
+    want = ",".join(f"assign:{1 + 16 * i}:{14 + 16 * i}" for i in range(300_000))
+    assert found.spans == want and found.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert got.text == "é" + "[REDACTED] x " * 300_000 and got.n_chars == len(got.text)
+    assert took < 60, took
+
+
+def test_masks_of_any_spans(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for i in range(60):
+        text = "".join(r.choice("abé日🙂 ") for _ in range(r.choice((3, 40, 3000))))
+        spans = [(a, min(len(text), a + r.randrange(1, 6)), "x") for a in (r.randrange(len(text)) for _ in range(r.choice((0, 1, 5, 700))))]
+        rows.append((i, text, spans))
+    got = spark.createDataFrame(rows, f"i long, text string, spans {secret_scan.SPAN}").select("i", secret_scan.redact(F.col("text"), F.col("spans"), "#").alias("t")).collect()
+    for x in got:
+        _, text, spans = rows[x.i]
+        out, at = [], 0
+        for a, b, _ in sorted(spans):
+            if a >= at:
+                out += [text[at:a], "#"]
+            at = max(at, b)
+        assert x.t == "".join(out) + text[at:]
+
+
+def test_license_words_lower_ascii_only(spark):
+    docs = llm_cases.documents(spark, [(1, "ALL RIGHTS RESERVED K İ All Rights Reserved")])
+    got = license_scan.scan(docs).first()
+    assert (got.n_words, got.n_base, got.first_word, got.last_word) == (8, 2, 0, 5)
+    assert spark.range(1).select(license_scan.license_words(F.lit("Kİ AZ")).alias("w")).first().w == ["Kİ", "az"]
