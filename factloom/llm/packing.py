@@ -2,17 +2,21 @@
 
 A configuration is a multiset of piece lengths that fits one sequence. The
 program asks for the least number of configurations that cover the histogram of
-lengths. Multiplicative weights solve it: lengths covered too little gain
-weight, and an unbounded-knapsack dynamic program over the weights prices, for
-every length, the best configuration that holds it. The fractional solution is
-rounded by carrying fractions along; what it leaves is packed pattern by
-pattern, each the fullest that a subset-sum dynamic program finds for the
-longest length left and as often as the lengths last.
+lengths; no solution is below the total length over the capacity, and one of full
+configurations alone reaches that. Multiplicative weights solve it in phases: a
+phase is given its share of the demand and prices configurations with a knapsack
+dynamic program over the weights, the greatest value that fills each room to the
+last token; configurations are read from that table for as long as the share
+lasts, and lengths that the phase leaves uncovered gain weight for the next one.
+Shares and amounts are whole numbers, so that the solution is rounded as it is
+found. What all phases leave is priced again until nothing full is found, and the
+rest, a small part, is packed pattern by pattern, each the fullest that a
+subset-sum dynamic program finds for the longest length left.
 
 Only the histogram (one number per length, at most ``capacity`` of them) and the
-plan (at most ``rounds`` configurations per length, and the patterns) meet on the
-driver. The pieces get their places from their rank among the pieces of their
-length, counted by hash buckets, so that a common length is spread over tasks.
+plan (a few configurations per length and phase) meet on the driver. The pieces
+get their places from their rank among the pieces of their length, counted by
+hash buckets, so that a common length is spread over tasks.
 """
 
 from __future__ import annotations
@@ -35,6 +39,30 @@ _encoders: dict[str, _Encoder] = {}
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def _letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _is_plain(told: dict, letters: dict[str, int], added: list[str]) -> bool:
+    """Whether a tokenizer's file asks for nothing but byte-level BPE, splits by SPLIT and merges in the vocabulary's order."""
+    model, split = told["model"], told.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    if told.get("normalizer") or told.get("truncation") or told.get("padding"):
+        return False
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    vocab = model["vocab"]
+    if any(c not in letters for w in vocab if w not in added for c in w) or any(chr(c) not in vocab for c in map(ord, letters)):
+        return False
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    numbers = [vocab.get(w, -1) for w in made]
+    return all(a < b for a, b in zip([-1, *numbers], numbers)) and len(made) + len(letters) == sum(w not in added for w in vocab)
+
+
 class _Encoder:
     """Token ids of texts, as little-endian bytes, by the tokenizer of a file.
 
@@ -52,14 +80,11 @@ class _Encoder:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         self.added = [t["content"] for t in told.get("added_tokens") or []]
-        split = told.get("pre_tokenizer") or {}
-        if told["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not told.get("normalizer"):
+        letters = _letters()
+        if _is_plain(told, letters, self.added):
             import tiktoken
 
-            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            rest = [b for b in range(256) if b not in set(plain)]
-            letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-            ranks = {bytes(letters[c] for c in w): i for w, i in told["model"]["vocab"].items() if w not in set(self.added)}
+            ranks = {bytes(letters[c] for c in w): i for w, i in told["model"]["vocab"].items() if w not in self.added}
             self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
@@ -119,51 +144,73 @@ def token_pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
-def price(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best value for each room, and the item taken there (0: none)."""
-    room = len(value) - 1
-    best, item = np.zeros(room + 1), np.zeros(room + 1, np.int64)
-    for c in range(1, room + 1):
-        sums = value[1 : c + 1] + best[c - 1 :: -1][:c]
-        k = int(sums.argmax())
-        if sums[k] > best[c - 1] + 1e-12:
-            best[c], item[c] = sums[k], k + 1
-        else:
-            best[c] = best[c - 1]
-    return best, item
+def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack: for each room, the greatest weight of lengths (rising) that fill it exactly; -inf where none do."""
+    best = np.full(capacity + 1, -np.inf)
+    best[0] = 0
+    for room in range(int(lengths[0]), capacity + 1):
+        m = int(np.searchsorted(lengths, room, "right"))
+        best[room] = (weights[:m] + best[room - lengths[:m]]).max()
+    return best
+
 
+def phase(demand: np.ndarray, weight: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Full configurations and how often to use each, within the demand (index: length), and the demand left.
 
-def fractional(demand: np.ndarray, rounds: int = 50, rate: float = 0.4) -> dict[tuple[int, ...], float]:
-    """Configurations and how often to use each, covering about the demand (index: length)."""
+    For each length, the longest first, the rest of the sequence is read from the
+    priced table, always the best length of which the demand has some left.
+    """
     capacity = len(demand) - 1
     lengths = np.flatnonzero(demand)
-    weight = np.zeros(capacity + 1)
-    used: dict[tuple[int, ...], float] = {}
-    share = demand / rounds
-    for _ in range(rounds):
-        value = np.where(demand > 0, np.arange(capacity + 1) / capacity * np.exp(weight), -1.0)
-        _, item = price(value)
-        covered = np.zeros(capacity + 1)
-        for n in lengths[::-1].tolist():
-            need = share[n] - covered[n]
-            if need <= 0:
-                continue
-            config, room = [n], capacity - n
-            while room > 0:
-                k = int(item[room])
-                if k:
-                    config.append(k)
-                    room -= k
-                else:
-                    room -= 1
-            amount = need / config.count(n)
-            for k in config:
-                covered[k] += amount
-            key = tuple(sorted(config, reverse=True))
-            used[key] = used.get(key, 0.0) + amount
-        off = np.divide(covered, share, out=np.ones_like(covered), where=share > 0) - 1
-        weight = np.clip(weight - rate * np.clip(off, -1, 2), -4, 4)
-    return used
+    out: list[tuple[tuple[int, ...], int]] = []
+    left = np.zeros_like(demand)
+    if not len(lengths):
+        return out, left
+    have, weights = demand[lengths], weight[lengths]
+    best = price(lengths, weights, capacity)
+    for i in range(len(lengths) - 1, -1, -1):
+        while have[i] > 0:
+            count, room = {i: 1}, capacity - int(lengths[i])
+            have[i] -= 1
+            while room:
+                m = int(np.searchsorted(lengths, room, "right"))
+                value = np.where(have[:m] > 0, weights[:m] + best[room - lengths[:m]], -np.inf)
+                j = m - 1 - int(value[::-1].argmax()) if m else -1
+                if j < 0 or value[j] == -np.inf:
+                    break
+                count[j] = count.get(j, 0) + 1
+                have[j] -= 1
+                room -= int(lengths[j])
+            for j, k in count.items():
+                have[j] += k
+            if room:
+                break
+            times = min(int(have[j]) // k for j, k in count.items())
+            for j, k in count.items():
+                have[j] -= times * k
+            out.append((tuple(sorted((int(lengths[j]) for j, k in count.items() for _ in range(k)), reverse=True)), times))
+    left[lengths] = have
+    return out, left
+
+
+def solve(demand: np.ndarray, phases: int = 8, rate: float = 0.5, pieces: int = 50) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Full configurations with amounts for nearly all the demand (index: length), and what is left.
+
+    A share has about ``pieces`` of each length at least, as far as there are so many.
+    """
+    capacity = len(demand) - 1
+    weight = (np.arange(capacity + 1) / capacity) ** 1.05  # longer lengths first, as long as nothing is known
+    steps = int(max(1, min(phases, demand.sum() // (pieces * max(1, np.count_nonzero(demand))))))
+    out: list[tuple[tuple[int, ...], int]] = []
+    left, given = np.zeros_like(demand), 0
+    while True:
+        share = left + (demand * (given + 1) // steps - demand * given // steps if given < steps else 0)
+        found, left = phase(share, weight)
+        given += 1
+        out += found
+        weight = weight * np.exp(rate * left / np.maximum(share, 1))
+        if given >= steps and not found:
+            return out, left
 
 
 def fullest(left: list[int], capacity: int, first: int) -> list[int]:
@@ -194,30 +241,18 @@ def fullest(left: list[int], capacity: int, first: int) -> list[int]:
     return sorted(out, reverse=True)
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 50) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int, phases: int = 8) -> list[tuple[tuple[int, ...], int]]:
     """Configurations and their whole numbers, holding exactly the lengths of the histogram."""
-    out: list[tuple[tuple[int, ...], int]] = []
-    left = [0] * (capacity + 1)
+    demand = np.zeros(capacity + 1, np.int64)
     for n, count in histogram.items():
-        left[int(n)] += int(count)
-    if left[capacity]:
-        out.append(((capacity,), left[capacity]))
-        left[capacity] = 0
-    demand = np.array(left, float)
-    if demand.any():
-        carry = 0.0
-        used = fractional(demand, rounds)
-        for config, amount in sorted(used.items(), key=lambda x: (-sum(x[0]), -x[1], x[0])):
-            if sum(config) < 0.995 * capacity:
-                continue  # the patterns below fill better
-            wanted = amount + carry
-            times = int(wanted + 1e-9)
-            times = min([times, *(left[k] // config.count(k) for k in set(config))])
-            carry = min(wanted - times, 1.0)
-            if times > 0:
-                out.append((config, times))
-                for k in config:
-                    left[k] -= times
+        demand[int(n)] += int(count)
+    out: list[tuple[tuple[int, ...], int]] = []
+    if demand[capacity]:
+        out.append(((capacity,), int(demand[capacity])))
+        demand[capacity] = 0
+    found, rest = solve(demand, phases)
+    out += found
+    left = rest.tolist()
     for n in range(capacity, 0, -1):
         while left[n]:
             config = fullest(left, capacity, n)
@@ -245,7 +280,7 @@ def places(configs: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {k: table[:, i] for i, k in enumerate(("length", "rank", "sequence", "copies", "offset"))}
 
 
-def pack(pieces: DataFrame, *, capacity: int = 2048, rounds: int = 50, bucket_rows: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 2048, phases: int = 8, bucket_rows: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length and further columns).
 
     Pieces of one length are interchangeable; which one goes where follows from a
@@ -257,7 +292,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, rounds: int = 50, bucket_ro
     held = scratch.table(rows_of(pieces))
     counts = {r["length"]: r["n"] for r in held.groupBy(field_of("length").alias("length")).agg(F.count("*").alias("n")).collect()}
     buckets = max(16, sum(counts.values()) // bucket_rows)
-    table = spark.sparkContext.broadcast(places(plan(counts, capacity, rounds)))
+    table = spark.sparkContext.broadcast(places(plan(counts, capacity, phases)))
     same = [field_of(c) for c in ("doc_id", "piece", "start")]
     dealt = held.select("row", field_of("length").alias("length"), F.xxhash64(*same).alias("h")).withColumn("b", F.pmod("h", F.lit(buckets)))
     sizes = dealt.groupBy("length", "b").agg(F.count("*").alias("n"))
