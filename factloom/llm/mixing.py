@@ -4,13 +4,19 @@ Targets: sources in code point order (NULL last) have weights that repeat; they
 share the total size, no target above ``cap`` times its source's size, and what
 is cut is shared again by weight (water filling).
 
-A source's documents, ordered by a hash, form a permuted stream of words; passes
-over it repeat until the target is met, to the word. The stream is cut into
-blocks of ``block_words``, and a splitting tree halves the output shards: at each
-node the exact block quotas of all sources are split by a multivariate
-hypergeometric draw, as if all blocks had been shuffled and dealt. A shard then
-takes the next of each source's permuted blocks, so that shards are disjoint, and
-shuffles what it got by a hash of its own.
+A source's documents, ordered by a hash, form a permuted stream of words, cut
+into blocks. Whole passes over it take every block; a last pass takes a part of
+its blocks, so that the target is met to half a block. Every pass over a source
+is a stratum of so many blocks, of which so many are to be taken. A splitting
+tree halves the output shards: at each node the exact block quotas of all strata
+are split by a multivariate hypergeometric draw, as if all blocks to be taken had
+been shuffled and dealt, and the blocks to be left out are halved. A shard then
+takes its quota from its own stretch of each stratum's permuted blocks, so that
+shards are disjoint and the draws decide which blocks are left out, and shuffles
+what it got by a hash of its own.
+
+The tree holds as many rows as there are shards, each with a number for every
+stratum; sources are named groups of documents, some thousands at most.
 """
 
 from __future__ import annotations
@@ -81,7 +87,7 @@ def _uniform(*parts: Column) -> Column:
 
 
 def split_quotas(node: Column, quotas: Column, drawn: Column, seed: int) -> Column:
-    """How many of each quota go left, ``drawn`` in all: source after source, hypergeometric given those before."""
+    """How many of each quota go left, ``drawn`` in all: one after another, hypergeometric given those before."""
 
     def step(a: Column, x: Column) -> Column:
         got = let(hypergeometric(a["total"], x["q"], a["drawn"], _uniform(F.lit(seed), node, x["i"])), lambda g: F.greatest(F.least(g, x["q"], a["drawn"]), a["drawn"] + x["q"] - a["total"], F.lit(0).cast("long")))
@@ -105,84 +111,130 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
     return ranked.withColumn("final", first).select("source", "source_size", "rank", F.least("most", F.coalesce(F.col("final") * F.col("w"), F.lit(0.0))).alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, shard_words: int = 1 << 24, block_words: int = 4096, seed: int = 17) -> DataFrame:
+def _tree(strata: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(shard, stratum, quota, left_out): blocks of each stratum (stratum, blocks, quota) for each shard."""
+    held = F.sort_array(F.collect_list(F.struct("stratum", "quota", (F.col("blocks") - F.col("quota")).alias("rest"))))
+    tree = strata.agg(held.alias("x")).select(F.lit(0).cast("long").alias("shard"), F.lit(shards).cast("long").alias("n"), F.transform("x", lambda x: x["quota"]).alias("quotas"), F.transform("x", lambda x: x["rest"]).alias("rests"))
+    half = F.floor((F.col("n") + 1) / 2).cast("long")
+    part = lambda total: F.floor(total.cast("decimal(38,0)") * F.col("half") / F.col("n")).cast("long")
+    for level in range((shards - 1).bit_length()):
+        split = tree.withColumn("half", half).withColumn("left", F.when(F.col("n") > 1, split_quotas(F.col("shard") * 64 + level, F.col("quotas"), part(array_sum(F.col("quotas"))), seed)))
+        split = split.withColumn("spared", F.transform("rests", part))
+        less = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+        halves = F.array(
+            F.struct("shard", F.col("half").alias("n"), F.col("left").alias("quotas"), F.col("spared").alias("rests")),
+            F.struct((F.col("shard") + F.col("half")).alias("shard"), (F.col("n") - F.col("half")).alias("n"), less("quotas", "left").alias("quotas"), less("rests", "spared").alias("rests")),
+        )
+        tree = split.select(F.explode(F.when(F.col("n") > 1, halves).otherwise(F.array(F.struct("shard", "n", "quotas", "rests")))).alias("x")).select("x.*")
+        if level == 6:
+            tree = tree.repartition("shard")
+    return tree.select("shard", F.posexplode(F.arrays_zip("quotas", "rests")).alias("stratum", "x")).select("shard", "stratum", F.col("x.quotas").alias("quota"), F.col("x.rests").alias("left_out"))
+
+
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, shard_words: int = 1 << 17, block_words: int = 1024, seed: int = 17, bucket_rows: int = 20_000) -> DataFrame:
     """One row per document and stretch that a shard takes of it; documents that no shard takes have one row with words 0.
 
     Columns: doc_id, key (of the text), source, at (place in the source's stream, apart for documents
     with words), size, source_size, target, pass, shard, position (order in the
-    shard), word_from, words. docs: doc_id, text, source; other columns aren't
+    shard), word_from, words. A block has ``block_words`` words, or the 512th part
+    of its source if that is less. docs: doc_id, text, source; other columns aren't
     read. Defined results: NULL texts have size 0, and nothing is taken of a
     document without words; a NULL source is the last source; repeated rows are
-    documents of their own; an empty table gives an empty result.
+    documents of their own; an empty table, and one without words, is not taken
+    from. Equal tables and parameters give equal results.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
-    rows = scratch.table(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("b", F.shiftrightunsigned("h", 52)))
+    rows = scratch.table(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "key", "size")))
+    bits = max(6, (rows.count() // bucket_rows).bit_length())
+    rows = rows.withColumn("b", F.shiftrightunsigned("h", 64 - bits))
     buckets = scratch.table(rows.groupBy("source", "b").agg(F.sum("size").alias("n")))
-    targets = scratch.table(source_targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, cap).withColumn("quota", F.round("target").cast("long")))
+    targets = source_targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, cap).withColumn("quota", F.round("target").cast("long"))
+    targets = targets.withColumn("block", F.least(F.lit(block_words).cast("long"), F.expr("greatest(1L, source_size div 512)"))).withColumn("full", F.expr("if(source_size > 0, quota div source_size * source_size, 0L)"))
+    targets = scratch.table(targets)
     n_sources, total = targets.agg(F.count("*"), F.coalesce(F.sum("quota"), F.lit(0))).first()
     small = broadcast_if_small(targets.withColumnRenamed("source", "_s"), n_sources)
     before = buckets.select(
         F.col("source").alias("_s2"), F.col("b").alias("_b"), (F.sum("n").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_before")
     )
-    inner = F.sum("size").over(Window.partitionBy("source", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inner = F.sum("size").over(Window.partitionBy("source", "b").orderBy("h", "doc_id", "key", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = rows.withColumn("_in", inner).join(before, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("b") == F.col("_b")))
-    placed = placed.join(small, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "key", "source", "rank", (F.col("_in") + F.col("_before")).alias("at"), "size", "source_size", "target", "quota")
+    placed = placed.join(small, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "key", "source", "rank", (F.col("_in") + F.col("_before")).alias("at"), "size", "source_size", "target", "quota", "full")
     placed = scratch.table(placed)
 
     shards = max(1, -(-total // shard_words))
-    tree = targets.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "quota"))), lambda x: F.ceil(x["quota"] / block_words).cast("long")).alias("quotas"))
-    tree = tree.select(F.lit(0).cast("long").alias("shard"), F.lit(shards).cast("long").alias("n"), "quotas")
-    for level in range((shards - 1).bit_length()):
-        left_n = F.floor((F.col("n") + 1) / 2).cast("long")
-        tree = tree.withColumn("left", F.when(F.col("n") > 1, split_quotas(F.col("shard") * 64 + level, F.col("quotas"), F.expr("cast(floor(cast(aggregate(quotas, 0L, (a, x) -> a + x) as decimal(38,0)) * floor((n + 1) / 2) / n) as long)"), seed)))
-        right = F.zip_with("quotas", "left", lambda q, g: q - g)
-        halves = F.array(
-            F.struct("shard", left_n.alias("n"), F.col("left").alias("quotas")),
-            F.struct((F.col("shard") + left_n).alias("shard"), (F.col("n") - left_n).alias("n"), right.alias("quotas")),
-        )
-        tree = tree.select(F.explode(F.when(F.col("n") > 1, halves).otherwise(F.array(F.struct("shard", "n", "quotas")))).alias("x")).select("x.*")
-        if level == 6:
-            tree = tree.repartition("shard")
-    got = scratch.table(tree.select("shard", F.posexplode("quotas").alias("rank", "blocks")).filter("blocks > 0"))
-    upto = F.sum("blocks").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    ranges = got.select("shard", F.col("rank").alias("_rank"), ((upto - F.col("blocks")) * block_words).alias("lo"), (upto * block_words).alias("hi"))
-    # interval join by bins of a shard's usual stretch of the source
-    width = F.greatest(F.lit(block_words).cast("long"), F.ceil(F.col("quota") / shards).cast("long"))
-    bins = ranges.join(broadcast_if_small(targets.select(F.col("rank").alias("_r2"), F.col("quota")), n_sources), F.col("_rank") == F.col("_r2")).select(
-        "shard", "_rank", "lo", F.least("hi", "quota").alias("hi"),
-        F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.greatest(F.col("lo"), F.least("hi", "quota") - 1) / width))).alias("_bin"),
+    # whole passes are stratum 2 * rank, the last pass is the next one; base: where it begins in the stream
+    strata = targets.select("rank", "block", F.explode(F.array(
+        F.struct((2 * F.col("rank")).alias("stratum"), F.ceil(F.col("full") / F.col("block")).cast("long").alias("blocks"), F.ceil(F.col("full") / F.col("block")).cast("long").alias("quota"), F.lit(0).cast("long").alias("base"), F.col("full").alias("end")),
+        F.struct(
+            (2 * F.col("rank") + 1).alias("stratum"), F.ceil(F.col("source_size") / F.col("block")).cast("long").alias("blocks"), F.round((F.col("quota") - F.col("full")) / F.col("block")).cast("long").alias("quota"),
+            F.col("full").alias("base"), (F.col("full") + F.col("source_size")).alias("end"),
+        ),
+    )).alias("x")).select("rank", "block", "x.*")
+    strata = scratch.table(strata.withColumn("quota", F.least("quota", "blocks")))
+    got = scratch.table(_tree(strata, shards, seed))
+    upto = F.sum(F.col("quota") + F.col("left_out")).over(Window.partitionBy("stratum").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = got.select("shard", "stratum", "quota", (upto - F.col("quota") - F.col("left_out")).alias("first")).filter("quota > 0")
+    of = broadcast_if_small(strata.select("stratum", "rank", "block", "base", "end"), 2 * n_sources)
+    ranges = ranges.join(of, "stratum").select(
+        "shard", F.col("rank").alias("_rank"), (F.col("base") + F.col("first") * F.col("block")).alias("lo"), F.least("end", F.col("base") + (F.col("first") + F.col("quota")) * F.col("block")).alias("hi")
     )
-    passes = placed.filter("size > 0 and quota > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(quota - 1) div source_size"))))
-    passes = passes.withColumn("a", F.col("pass") * F.col("source_size") + F.col("at")).withColumn("z", F.least(F.col("a") + F.col("size"), F.col("quota"))).filter("a < z")
-    passes = passes.withColumn("_bin2", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("z") - 1) / width))))
+    # interval join by bins of a shard's usual stretch of the source
+    sizes = broadcast_if_small(targets.select(F.col("rank").alias("_r2"), F.col("quota").alias("_q2")), n_sources)
+    width = lambda quota: F.greatest(F.lit(block_words).cast("long"), F.ceil(quota / shards).cast("long"))
+    bins = ranges.join(sizes, F.col("_rank") == F.col("_r2")).withColumn("_w", width(F.col("_q2"))).select("shard", "_rank", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_w")), F.floor((F.col("hi") - 1) / F.col("_w")))).alias("_bin"))
+    passes = placed.filter("size > 0 and quota > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("full div source_size")))).withColumn("_w", width(F.col("quota")))
+    passes = passes.withColumn("a", F.col("pass") * F.col("source_size") + F.col("at")).withColumn("z", F.col("a") + F.col("size"))
+    passes = passes.withColumn("_bin2", F.explode(F.sequence(F.floor(F.col("a") / F.col("_w")), F.floor((F.col("z") - 1) / F.col("_w")))))
     met = passes.join(bins, (F.col("rank") == F.col("_rank")) & (F.col("_bin2") == F.col("_bin")) & (F.col("a") < F.col("hi")) & (F.col("z") > F.col("lo")))
     # a pair that meets in several bins counts in the first
-    met = met.filter(F.col("_bin") == F.greatest(F.floor(F.col("a") / width), F.floor(F.col("lo") / width)))
+    met = met.filter(F.col("_bin") == F.greatest(F.floor(F.col("a") / F.col("_w")), F.floor(F.col("lo") / F.col("_w"))))
     cut_from = F.greatest("a", "lo")
-    taken = met.select(
-        "doc_id", "key", "source", "at", "size", "source_size", "target", "pass", "shard", F.xxhash64(F.lit(seed + 1), "shard", "source", "a").alias("position"),
-        (cut_from - F.col("a")).alias("word_from"), (F.least("z", "hi") - cut_from).alias("words"),
-    )
-    none = placed.filter((F.col("size") == 0) | (F.col("at") >= F.col("quota"))).select(
-        "doc_id", "key", "source", "at", "size", "source_size", "target", F.lit(None).cast("long").alias("pass"), F.lit(None).cast("long").alias("shard"), F.lit(None).cast("long").alias("position"),
-        F.lit(0).cast("long").alias("word_from"), F.lit(0).cast("long").alias("words"),
-    )
-    return taken.unionByName(none)
+    names = ["doc_id", "key", "source", "at", "size", "source_size", "target"]
+    taken = scratch.table(met.select(
+        *names, "pass", "shard", F.xxhash64(F.lit(seed + 1), "shard", "source", "a").alias("position"), (cut_from - F.col("a")).alias("word_from"), (F.least("z", "hi") - cut_from).alias("words"),
+    ))
+    some = taken.select(F.col("source").alias("_s"), F.col("at").alias("_at")).distinct()
+    none = placed.join(some, F.col("source").eqNullSafe(F.col("_s")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0), "left_anti")
+    nothing = F.lit(None).cast("long")
+    return taken.unionByName(none.select(*names, *[nothing.alias(c) for c in ("pass", "shard", "position")], *[F.lit(0).cast("long").alias(c) for c in ("word_from", "words")]))
 
 
 def words_taken(mixed: DataFrame) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken. Documents with words are told apart by their place in the stream."""
-    some = mixed.filter("size > 0").groupBy("source", "at").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("words").alias("taken"))
-    names = ["doc_id", "size", "source_size", "target", "taken"]
-    return some.select(*names).unionByName(mixed.filter("size = 0").withColumn("taken", F.col("words")).select(*names))
+    """Per document: doc_id, size, source_size, target, taken, stretches. Documents with words are told apart by their place in the stream.
+
+    stretches: shard:position:pass:word_from:words of all that is taken, in order, comma-joined.
+    """
+    names = ["doc_id", "size", "source_size", "target", "taken", "stretches"]
+    order = ["shard", "position", "pass", "word_from", "words"]
+    parts = F.sort_array(F.collect_list(F.when(F.col("words") > 0, F.struct(*order))))
+    text = F.array_join(F.transform(parts, lambda x: F.concat_ws(":", *[x[c].cast("string") for c in order])), ",")
+    some = mixed.filter("size > 0").groupBy("source", "at").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("words").alias("taken"), text.alias("stretches"))
+    return some.select(*names).unionByName(mixed.filter("size = 0").withColumn("taken", F.col("words")).withColumn("stretches", F.lit("")).select(*names))
+
+
+def _whole(stretches: Column) -> Column:
+    """Stretches (a, n) in order, those that touch as one."""
+    kind = "array<struct<a:bigint,n:bigint>>"
+
+    def step(held: Column, x: Column) -> Column:
+        last = F.element_at(held, -1)
+        touches = (F.size(held) > 0) & (F.try_element_at(held, F.lit(-1))["a"] + F.try_element_at(held, F.lit(-1))["n"] == x["a"])
+        return F.when(touches, F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(F.struct(last["a"].alias("a"), (last["n"] + x["n"]).alias("n"))))).otherwise(F.concat(held, F.array(F.struct(x["a"].alias("a"), x["n"].alias("n")))))
+
+    return F.aggregate(F.sort_array(stretches), F.array().cast(kind), step)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix with the documents' columns: a document once for each pass that takes it, its text cut to the words taken where a pass ends in it."""
+    """The rows of the mix with the documents' columns: a document once for each stretch that a pass takes of it, its text cut to the words taken, white space between them as it was.
+
+    Rows with equal doc_id, text and source but other columns that differ count
+    each; all that is taken of them is given with the columns of any one of them.
+    """
     scratch = Scratch(docs.sparkSession, "mixed")
-    got = mix(docs, **options).filter("words > 0").groupBy("doc_id", "key", "source", "at", "size", "pass").agg(F.min("word_from").alias("a"), F.sum("words").alias("n"))
+    got = mix(docs, **options).filter("words > 0").groupBy("doc_id", "key", "source", "at", "size", "pass").agg(F.collect_list(F.struct(F.col("word_from").alias("a"), F.col("words").alias("n"))).alias("x"))
+    got = got.select("doc_id", "key", "source", "size", F.explode(_whole(F.col("x"))).alias("x")).select("doc_id", "key", "source", "size", "x.a", "x.n")
     takes = scratch.table(got.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("source").alias("_s")).agg(F.collect_list(F.struct("a", "n", "size")).alias("_takes")))
     rows = rows_of(docs).select("row", F.xxhash64(field_of("text")).alias("key"))
     same = ["row.doc_id", "key", "row.source"]

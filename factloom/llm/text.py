@@ -19,7 +19,7 @@ def words(text: Column) -> Column:
 def excerpt(text: Column, first: Column, n: Column) -> Column:
     """``n`` words from number ``first`` (from 0) on, with the white space between them."""
     gaps = F.slice(F.split(text, r"[^ \t-\r]+", -1), (first + 2).cast("int"), F.greatest(n - 1, F.lit(0)).cast("int"))
-    return F.array_join(F.zip_with(F.slice(words(text), (first + 1).cast("int"), n.cast("int")), F.concat(gaps, F.array(F.lit(""))), F.concat), "")
+    return F.array_join(F.zip_with(F.slice(words(text), (first + 1).cast("int"), n.cast("int")), F.concat(gaps, F.array(F.lit(""))), lambda w, g: F.concat(w, g)), "")
 
 
 def array_sum(values: Column, kind: str = "long") -> Column:
