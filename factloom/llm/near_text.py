@@ -1,8 +1,11 @@
 """Near copies by the Jaccard similarity of word shingles.
 
-Minimum hashes of a text's shingles, in bands, are keys: texts with an equal key
-are candidates, and the exact similarity of their shingle sets decides. Two texts
-of similarity s share a key with probability 1 - (1 - s^rows)^bands, 0.998 at 0.8.
+SimHash groups (fingerprints of the same shingles, compared by bit planes) hold
+texts that are nearly equal; a similarity of 0.8 is some ten differing bits, which
+fingerprints alone can't search for. So minimum hashes of a text's shingles, in
+bands, are further keys: texts of one SimHash group or with an equal key are
+candidates, and the exact similarity of their shingle sets decides. Two texts of
+similarity s share a key with probability 1 - (1 - s^rows)^bands, 0.998 at 0.8.
 
 Texts with equal sets are one. Within a key all are first compared with the
 least, then the members of what is still apart with each other, so that the
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from factloom.scratch import Scratch
 
 from .components import connected_components
-from .simhash import first_of
+from .simhash import first_of, near_duplicates
 
 
 def shingles_of(text: bytes | None, shingle: int) -> np.ndarray:
@@ -89,7 +92,12 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, ba
     dealt = marked.select("node", F.explode("bands").alias("band")).distinct()
     shared = scratch.table(dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1").select("band", "b"))
     members = scratch.table(dealt.join(shared, "band"))
-    links = _verified(members.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), marked, threshold, scratch)
+    alike = near_duplicates(docs, shingle=shingle).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("root").alias("group")).distinct()
+    grouped = marked.select("doc_id", "key", "node").distinct().join(alike, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("group", "node").distinct()
+    grouped = scratch.table(grouped)
+    first = scratch.table(grouped.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1").select("group", "b"))
+    candidates = members.select("node", "b").unionByName(grouped.join(first, "group").select("node", "b"))
+    links = _verified(candidates.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), marked, threshold, scratch)
     roots = connected_components(links, scratch)
     now = scratch.table(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
     groups = now.select("band", "root").distinct()
