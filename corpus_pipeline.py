@@ -16,7 +16,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near copies stays: SimHash groups and minimum-hash candidates of five-word shingles, a similarity of 0.8 or more."""
     return near_text.keep_one(docs)
 
 
