@@ -1,11 +1,15 @@
 """Toxicity by nearest labelled examples, exact TF-IDF cosine over a block-max inverted index.
 
-Features are words and word beginnings (four to six letters) that the labels
-single out. The index holds labelled examples in blocks; for each feature and
-block it keeps the greatest weight. A query adds these up to bound every block,
-visits blocks from the highest bound down and stops when no block left can beat
-its k-th neighbour, so that the neighbours are exact. Votes weighted by distance
-are calibrated on labelled examples that the index doesn't hold.
+Features are words and word beginnings (four to six letters). A weight is the
+usual TF-IDF times the feature's relevance, the lower confidence bound of its log
+odds ratio between toxic and other examples: words that tell nothing weigh
+nothing, whatever their number, and those that speak for either class stay, so
+that nothing is cut by rank. The index holds labelled examples in blocks; for each
+feature and block it keeps the greatest weight. A query adds these up to bound
+every block, visits the blocks of the highest bounds, and then those alone that
+may still hold one of its k nearest, so that the neighbours are exact. Votes
+weighted by distance are calibrated on labelled examples that the index doesn't
+hold.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch
@@ -46,8 +50,10 @@ class Index:
     rows: np.ndarray
     weights: np.ndarray
     peak: np.ndarray  # (features, blocks)
-    block: int = 64
+    relevance: np.ndarray
+    block: int = 32
     k: int = 15
+    visited: int = 0  # blocks, of all queries so far
     base: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0]), np.array([0.0])))
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
@@ -67,42 +73,64 @@ class Index:
 
     def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.fromiter(sorted(counts), np.int64, len(counts))
-        w = (1 + np.log(np.array([counts[x] for x in t.tolist()], float))) * self.idf[t] if len(t) else np.empty(0)
+        w = (1 + np.log(np.array([counts[x] for x in t.tolist()], float))) * self.idf[t] * self.relevance[t] if len(t) else np.empty(0)
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _cosines(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the blocks' examples with a feature in common."""
+        self.visited += len(blocks)
+        lo, hi = self.pointer[terms[:, None], blocks], self.pointer[terms[:, None], blocks + 1]
+        n = (hi - lo).ravel()
+        at = np.repeat(lo.ravel(), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        w = np.repeat(np.repeat(weights, len(blocks)), n)
+        place = np.zeros(self.peak.shape[1], np.int64)
+        place[blocks] = np.arange(len(blocks))
+        rows = self.rows[at]
+        sums = np.bincount(place[rows // self.block] * self.block + rows % self.block, w * self.weights[at], len(blocks) * self.block)
+        hit = np.flatnonzero(sums)
+        return blocks[hit // self.block] * self.block + hit % self.block, sums[hit]
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, first: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a feature in common, ties by row."""
         bound = weights @ self.peak[terms]
         order = np.argsort(-bound, kind="stable")
-        rows, sims = np.empty(0, np.int64), np.empty(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or len(sims) >= self.k and bound[b] < sims[self.k - 1] - 1e-12:
-                break
-            acc = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.pointer[t, b], self.pointer[t, b + 1]
-                if hi > lo:
-                    acc[self.rows[lo:hi] - b * self.block] += w * self.weights[lo:hi]
-            hit = np.flatnonzero(acc)
-            rows, sims = np.concatenate((rows, hit + b * self.block)), np.concatenate((sims, acc[hit]))
-            keep = np.lexsort((rows, -sims))[: self.k]
-            rows, sims = rows[keep], sims[keep]
-        return rows, sims
+        order = order[bound[order] > 0]
+        rows, sims = self._cosines(order[:first], terms, weights)
+        least = np.partition(sims, len(sims) - self.k)[len(sims) - self.k] if len(sims) >= self.k else 0.0
+        more = order[first:][bound[order[first:]] >= least - 1e-12]
+        if len(more):
+            others, far = self._cosines(more, terms, weights)
+            rows, sims = np.concatenate((rows, others)), np.concatenate((sims, far))
+        keep = np.lexsort((rows, -np.round(sims, 12)))[: self.k]
+        return rows[keep], sims[keep]
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         """The share of toxic examples, weighted by nearness and by how many documents an example stands for."""
         w = self.importance[rows] / (1.05 - np.minimum(sims, 1.0))
         return float((w * self.labels[rows]).sum() / w.sum())
 
+    def shared(self, terms: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The query's features that the rows have too, those that add most to the cosines first."""
+        added = np.zeros(len(terms))
+        for i, t in enumerate(terms.tolist()):
+            lo, hi = self.pointer[t, 0], self.pointer[t, -1]
+            at = lo + np.searchsorted(self.rows[lo:hi], np.sort(rows))
+            near = at[(at < hi)]
+            near = near[np.isin(self.rows[near], rows)]
+            added[i] = weights[i] * self.weights[near].sum()
+        order = np.argsort(-added, kind="stable")
+        return terms[order[added[order] > 0]]
+
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, *self.steps))
 
 
-def build_index(examples: list[tuple], terms: list[str], document_counts: np.ndarray, n: int, importance: dict[int, float], block: int = 64, k: int = 15) -> Index:
+def build_index(examples: list[tuple], terms: list[str], document_counts: np.ndarray, n: int, importance: dict[int, float], relevance: np.ndarray | None = None, block: int = 32, k: int = 15) -> Index:
     """examples: (id, label, {feature: count}); rows with like features stand together, so that bounds are tight."""
     number = {t: i for i, t in enumerate(terms)}
     idf = np.log((1 + n) / (1 + document_counts)) + 1 if len(terms) else np.empty(0)
-    index = Index(number, idf, [], np.empty(0), np.empty(0), np.zeros((len(terms), 1), np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((len(terms), 0)), block, k)
+    relevance = np.ones(len(terms)) if relevance is None else relevance
+    index = Index(number, idf, [], np.empty(0), np.empty(0), np.zeros((len(terms), 1), np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((len(terms), 0)), relevance, block, k)
     vectors = sorted(((*index.weigh(c), label, i) for i, label, c in examples if c), key=lambda v: (int(v[0][v[1].argmax()]), v[2], str(v[3])))
     blocks = -(-len(vectors) // block)
     t = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int64)
@@ -143,16 +171,14 @@ def _hashed(seed: int):
 
 
 def _apart(texts: DataFrame, rounds: int = 3) -> DataFrame:
-    """Without most near copies, whose words would look like features: of texts with equal least five-word hashes one stays, in each round."""
-    texts = texts.withColumn("_w", words(F.lower("text")))
-    for r in range(rounds):
-        shingles = F.sequence(F.lit(0), F.greatest(F.size("_w") - 5, F.lit(0)))
-        least = F.array_min(F.transform(shingles, _hashed(r)))
-        texts = texts.withColumn(f"_m{r}", least)
-    texts = texts.drop("_w")
+    """Without most near copies, whose words would look like features: of texts with equal least five-word hashes the one of the least hash, then doc_id, stays, in each round. Texts without words all stay."""
+    texts = texts.withColumn("_w", words(F.lower("text"))).withColumn("_some", F.size("_w") > 0).withColumn("_x", F.xxhash64("text"))
+    shingles = F.sequence(F.lit(0), F.greatest(F.size("_w") - 5, F.lit(0)))
+    texts = texts.withColumns({f"_m{r}": F.array_min(F.transform(shingles, _hashed(r))) for r in range(rounds)}).drop("_w")
     for r in range(rounds):
-        texts = texts.dropDuplicates([f"_m{r}"])
-    return texts.drop(*[f"_m{r}" for r in range(rounds)])
+        same = Window.partitionBy(f"_m{r}").orderBy("h", "doc_id", "_x")
+        texts = texts.withColumn("_n", F.row_number().over(same)).filter((F.col("_n") == 1) | ~F.col("_some"))
+    return texts.drop("_some", "_x", "_n", *[f"_m{r}" for r in range(rounds)])
 
 
 def _document_counts(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
@@ -184,13 +210,15 @@ def _document_counts(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray
     return int(out[-1]), out[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, max_features: int = 4096, min_documents: int = 5, z: float = 5.0, min_ratio: float = 4.0, k: int = 15, held_out: int = 2) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, confidence: float = 3.0, k: int = 15, held_out: int = 2) -> Index:
     """An index from at most ``sample_per_class`` labelled rows of each class, those with the least hashes.
 
     Rows whose crc32(doc_id as text) mod 4 is ``held_out`` are never read; of the
-    others every fourth, by hash, calibrates and the rest are examples. A feature
-    is significantly (``z``) and ``min_ratio`` times as frequent in toxic examples.
-    Its document frequency counts all documents; words that are no feature are in no vector.
+    others every fourth, by hash, calibrates and the rest are examples. All words
+    and word beginnings of the examples are features; relevance is the log odds
+    ratio less ``confidence`` standard errors, and those of which that is not above
+    0 weigh nothing. Document frequencies count all documents. Equal tables give
+    equal indexes, however they are partitioned.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.filter("toxic is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != held_out)
@@ -215,12 +243,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, max
     counts = texts.select("toxic", "text").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     m0, m1 = max(size.get(0, 0), 1), max(size.get(1, 0), 1)
-    pooled = (F.col("n0") + F.col("n1")) / (m0 + m1)
-    score = (F.col("n1") / m1 - F.col("n0") / m0) / F.sqrt(pooled * (1 - pooled) * (1 / m0 + 1 / m1) + 1e-12)
-    picked = counts.withColumn("z", score).filter((F.col("z") >= z) & (F.col("n0") + F.col("n1") >= min_documents) & (F.col("n1") / m1 >= min_ratio * F.col("n0") / m0)).orderBy(F.desc("z"), "f").limit(max_features).collect()
+    odds = F.log((F.col("n1") + 0.5) / (m1 + 1)) - F.log((F.col("n0") + 0.5) / (m0 + 1))
+    sure = F.abs(odds) - confidence * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+    picked = counts.withColumn("sure", sure).filter("sure > 0").orderBy("f").collect()  # words of at most 2 * sample_per_class texts
     terms = [r["f"] for r in picked]
+    relevance = np.array([r["sure"] for r in picked])
     n, document_counts = _document_counts(docs, terms)
-    index = build_index([], terms, document_counts, n, {0: 1.0, 1: 1.0}, k=k)
+    index = build_index([], terms, document_counts, n, {0: 1.0, 1: 1.0}, relevance, k=k)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, max
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = texts.select("doc_id", "toxic", "h", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, h long, t array<bigint>, n array<bigint>").collect()
+    rows.sort(key=lambda r: (r["h"], str(r["doc_id"]), r["toxic"], r["t"], r["n"]))
     importance = {c: total.get(c, 0) / max(1, size.get(c, 0)) for c in (0, 1)}
     examples = [(r["doc_id"], r["toxic"], dict(zip(r["t"], r["n"], strict=True))) for r in rows if r["h"] % 4]
-    fitted = build_index(examples, terms, document_counts, n, importance, k=k)
+    fitted = build_index(examples, terms, document_counts, n, importance, relevance, k=k)
     x, y, w, none = [], [], [], [0.0, 0.0]
     for r in rows:
         if r["t"]:
@@ -259,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 4096, max
 
 
 def score(docs: DataFrame, index: Index, *, held_out: int = 2, cutoff: float = 0.3) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, neighbours (ids of the nearest examples), evidence (features in common).
+    """One row per document: doc_id, held_out, score, predicted, neighbours (ids of the five nearest examples), evidence (the five features in common with the k nearest that add most).
 
     docs: doc_id, text; other columns aren't read. Defined results: NULL and empty
     texts, and texts without a feature, get the share of toxic ones among such
@@ -285,7 +315,7 @@ def score(docs: DataFrame, index: Index, *, held_out: int = 2, cutoff: float = 0
                     if len(t):
                         rows, sims = ix.nearest(t, w)
                         if len(rows):
-                            got = (ix.calibrated(ix.vote(rows, sims)), ",".join(str(ix.ids[r]) for r in rows[:5].tolist()), " ".join(names[i] for i in t[np.argsort(-w, kind="stable")][:5].tolist()))
+                            got = (ix.calibrated(ix.vote(rows, sims)), ",".join(str(ix.ids[r]) for r in rows[:5].tolist()), " ".join(names[i] for i in ix.shared(t, w, rows)[:5].tolist()))
                     if len(memory) > 100_000:
                         memory.clear()
                     memory[key] = got

@@ -152,6 +152,31 @@ def test_neighbours_are_exact():
         assert np.allclose(sims, want) and np.allclose(dense[rows] @ query, sims)
 
 
+def test_neighbours_on_documents(spark):
+    """On the test tables: neighbours are those of all dot products, with blocks left out, and partitions change nothing."""
+    folder = "/root/testdata/sf0.1"
+    docs, known = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(docs, known)
+    again = toxicity.fit(docs.repartition(7), known.repartition(3))
+    assert index.terms == again.terms and index.ids == again.ids and np.array_equal(index.weights, again.weights) and np.array_equal(index.steps, again.steps) and index.base == again.base
+    n, blocks = len(index.ids), index.peak.shape[1]
+    dense = np.zeros((n, len(index.terms)))
+    for t in range(len(index.terms)):
+        lo, hi = index.pointer[t, 0], index.pointer[t, -1]
+        dense[index.rows[lo:hi], t] = index.weights[lo:hi]
+    asked = [v for r in docs.select("text").collect() if len((v := index.vector(r.text or ""))[0])]
+    assert len(asked) > 200 and blocks > 4
+    for t, w in asked:
+        query = np.zeros(len(index.terms))
+        query[t] = w
+        every = dense @ query
+        rows, sims = index.nearest(t, w)
+        want = np.sort(every[every > 0])[::-1][: index.k]
+        assert np.allclose(sims, want) and np.allclose(every[rows], sims)
+        assert set(index.shared(t, w, rows).tolist()) == {i for i in t.tolist() if dense[rows, i].any()}
+    assert index.visited < 0.9 * blocks * len(asked)
+
+
 def test_isotonic_rises():
     r = np.random.default_rng(0)
     x, y = r.random(300), r.integers(0, 2, 300).astype(float)
