@@ -7,10 +7,10 @@ bands, are further keys: texts of one SimHash group or with an equal key are
 candidates, and the exact similarity of their shingle sets decides. Two texts of
 similarity s share a key with probability 1 - (1 - s^rows)^bands, 0.998 at 0.8.
 
-Texts with equal sets are one. Within a key all are first compared with the
-least, then the members of what is still apart with each other, so that the
-components are those of all candidates, while a large group of copies of each
-other costs no more than its size.
+Texts with equal sets are one. Within a key all are first compared with the one
+that meets most others under all keys, which is what copies were made from, then
+the members of what is still apart with each other, so that the components are
+those of all candidates, while a large group of copies costs about its size.
 """
 
 from __future__ import annotations
@@ -85,13 +85,60 @@ def _verified(pairs: DataFrame, marked: DataFrame, threshold: float, scratch: Sc
     return scratch.table(met.filter(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
+def similar(sets: list[np.ndarray], threshold: float, columns: int = 1 << 14) -> np.ndarray:
+    """Which of the sets (sorted, distinct) are as similar to which: exact, by products of the columns that two sets have in common."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    again = times[column] > 1
+    owner, column = owner[again], np.unique(column[again], return_inverse=True)[1]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        lo, hi = np.searchsorted(column, [first, first + columns])
+        held = np.zeros((len(sets), min(columns, int(column[-1]) + 1 - first)), np.float32)
+        held[owner[lo:hi], column[lo:hi] - first] = 1
+        common += held @ held.T
+    return common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+
+
+def _apart(members: DataFrame, marked: DataFrame, threshold: float, scratch: Scratch, block: int = 512) -> DataFrame:
+    """(a, b): links between nodes of one band with different roots, one for every two roots that a task sees. members: band, n (its members), node, root.
+
+    A band's members are dealt to blocks of about ``block``, and every two blocks are a task's.
+    """
+    asked = scratch.table(members.select("node").distinct())
+    sets = scratch.table(marked.select("node", "shingles").join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")))
+    count = F.expr(f"(n + {block - 1}) div {block}")
+    dealt = members.withColumn("side", F.pmod(F.xxhash64("node"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    dealt = dealt.select("band", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
+
+    def work(table: pa.Table) -> pa.Table:
+        node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+        a, b = np.nonzero(np.triu(similar([x.values.to_numpy().view(np.uint64) for x in table.column("s")], threshold), 1))
+        ok = root[a] != root[b]
+        if table.column("lo")[0] != table.column("hi")[0]:
+            ok &= side[a] != side[b]
+        a, b = a[ok], b[ok]
+        _, one = np.unique(np.stack([np.minimum(root[a], root[b]), np.maximum(root[a], root[b])]), axis=1, return_index=True) if len(a) else (None, np.empty(0, np.int64))
+        return pa.table({"a": node[a[one]], "b": node[b[one]]})
+
+    return dealt.join(sets, "node").groupBy("band", "lo", "hi").applyInArrow(work, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6) -> DataFrame:
     """One row per document: doc_id, key (of its text), root (of its component of texts at least ``threshold`` similar)."""
     scratch = Scratch(docs.sparkSession, "near")
     marked = scratch.table(_marked(docs, shingle, bands, rows))
     dealt = marked.select("node", F.explode("bands").alias("band")).distinct()
-    shared = scratch.table(dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1").select("band", "b"))
-    members = scratch.table(dealt.join(shared, "band"))
+    sizes = scratch.table(dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = scratch.table(dealt.join(sizes, "band"))
+    # what copies were made from shares more keys with them than they do with each other
+    known = scratch.table(met.groupBy("node").agg(F.sum("n").alias("met")))
+    ranked = met.select("band", "node").join(known, "node")
+    shared = scratch.table(ranked.groupBy("band").agg(F.max(F.struct("met", "node")).alias("x")).select("band", F.col("x.node").alias("b")))
+    members = scratch.table(met.select("band", "node").join(shared, "band"))
     alike = near_duplicates(docs, shingle=shingle).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("root").alias("group")).distinct()
     grouped = marked.select("doc_id", "key", "node").distinct().join(alike, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("group", "node").distinct()
     grouped = scratch.table(grouped)
@@ -100,12 +147,8 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, ba
     links = _verified(candidates.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), marked, threshold, scratch)
     roots = connected_components(links, scratch)
     now = scratch.table(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
-    groups = now.select("band", "root").distinct()
-    mixed = groups.groupBy("band").count().filter("count > 1").select("band")
-    groups = scratch.table(groups.join(mixed, "band", "left_semi"))
-    apart = groups.select("band", F.col("root").alias("p")).join(groups.select("band", F.col("root").alias("q")), "band").filter("p < q")
-    apart = apart.join(now.select("band", F.col("root").alias("p"), F.col("node").alias("a")), ["band", "p"]).join(now.select("band", F.col("root").alias("q"), F.col("node").alias("b")), ["band", "q"])
-    more = _verified(apart.select("a", "b").distinct(), marked, threshold, scratch)
+    mixed = scratch.table(now.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("band", "n"))
+    more = scratch.table(_apart(now.join(mixed, "band"), marked, threshold, scratch))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), scratch)
     return marked.select("doc_id", "key", "node").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
