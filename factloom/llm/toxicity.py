@@ -57,6 +57,9 @@ class Index:
     base: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0]), np.array([0.0])))
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    begins: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # the examples' own features and weights, row by row
+    held: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    parts: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers and unit TF-IDF weights of a whole text."""
@@ -111,13 +114,10 @@ class Index:
 
     def shared(self, terms: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The query's features that the rows have too, those that add most to the cosines first."""
-        added = np.zeros(len(terms))
-        for i, t in enumerate(terms.tolist()):
-            lo, hi = self.pointer[t, 0], self.pointer[t, -1]
-            at = lo + np.searchsorted(self.rows[lo:hi], np.sort(rows))
-            near = at[(at < hi)]
-            near = near[np.isin(self.rows[near], rows)]
-            added[i] = weights[i] * self.weights[near].sum()
+        at = np.concatenate([np.arange(self.begins[r], self.begins[r + 1]) for r in rows.tolist()]) if len(rows) else np.empty(0, np.int64)
+        place = np.minimum(np.searchsorted(terms, self.held[at]), len(terms) - 1)
+        same = terms[place] == self.held[at]
+        added = weights * np.bincount(place[same], self.parts[at[same]], len(terms))
         order = np.argsort(-added, kind="stable")
         return terms[order[added[order] > 0]]
 
@@ -136,6 +136,7 @@ def build_index(examples: list[tuple], terms: list[str], document_counts: np.nda
     t = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int64)
     w = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
     r = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors]) if vectors else np.empty(0, np.int64)
+    index.begins, index.held, index.parts = np.concatenate(([0], np.cumsum([len(v[0]) for v in vectors]))).astype(np.int64), t, w
     order = np.lexsort((r, t))
     t, w, r = t[order], w[order], r[order]
     cell = t * blocks + r // block
