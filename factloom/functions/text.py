@@ -181,3 +181,55 @@ def int_or_zero(value: Column) -> Column:
 
 def truthy(text: Column) -> Column:
     return F.lower(F.trim(text)).isin("true", "1", "yes", "on")
+
+
+def module_slug(text: Column) -> Column:
+    """Letters, digits and hyphens; slashes, blanks, dots and underscores become hyphens, anything else goes."""
+    dashed = F.translate(F.lower(F.trim(text)), "\\/ ._", "-----")
+    kept = F.regexp_replace(F.regexp_replace(dashed, r"[^\p{L}\p{N}-]", ""), "^-+|-+$", "")
+    return F.when(kept == "", "unknown").otherwise(kept)
+
+
+def identity_json(name: Column, kind: Column, **lists: Column) -> Column:
+    """A module's identity as JSON with sorted keys, sorted lists and blanks after commas and colons."""
+    quoted = lambda s: F.substring(F.to_json(F.array(s)), F.lit(2), F.length(F.to_json(F.array(s))) - 2)
+    parts = {"name": quoted(name), "type": quoted(kind), **{k: F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(v), quoted), ", "), F.lit("]")) for k, v in lists.items()}}
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), parts[k]) for k in sorted(parts)]), F.lit("}"))
+
+
+def preview(text: Column, limit: int = 160) -> Column:
+    """The first characters in one line."""
+    return F.substring(squeezed(F.coalesce(text, F.lit(""))), 1, limit)
+
+
+def replaced(text: Column, pairs: dict[str, str]) -> Column:
+    """All pairs, one after another."""
+    for old, new in pairs.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def closed_fence(text: Column) -> Column:
+    """The text, with the code fence that is open at its end closed.
+
+    A fence is three or more backticks or tildes after at most three blanks; it
+    is closed by as many of the same mark, or more, on a line of their own.
+    """
+    state = F.struct(F.lit("").alias("mark"), F.lit(0).alias("n"))
+
+    def step(a: Column, line: Column) -> Column:
+        run = F.regexp_extract(line, "^ {0,3}(`{3,}|~{3,})", 1)
+        rest = F.regexp_extract(line, "^ {0,3}(?:`{3,}|~{3,})(.*)$", 1)
+        opens = (a["mark"] == "") & (run != "")
+        closes = (a["mark"] != "") & (F.left(run, F.lit(1)) == a["mark"]) & (F.length(run) >= a["n"]) & (F.trim(rest) == "")
+        return F.when(opens, F.struct(F.left(run, F.lit(1)).alias("mark"), F.length(run).alias("n"))).when(closes, F.struct(F.lit("").alias("mark"), F.lit(0).alias("n"))).otherwise(a)
+
+    left = F.aggregate(F.split(text, r"\r\n|\r|\n", -1), state, step)
+    end = F.concat(F.when(text.rlike(r"[\r\n]\z"), "").otherwise("\n"), F.repeat(left["mark"], left["n"]))
+    return F.when(left["mark"] == "", text).otherwise(F.concat(text, end))
+
+
+def payload_errors(fields: dict[str, Column], required: tuple[str, ...], said: Column) -> Column:
+    """What a report lacks: lists that are absent, and a verdict."""
+    missing = [F.when(fields[f].isNull(), F.lit(f"Missing expected field: {f}.")) for f in required]
+    return F.array_compact(F.array(*missing, F.when(verdict(said).isNull(), F.lit("Missing or invalid verdict."))))

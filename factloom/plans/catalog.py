@@ -758,3 +758,6 @@ def markdown_index(t):
     """A page's table read back."""
     made = pages.markdown_table(t.nation.withColumn("all", F.lit(1)), ["all"], ["n_nationkey", "n_name"], ["n_nationkey"])
     return facts.markdown_table(made, "all", "page", ["n_nationkey", "n_name"]).select("n_nationkey", "n_name")
+
+
+from factloom.plans import view_catalog  # noqa: E402, F401  registers its queries here
