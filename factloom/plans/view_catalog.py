@@ -334,3 +334,139 @@ def payload_errors(t):
     some = lambda test: F.when(test, F.array(F.lit("x")))
     said = F.when(F.col("event_type") == "click", "Pass").otherwise(F.col("event_type"))
     return t.events.select("event_id", F.array_join(text.payload_errors({"weak_claims": some(e % 2 != 0), "notes": some(e % 3 != 0)}, ("weak_claims", "notes"), said), "|").alias("errors"))
+
+
+@query("""with s as (select event_id, (['12', 'x', null, '3.5', ' 7 '])[event_id % 5 + 1] as n, ([' True', '1', 'off', null, 'YES', 'no'])[event_id % 6 + 1] as b, (['HTTP 401', 'read timed out', 'schema said no', 'Rate limit reached', '429', 'odd'])[event_id % 6 + 1] as e,
+    (['full', 'summary', 'skip'])[event_id % 3 + 1] as m, (['2024-01-02T03:04:05Z', '2024-01-02', 'soon', null])[event_id % 4 + 1] as d from events)
+select event_id, case trim(n, ' ') when '12' then 12 when '7' then 7 else 0 end as whole, lower(trim(b, ' ')) in ('true', '1', 'yes', 'on') as flag,
+  case when e = 'HTTP 401' then 'auth_error' when e = 'read timed out' then 'timeout' when e = 'schema said no' then 'schema_rejected' when e in ('429', 'Rate limit reached') then 'rate_limited' else 'api_error' end as provider_status,
+  case m when 'full' then 3200 when 'summary' then 2200 else 1200 end as overhead, case d when '2024-01-02T03:04:05Z' then '20240102T030405Z' when '2024-01-02' then '20240102T000000Z' end as slug from s""")
+def lenient_values(t):
+    from factloom.operators import planning
+
+    e = F.col("event_id")
+    rows = t.events.select(
+        "event_id", _pick(("12", "x", None, "3.5", " 7 "), e % 5).alias("n"), _pick((" True", "1", "off", None, "YES", "no"), e % 6).alias("b"), _pick(("HTTP 401", "read timed out", "schema said no", "Rate limit reached", "429", "odd"), e % 6).alias("e"),
+        _pick(("full", "summary", "skip"), e % 3).alias("m"), _pick(("2024-01-02T03:04:05Z", "2024-01-02", "soon", None), e % 4).alias("d"),
+    )
+    return rows.select(
+        "event_id", text.int_or_zero(F.col("n")).alias("whole"), text.truthy(F.col("b")).alias("flag"), text.provider_status(F.col("e")).alias("provider_status"), planning.prompt_overhead(F.col("m")).alias("overhead"),
+        text.run_slug(text.utc_time(F.col("d"))).alias("slug"),
+    )
+
+
+@query("""select p_partkey, sha256('{"model":"' || p_brand || '","size":' || p_size || ',"text":' || case when p_partkey % 3 = 0 then 'null' else '"' || p_name || '"' end || '}') as key from part""")
+def cache_keys(t):
+    return t.part.select("p_partkey", text.cache_key(text=F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")), model=F.col("p_brand"), size=F.col("p_size")).alias("key"))
+
+
+@query("""with k as (select p_partkey, (['package', 'test_target', 'directory', 'entrypoint', 'feature', 'other'])[p_partkey % 6 + 1] as b, p_size / 50.0 as share, p_partkey % 4 = 0 as tests from part),
+c as (select *, case when share >= 0.6 then case when b = 'test_target' or tests then 'test_asset' else 'fixture' end else b end as type from k)
+select p_partkey, type, case when type = 'entrypoint' then 'entrypoint' when type in ('fixture', 'test_asset', 'test_target') then 'test' when type = 'directory' then 'aggregate' when type in ('package', 'feature') then 'detailed' else 'unknown' end as role from c""")
+def candidate_types(t):
+    from factloom.operators import candidates
+
+    p = F.col("p_partkey")
+    kind = candidates.candidate_type(_pick(("package", "test_target", "directory", "entrypoint", "feature", "other"), p % 6), F.col("p_size") / 50.0, p % 4 == 0)
+    return t.part.select("p_partkey", kind.alias("type")).withColumn("role", candidates.page_role(F.col("type")))
+
+
+@query("""select p_partkey, row_number() over (partition by p_type order by case p_size % 3 when 0 then 2 when 1 then 1 else 0 end desc, p_brand, p_name, p_partkey) as number from part""")
+def candidate_order(t):
+    from factloom.operators import candidates
+
+    rows = t.part.select("p_partkey", "p_type", F.col("p_brand").alias("type"), F.col("p_name").alias("name"), _pick(("high", "medium", "low"), F.col("p_size") % 3).alias("confidence"))
+    return views.ordered(rows, candidates.rank(F.col("confidence")).desc(), "type", "name", "p_partkey", by=("p_type",)).select("p_partkey", "number")
+
+
+@query("""select event_id, row_number() over (partition by event_type order by case event_id % 3 when 0 then 3 when 1 then 1 else 2 end, user_id, event_id) as number from events""")
+def problem_order(t):
+    from factloom.operators import quality
+
+    rows = t.events.select("event_id", "event_type", _pick(("info", "fail", "warning"), F.col("event_id") % 3).alias("severity"), F.col("user_id").alias("module"))
+    return views.ordered(rows, *quality.problem_order(), "event_id", by=("event_type",)).select("event_id", "number")
+
+
+@query("""select user_id, count_if(event_id % 7 = 0) as unresolved, case when count_if(event_id % 7 = 0) > 0 then count_if(event_id % 7 = 0) || ' unresolved imports' end as warning,
+array_to_string(list_sort(list_distinct(list_concat(list(event_type), ['a first', 'click']))), '|') as limitations, greatest(max(event_id % 5) + max(event_id % 3), count_if(event_id % 2 = 0))::bigint as failed from events group by 1""")
+def summary_notes(t):
+    from factloom.operators import profile, runs
+
+    e = F.col("event_id")
+    per = t.events.groupBy("user_id").agg(
+        F.count_if(e % 7 == 0).alias("unresolved"), F.collect_list("event_type").alias("types"), F.max(e % 5).alias("a"), F.max(e % 3).alias("b"), F.collect_list(F.struct(F.when(e % 2 == 0, "failed_x").otherwise("ok").alias("status"))).alias("results")
+    )
+    noted = profile.warnings(per, "unresolved", "%d unresolved imports")
+    failed = runs.failed_count([F.col("a"), F.col("b")], F.col("results")).cast("long")
+    return noted.select("user_id", "unresolved", "warning", F.array_join(profile.limitations(F.col("types"), ("a first", "click")), "|").alias("limitations"), failed.alias("failed"))
+
+
+@query("""select o_orderkey, array_to_string(list_filter(['a.md', 'b.md'], lambda x: x = 'a.md' and o_orderkey % 2 = 0 or x = 'b.md' and o_orderkey % 3 = 0), ',') as refs from orders""")
+def reference_whitelist(t):
+    from factloom.operators import quality
+
+    o = F.col("o_orderkey")
+    allowed = F.array_compact(F.array(F.when(o % 2 == 0, "a.md"), F.when(o % 3 == 0, "b.md"), F.lit("z.md")))
+    refs = F.array(*[F.lit(x) for x in ("docs/generated/a.md", "b.md", "a.md", "c.md")])
+    return t.orders.select("o_orderkey", F.array_join(quality.allowed_references(refs, allowed), ",").alias("refs"))
+
+
+_KIND = "case when (o_orderkey // 2) % 2 = 0 then 'a' else 'b' end"
+
+
+@query(f"""with r as (select {_KIND} as side, o_custkey as module, max({{'s': o_orderstatus, 'v': (['pass', 'fail', 'odd'])[o_orderkey % 3 + 1], 'w': o_orderkey % 4, 'p': o_orderkey % 10}}) as r from orders group by 1, 2)
+select coalesce(a.module, b.module) as module, case when a.module is null then 'added' when b.module is null then 'removed' when a.r.s <> b.r.s or a.r.v <> b.r.v or a.r.w <> b.r.w or a.r.p <> b.r.p then 'changed' else 'unchanged' end as change_status,
+coalesce(b.r.w, 0) - coalesce(a.r.w, 0) as weak_delta, coalesce(b.r.p, 0) - coalesce(a.r.p, 0) as prompt_delta,
+case when a.r.v is null or b.r.v is null or a.r.v = 'odd' or b.r.v = 'odd' then 'unknown' when a.r.v = b.r.v then 'unchanged' when b.r.v = 'pass' then 'improved' else 'worsened' end as direction
+from (select * from r where side = 'a') a full join (select * from r where side = 'b') b on a.module = b.module""")
+def verification_diff(t):
+    from factloom.operators import runs
+
+    o = F.col("o_orderkey")
+    zero = F.lit(0).cast("long")
+    rows = t.orders.select(
+        (F.floor(o / 2) % 2).alias("side"), F.col("o_custkey").alias("module"), F.col("o_orderstatus").alias("status"), _pick(("pass", "fail", "odd"), o % 3).alias("verdict"), (o % 4).alias("weak_claims_count"), (o % 10).alias("prompt_tokens"),
+        *[zero.alias(c) for c in ("unsupported_claims_count", "missing_factual_support_count", "missing_uncertainty_count", "completion_tokens", "total_tokens")],
+    )
+    diff = runs.diff_verifications(rows.filter("side = 0"), rows.filter("side = 1"), fields=("status", "verdict"))
+    return diff.select("module", "change_status", F.col("weak_claims_count_delta").alias("weak_delta"), F.col("prompt_tokens_delta").alias("prompt_delta"), F.col("verdict_direction").alias("direction"))
+
+
+@query(f"""with {_RUNS_SQL} select kind, arg_max(run_id, {{'g': generated_at, 'r': run_id}}) as run_id, max(generated_at) as generated_at from runs group by 1""")
+def current_runs(t):
+    from factloom.streaming import history
+
+    rows = _runs(t).withColumns({c: F.lit(0) for c in ("selected", "cached", "failed")})
+    return history.current_runs(rows).select("kind", "run_id", "generated_at")
+
+
+@query(f"""with {_MODULES_SQL}, f as (select name, 'source' as category, unnest(source_files) as file from modules union all select name, 'page', module_doc_path from modules) select category, file, count(*) as n from f group by 1, 2""")
+def key_files(t):
+    from factloom.operators import pages
+
+    rows = _modules(t).select("name", F.col("source_files").alias("source"), F.array("module_doc_path").alias("page"))
+    return pages.key_files(rows, ["source", "page"]).groupBy("category", "file").agg(F.count("*").alias("n"))
+
+
+@query("""with f as (select distinct 'f' || (event_id % 40) as file from events), p as (select 'f' || (p_partkey % 37) as file from part) select count(*) as missing, count(*) >= 3 as stale from f anti join p using (file)""")
+def page_consistency(t):
+    from factloom.operators import quality
+
+    file = lambda c, n: F.concat(F.lit("f"), (F.col(c) % n).cast("string")).alias("file")
+    return quality.consistency(t.events.select(file("event_id", 40)), t.part.select(file("p_partkey", 37)))
+
+
+@query("""select doc_id, trim(regexp_replace(substr(text, 1, 50), '[\\s`]+', ' ', 'g'), ' ') as body from documents""")
+def unfenced_texts(t):
+    body = F.trim(F.regexp_replace(F.substring("text", 1, 50), "[\\s`]+", " "))
+    fenced = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```markdown\n"), body, F.lit("\n```\n"))).otherwise(body)
+    return t.documents.select("doc_id", F.trim(text.unfenced(fenced)).alias("body"))
+
+
+@query("""select c_custkey, c_name as name from customer where c_custkey in (3, 4, 8)""")
+def only_modules(t):
+    from factloom.operators import planning
+
+    plan = t.customer.select("c_custkey", F.col("c_name").alias("name"), F.lit("high").alias("priority"), F.when(F.col("c_custkey") % 2 == 1, "skip").otherwise("full").alias("explain_mode"), F.lit("detailed").alias("role"), F.lit("p").alias("path"))
+    chosen, skipped = planning.select_modules(plan, only=["Customer#000000003", "Customer#000000004", "Customer#000000008"])
+    return chosen.select("c_custkey", "name").unionByName(skipped.select("c_custkey", "name"))
