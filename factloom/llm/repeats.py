@@ -3,18 +3,19 @@
 A byte goes if a string of ``window`` bytes that covers it also starts anywhere
 else. Every window has a key, the least hash of its 32-byte grams (the leftmost
 of equals), and equal windows have equal keys at equal places. Consecutive
-windows with one key place form a run; runs whose key occurs once hold no
-repeat, and runs with equal text repeat entirely. Only runs that share a key but
-not their text are left. Of these, one context per distinct text is read and cut
-into 8-byte blocks counted from the key; the contexts are dealt to shards, each
-shard's Burrows-Wheeler transform is built, and the transforms are merged by
-iterative interleave refinement: after h rounds the interleaving is sorted by h
-blocks, and the boundaries found so far say which neighbours share h blocks, so
-that no suffix is sorted again. Intervals of ``window - 8`` bytes in common, with
-the up to 8 bytes around them, give the repeated windows exactly.
-
-Keys with over ``dense`` different contexts are compared by their windows'
-128-bit hashes instead, grouped over all tasks.
+windows with one key place form a run; runs whose key occurs once hold no repeat.
+Of the others, one context per key and distinct text is read, with the number of
+its copies, and cut into 16-byte blocks counted from the key. A task deals the
+contexts of its keys to shards, builds each shard's Burrows-Wheeler transform and
+merges the transforms by iterative interleave refinement: after h rounds the
+interleaving is sorted by h blocks, and the boundaries found so far say which
+neighbours share h blocks, so that no suffix is sorted again. Intervals of eleven
+blocks in common that hold two occurrences or more, with the up to 24 bytes around
+them, give the repeated windows exactly.
+
+Contexts of a key that very many texts share are dealt by a second key, the least
+hash of the blocks inside a window, then by a third, so that such a key is spread
+over tasks; equal windows stay together.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch
 
-GRAM, BLOCK = 32, 8
+GRAM, BLOCK = 32, 16
 _random = np.random.default_rng(20)
 _TABLE = _random.integers(0, 2**64, 256, dtype=np.uint64)
 _FACTORS = _random.integers(0, 2**63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,23 +115,43 @@ def merged_blocks(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> li
     return out
 
 
-def repeated_windows(contexts: list[bytes], places: np.ndarray, counts: np.ndarray, window: int, shards: int = 4) -> list[np.ndarray]:
-    """For each context, which of its windows another context holds too at the same distance from the key."""
-    m = len(contexts)
-    masks = [np.zeros(int(n), bool) for n in counts]
-    depth = (window - BLOCK) // BLOCK
+def _words(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+    """The n bytes at every place, n a multiple of 8, as numbers of eight bytes."""
+    out = []
+    for first in range(0, n, 8):
+        word = np.zeros(len(at), np.uint64)
+        for t in range(first, first + 8):
+            word = word << np.uint64(8) | data[at + t]
+        out.append(word)
+    return out
+
+
+def _blocks(contexts: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All blocks counted from the keys: the bytes of all contexts, where each context begins, and each block's begin, context and number in it."""
     first = places % BLOCK
     sizes = np.array([len(c) for c in contexts])
-    blocks = (sizes - first) // BLOCK
+    blocks = np.maximum(sizes - first, 0) // BLOCK
     base = np.concatenate(([0], np.cumsum(sizes)))
-    data = np.frombuffer(b"".join(contexts) + b"\0" * 16, np.uint8)
-    owner = np.repeat(np.arange(m), blocks)
+    owner = np.repeat(np.arange(len(contexts)), blocks)
     index = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = base[owner] + first[owner] + index * BLOCK
-    words = np.zeros(len(begin), np.uint64)
-    for t in range(BLOCK):
-        words = words << np.uint64(8) | data[begin + t]
-    symbol = np.unique(words, return_inverse=True)[1].astype(np.int64) + m
+    data = np.frombuffer(b"".join(contexts) + b"\0" * 64, np.uint8)
+    return data, base, base[owner] + first[owner] + index * BLOCK, owner, index
+
+
+def repeated_windows(contexts: list[bytes], places: np.ndarray, counts: np.ndarray, window: int, copies: np.ndarray | None = None, shards: int = 4) -> list[np.ndarray]:
+    """For each context, which of its windows occur twice or more at the same distance from the key; copies: how often each context occurs."""
+    m = len(contexts)
+    copies = np.ones(m, np.int64) if copies is None else copies
+    masks = [np.zeros(int(n), bool) for n in counts]
+    depth = (window - BLOCK) // BLOCK
+    edge = window - depth * BLOCK
+    data, base, begin, owner, index = _blocks(contexts, places)
+    blocks = np.bincount(owner, minlength=m)
+    symbol = np.zeros(len(begin), np.int64)
+    for word in _words(data, begin, BLOCK):
+        distinct, number = np.unique(word, return_inverse=True)
+        symbol = np.unique(symbol * len(distinct) + number, return_inverse=True)[1].astype(np.int64)
+    symbol += m
     deal = np.arange(m) % shards
     built, texts = [], []
     stop = np.cumsum(blocks)
@@ -138,36 +159,71 @@ def repeated_windows(contexts: list[bytes], places: np.ndarray, counts: np.ndarr
         ids = np.flatnonzero(deal == s)
         if not len(ids):
             continue
-        parts, where = [], []
-        for i in ids.tolist():
-            parts.append(symbol[stop[i] - blocks[i] : stop[i]])
-            parts.append(np.array([i]))
-            where.append(np.arange(stop[i] - blocks[i], stop[i]))
-            where.append(np.array([-1]))
-        built.append(shard_transform(np.concatenate(parts)))
-        texts.append(np.concatenate(where))
+        # every text ends in a symbol of its own
+        long = blocks[ids] + 1
+        where = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long) + np.repeat(stop[ids] - blocks[ids], long)
+        last = np.cumsum(long) - 1
+        where[last] = -1
+        symbols = np.where(where >= 0, symbol[where] if len(symbol) else 0, 0)
+        symbols[last] = ids
+        built.append(shard_transform(symbols))
+        texts.append(where)
     classes = np.full(len(begin), -1, np.int64)
     for got, where in zip(merged_blocks(built, depth), texts, strict=True):
         classes[where[where >= 0]] = got[where >= 0]
     whole = np.flatnonzero(index + depth <= blocks[owner])
-    _, inverse, times = np.unique(classes[whole], return_inverse=True, return_counts=True)
-    shared = whole[times[inverse] > 1]
-    group = inverse[times[inverse] > 1]
+    if not len(whole):
+        return masks
+    _, inverse, members = np.unique(classes[whole], return_inverse=True, return_counts=True)
+    occurrences = np.bincount(inverse, copies[owner[whole]])
+    often = occurrences[inverse] > 1
+    alone = often & (copies[owner[whole]] > 1)  # an interval with two occurrences whatever stands around it
+    shared = often & ~alone & (members[inverse] > 1)
+    flat = np.concatenate(([0], np.cumsum(counts)))
+    hits = np.zeros(int(flat[-1]), bool)
+    both = whole[alone | shared]
+    group, mine = inverse[alone | shared], alone[alone | shared]
     for k in range(BLOCK):
-        p = begin[shared] - base[owner[shared]] - k
-        ok = (p >= 0) & (p < counts[owner[shared]])
-        at, who, g = begin[shared][ok], owner[shared][ok], group[ok]
-        edge = np.zeros(len(at), np.uint64)
-        for t in range(BLOCK):
-            edge = edge << np.uint64(8) | data[at - k + t if t < k else at + depth * BLOCK + t - k]
-        order = np.lexsort((edge, g))
-        same = (edge[order][1:] == edge[order][:-1]) & (g[order][1:] == g[order][:-1])
+        p = begin[both] - base[owner[both]] - k
+        ok = (p >= 0) & (p < counts[owner[both]])
+        to = flat[owner[both][ok]] + p[ok]
+        hits[to[mine[ok]]] = True
+        # only classes with a member that needs its neighbours are compared
+        need = np.zeros(len(members), bool)
+        need[group[ok][~mine[ok]]] = True
+        some = np.flatnonzero(need[group[ok]])
+        if not len(some):
+            continue
+        at, g = begin[both][ok][some], group[ok][some]
+        # whole words, which run into the blocks in common: these are equal anyway
+        ahead, behind = 8 * -(-k // 8), 8 * -(-(edge - k) // 8)
+        around = _words(data, at - k, ahead) + _words(data, at + depth * BLOCK + edge - k - behind, behind)
+        order = np.lexsort((*around, g))
+        same = g[order][1:] == g[order][:-1]
+        for w in around:
+            same &= w[order][1:] == w[order][:-1]
         hit = np.zeros(len(at), bool)
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
-        for i, w in zip(who[hit].tolist(), p[ok][hit].tolist(), strict=True):
-            masks[i][w] = True
-    return masks
+        hits[to[some[hit]]] = True
+    return [hits[a:b] for a, b in zip(flat[:-1].tolist(), flat[1:].tolist(), strict=True)]
+
+
+def _deeper(context: bytes, place: int, size: int, window: int, level: int) -> list[tuple[int, int, int]]:
+    """(lo, size, key) of the stretches of windows with one least block; blocks are told apart by bytes and by place from the key."""
+    data, _, begin, _, index = _blocks([context], np.array([place]))
+    h = np.full(len(begin), 0x9E3779B97F4A7C15 * (2 * level + 3) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    number = (index - place // BLOCK).astype(np.uint64)
+    for word in [number, *_words(data, begin, BLOCK)]:
+        h = (h ^ word) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    n = (window - BLOCK + 1) // BLOCK  # blocks that lie inside every window, counted from its first one
+    first = place % BLOCK
+    starts = np.arange(size)
+    at = np.maximum(starts - first + BLOCK - 1, 0) // BLOCK
+    least = np.lib.stride_tricks.sliding_window_view(h, n).min(axis=1)[at]
+    cut = [0, *(np.flatnonzero(np.diff(least)) + 1).tolist(), size]
+    return [(a, b - a, int(least[a])) for a, b in zip(cut, cut[1:], strict=False)]
 
 
 def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -207,12 +263,12 @@ def _batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 
 
 def _compare(contexts: DataFrame, window: int, flush: int) -> DataFrame:
-    """(key, same, lo, hi): windows lo to hi of the context are repeated. Contexts of one key are compared in one task."""
+    """(key, same, lo, hi): windows lo to hi of the context are repeated. Contexts of one part are compared in one task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows):
-            masks = repeated_windows([r[4] for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), window)
-            got = [(r[0], r[1], a, b) for r, m in zip(rows, masks, strict=True) for a, b in _spans(m)]
+            masks = repeated_windows([r[6] for r in rows], np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), window, np.array([r[7] for r in rows]))
+            got = [(r[1], r[2], r[3] + a, r[3] + b) for r, m in zip(rows, masks, strict=True) for a, b in _spans(m)]
             cols = list(zip(*got, strict=True)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "same", "lo", "hi"])
 
@@ -230,26 +286,27 @@ def _compare(contexts: DataFrame, window: int, flush: int) -> DataFrame:
         if held:
             yield out(held)
 
-    rows = contexts.select("key", "same", "place", "size", "context").repartition("key").sortWithinPartitions("key")
+    rows = contexts.select("part", "key", "same", "lo", "place", "size", "context", "n").repartition("part").sortWithinPartitions("part")
     return rows.mapInArrow(work, "key long, same long, lo long, hi long")
 
 
-def _compare_dense(contexts: DataFrame, window: int) -> DataFrame:
-    """The same by hashes of all windows, grouped over all tasks."""
-    import xxhash
+def _split(contexts: DataFrame, window: int, level: int) -> DataFrame:
+    """The contexts' stretches of windows, their parts named by the next key too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "deep", "key", "same", "lo", "place", "size", "context", "n"]
         for batch in batches:
-            for key, same, size, context in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                hashes = [xxhash.xxh128_digest(context[i : i + window]) for i in range(size)]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * size, pa.int64()), pa.array([same] * size, pa.int64()), pa.array(range(size), pa.int64()), pa.array(hashes, pa.binary())], ["key", "same", "at", "hash"])
+            out = []
+            for part, key, same, lo, place, size, context, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                out += [(part, deep - (1 << 64) if deep >> 63 else deep, key, same, lo + a, place - a, k, context[a : a + k + window - 1], n) for a, k, deep in _deeper(context, place, size, window, level)]
+            kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
 
-    each = contexts.select("key", "same", "size", "context").mapInArrow(work, "key long, same long, at long, hash binary")
-    often = each.groupBy("key", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("key", "hash")
-    return each.join(often, ["key", "hash"], "left_semi").select("key", "same", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    each = contexts.mapInArrow(work, "part long, deep long, key long, same long, lo long, place int, size int, context binary, n long")
+    return each.withColumn("part", F.xxhash64("part", "deep", F.lit(level))).drop("deep")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, *, window: int = 200, dense: int = 50_000, flush: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, *, window: int = 200, dense: int = 20_000, levels: int = 4, flush: int = 20_000) -> DataFrame:
     """(k, spans) of the texts with repeats; docs: k, data (binary), k naming equal rows alike."""
     runs = scratch.table(_runs(docs, window))
     # counts are tables of their own: a join whose sides are plain exchanges can split a common key
@@ -257,45 +314,46 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, window: int = 200, dens
     left = scratch.table(runs.join(twice, "key", "left_semi"))
     scratch.drop(runs)
     texts = scratch.table(left.groupBy("key", "same").agg(F.count("*").alias("n"), F.min(F.struct("k", "start", "size", "place")).alias("one")))
-    kinds = scratch.table(texts.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    mixed = texts.join(kinds, "key")
-    asked = mixed.select(F.col("one.k").alias("k"), F.struct("key", "same", "one.start", "one.size", "one.place", "kinds").alias("x"))
-    asked = asked.groupBy("k").agg(F.collect_list("x").alias("xs"))
-    found = docs.join(asked, "k").select("data", F.explode("xs").alias("x")).select(
-        "x.key", "x.same", "x.size", "x.place", "x.kinds", F.expr(f"substring(data, cast(x.start as int) + 1, x.size + {window - 1})").alias("context")
+    asked = texts.select(F.col("one.k").alias("k"), F.struct("key", "same", "one.start", "one.size", "one.place", "n").alias("x")).groupBy("k").agg(F.collect_list("x").alias("xs"))
+    found = docs.join(asked, "k").select("k", "data", F.explode("xs").alias("x")).select(
+        "x.key", "x.same", "x.size", "x.place", "x.n", F.expr(f"substring(data, cast(x.start as int) + 1, x.size + {window - 1})").alias("context")
     )
-    found = scratch.table(found.dropDuplicates(["key", "same"]))
-    part = _compare(found.filter(F.col("kinds") <= dense), window, flush)
-    if not found.filter(F.col("kinds") > dense).isEmpty():
-        part = part.unionByName(_compare_dense(found.filter(F.col("kinds") > dense), window))
-    part = scratch.table(part)
+    # rows that k names alike give one context each
+    found = found.dropDuplicates(["key", "same"]).select(F.col("key").alias("part"), "key", "same", F.lit(0).cast("long").alias("lo"), "place", "size", "context", "n")
+    found = scratch.table(found)
+    for level in range(levels):
+        large = scratch.table(found.groupBy("part").agg(F.count("*").alias("parts")).filter(F.col("parts") > dense).select("part"))
+        if large.isEmpty():
+            break
+        rest = found.join(large, "part", "left_anti")
+        found = scratch.table(rest.unionByName(_split(found.join(large, "part", "left_semi").select(*found.columns), window, level)))
+    marks = scratch.table(_compare(found, window, flush))
     scratch.drop(found)
-    entire = texts.filter("n > 1").select("key", "same", F.lit(0).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
-    some = texts.filter("n = 1").select("key", "same").join(part, ["key", "same"])
-    marks = entire.unionByName(some)
-    hit = left.join(marks, ["key", "same"]).select("k", F.struct((F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.coalesce("hi", F.col("size")) + (window - 1)).alias("e")).alias("x"))
+    hit = left.join(marks, ["key", "same"]).select("k", F.struct((F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") + (window - 1)).alias("e")).alias("x"))
     return hit.groupBy("k").agg(F.collect_set("x").alias("spans"))
 
 
-def merge_spans(spans: Column) -> Column:
-    """Sorted spans, overlapping and touching ones merged."""
-    kind = "array<struct<s:bigint,e:bigint>>"
-
-    def step(a: Column, x: Column) -> Column:
-        more = F.struct(a["s"].alias("s"), F.greatest(a["e"], x["e"]).alias("e"), a["out"].alias("out"))
-        new = F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e")))).alias("out"))
-        return F.when(x["s"] <= a["e"], more).otherwise(new)
-
-    ordered = F.sort_array(spans)
-    head = ordered[0]
-    walked = F.aggregate(
-        ordered, F.struct(head["s"].alias("s"), head["e"].alias("e"), F.array().cast(kind).alias("out")), step,
-        lambda a: F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e")))),
-    )
-    return F.when(F.size(spans) > 0, walked).otherwise(F.array().cast(kind))
-
-
-def remove_repeats(docs: DataFrame, *, window: int = 200, dense: int = 50_000) -> DataFrame:
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans merged, and the bytes outside them."""
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    for batch in batches:
+        sizes, spans, kept = [], [], []
+        for data, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            data, out = data.as_py(), []
+            for x in sorted((x["s"], x["e"]) for x in found or ()):
+                if out and x[0] <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], x[1])
+                else:
+                    out.append(list(x))
+            ends = [0, *[e for _, e in out]]
+            begins = [*[b for b, _ in out], len(data)]
+            sizes.append(len(data))
+            spans.append([{"s": b, "e": e} for b, e in out])
+            kept.append(b"".join(data[a:b] for a, b in zip(ends, begins, strict=True)) if out else data)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+
+
+def remove_repeats(docs: DataFrame, *, window: int = 200, dense: int = 20_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (removed byte ranges, merged), kept (the bytes left).
 
     docs: doc_id, text; other columns aren't read. Defined results: NULL counts as
@@ -308,9 +366,5 @@ def remove_repeats(docs: DataFrame, *, window: int = 200, dense: int = 50_000) -
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
     rows = docs.select("doc_id", data.alias("data")).withColumn("k", F.xxhash64("doc_id", "data", F.octet_length("data")))
     spans = repeated_spans(rows.select("k", "data"), scratch, window=window, dense=dense)
-    out = rows.join(spans, "k", "left").withColumn("spans", merge_spans(F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint>>"))))
-    ends = F.concat(F.transform("spans", lambda x: x["s"]), F.array(F.octet_length("data").cast("long")))
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda x: x["e"]))
-    pieces = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    kept = F.aggregate(pieces, F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, F.substring(F.col("data"), x["a"].cast("int") + 1, (x["b"] - x["a"]).cast("int"))))
-    return out.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), "spans", kept.alias("kept"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.join(spans, "k", "left").select("doc_id", "data", "spans").mapInArrow(_without, f"doc_id {kind}, n_bytes long, spans array<struct<s:bigint,e:bigint>>, kept binary")

@@ -150,3 +150,24 @@ def test_merged_transforms_sort_as_one():
                 if len(first) == depth and (first >= 10).all():
                     classes.setdefault(tuple(first.tolist()), set()).add(int(numbers[i]))
         assert all(len(v) == 1 for v in classes.values()) and len({min(v) for v in classes.values()}) == len(classes)
+
+
+def test_transforms_decide_all(spark, monkeypatch):
+    """Without the merged transforms nothing is removed, copies of whole texts included; keys dealt by further keys give the same parts."""
+    rows = [(i, llm_cases.prose(70, 90)) for i in range(3)] + [(9, llm_cases.prose(71, 60) + llm_cases.prose(70, 90)[40:400])]
+    docs = llm_cases.documents(spark, rows)
+    assert measured(repeats.remove_repeats(docs)) == repeated(rows) and "0, 0," not in str(measured(repeats.remove_repeats(docs))[0])
+    monkeypatch.setattr(repeats, "_compare", lambda contexts, window, flush: contexts.select("key", "same", "lo", F.lit(0).cast("long").alias("hi")).limit(0))
+    assert repeats.remove_repeats(docs).agg(F.sum(F.size("spans"))).first()[0] == 0
+
+
+def test_hot_keys_are_dealt(spark):
+    """One gram in very many different texts: its contexts are dealt to many parts, and the result stays exact."""
+    gram = "the very common passage of thirty two bytes and some more of it"
+    rows = [(i, llm_cases.prose(900 + i, 30) + gram + llm_cases.prose(950 + i % 40, 40)) for i in range(60)]
+    docs = llm_cases.documents(spark, rows)
+    for levels in (0, 1, 4):
+        data = docs.select("doc_id", F.col("text").cast("binary").alias("data")).withColumn("k", F.xxhash64("doc_id", "data", F.octet_length("data")))
+        spans = repeats.repeated_spans(data.select("k", "data"), repeats.Scratch(spark, "test"), dense=3, levels=levels)
+        got = data.join(spans, "k", "left").select("doc_id", "data", "spans").mapInArrow(repeats._without, "doc_id long, n_bytes long, spans array<struct<s:bigint,e:bigint>>, kept binary")
+        assert measured(got) == repeated(rows)
