@@ -68,6 +68,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def clear(self) -> None:
+        """All tables go; no plan may read them any more."""
+        _delete(self.spark, self.root)
+        self._paths.clear()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path = getattr(t, "_scratch_path", None)
