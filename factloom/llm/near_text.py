@@ -85,7 +85,7 @@ def _verified(pairs: DataFrame, marked: DataFrame, threshold: float, scratch: Sc
     return scratch.table(met.filter(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
-def similar(sets: list[np.ndarray], threshold: float, columns: int = 1 << 14) -> np.ndarray:
+def similar(sets: list[np.ndarray], threshold: float, columns: int = 1 << 12) -> np.ndarray:
     """Which of the sets (sorted, distinct) are as similar to which: exact, by products of the columns that two sets have in common."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -103,15 +103,21 @@ def similar(sets: list[np.ndarray], threshold: float, columns: int = 1 << 14) ->
     return common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6
 
 
-def _apart(members: DataFrame, marked: DataFrame, threshold: float, scratch: Scratch, block: int = 512) -> DataFrame:
-    """(a, b): links between nodes of one band with different roots, one for every two roots that a task sees. members: band, n (its members), node, root.
+def _apart(members: DataFrame, marked: DataFrame, threshold: float, scratch: Scratch, block: int = 1024) -> DataFrame:
+    """(a, b): links between nodes of one band with different roots, one for every two roots that a task sees. members: band, node, root.
 
-    A band's members are dealt to blocks of about ``block``, and every two blocks are a task's.
+    A band's commonest root needs no comparison within itself: the other members
+    are dealt to blocks of about ``block`` that meet each other and the blocks of
+    the commonest root's members, every two blocks a task's.
     """
     asked = scratch.table(members.select("node").distinct())
     sets = scratch.table(marked.select("node", "shingles").join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")))
-    count = F.expr(f"(n + {block - 1}) div {block}")
-    dealt = members.withColumn("side", F.pmod(F.xxhash64("node"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    roots = members.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("n"))
+    roots = scratch.table(roots.select("band", F.col("x.root").alias("main"), F.expr(f"(n - x.n + {block - 1}) div {block}").alias("rest"), F.expr(f"(x.n + {block - 1}) div {block}").alias("mains")))
+    dealt = members.join(roots, "band").withColumn("is_main", F.col("root") == F.col("main"))
+    side = F.when(F.col("is_main"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest")))
+    last = F.when(F.col("is_main"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("mains") - 1)
+    dealt = dealt.filter("rest > 0").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     dealt = dealt.select("band", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
 
     def work(table: pa.Table) -> pa.Table:
@@ -127,9 +133,9 @@ def _apart(members: DataFrame, marked: DataFrame, threshold: float, scratch: Scr
     return dealt.join(sets, "node").groupBy("band", "lo", "hi").applyInArrow(work, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6) -> DataFrame:
+def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, key (of its text), root (of its component of texts at least ``threshold`` similar)."""
-    scratch = Scratch(docs.sparkSession, "near")
+    scratch = scratch or Scratch(docs.sparkSession, "near")
     marked = scratch.table(_marked(docs, shingle, bands, rows))
     dealt = marked.select("node", F.explode("bands").alias("band")).distinct()
     sizes = scratch.table(dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -148,7 +154,7 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, ba
     roots = connected_components(links, scratch)
     now = scratch.table(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
     mixed = scratch.table(now.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("band", "n"))
-    more = scratch.table(_apart(now.join(mixed, "band"), marked, threshold, scratch))
+    more = scratch.table(_apart(now.join(mixed, "band", "left_semi"), marked, threshold, scratch))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), scratch)
     return marked.select("doc_id", "key", "node").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
@@ -156,5 +162,7 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, ba
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents' rows, all columns, one of each component: that of the smallest doc_id (NULL last), then of the least text key."""
-    scratch = Scratch(docs.sparkSession, "keep")
-    return first_of(docs, scratch.table(near_copies(docs, **options)), scratch)
+    scratch, tables = Scratch(docs.sparkSession, "keep"), Scratch(docs.sparkSession, "near")
+    found = scratch.table(near_copies(docs, scratch=tables, **options))
+    tables.clear()
+    return first_of(docs, found, scratch)
