@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.scratch import Scratch
+from factloom.scratch import Scratch, broadcast_if_small
 
 from .components import connected_components
 from .simhash import first_of, near_duplicates
@@ -74,11 +74,17 @@ def _marked(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return texts.mapInArrow(work, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, key long, node long, shingles array<bigint>, bands array<bigint>")
 
 
+def _sets(nodes: DataFrame, marked: DataFrame, scratch: Scratch, limit: int = 1_000_000) -> DataFrame:
+    """(node, s): the nodes' sets. Up to ``limit`` nodes, of 8 bytes each, are broadcast, so that the sets of all others aren't shuffled."""
+    asked = scratch.table(nodes.distinct())
+    found = marked.select("node", "shingles").join(broadcast_if_small(asked, asked.count(), limit), "node", "left_semi")
+    return scratch.table(found.groupBy("node").agg(F.first("shingles").alias("s")))
+
+
 def _verified(pairs: DataFrame, marked: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are as similar."""
     pairs = scratch.table(pairs)
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = scratch.table(marked.select("node", "shingles").join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")))
+    sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), marked, scratch)
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     met = met.filter(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y"))
@@ -110,8 +116,7 @@ def _apart(members: DataFrame, marked: DataFrame, threshold: float, scratch: Scr
     are dealt to blocks of about ``block`` that meet each other and the blocks of
     the commonest root's members, every two blocks a task's.
     """
-    asked = scratch.table(members.select("node").distinct())
-    sets = scratch.table(marked.select("node", "shingles").join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")))
+    sets = _sets(members.select("node"), marked, scratch)
     roots = members.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("n"))
     roots = scratch.table(roots.select("band", F.col("x.root").alias("main"), F.expr(f"(n - x.n + {block - 1}) div {block}").alias("rest"), F.expr(f"(x.n + {block - 1}) div {block}").alias("mains")))
     dealt = members.join(roots, "band").withColumn("is_main", F.col("root") == F.col("main"))
