@@ -60,4 +60,40 @@ select b.doc_id, n_words, len(places)::bigint as n_base, (list_min(places) - 1):
 from b left join f using (doc_id)"""
 
 
-ORACLES = {"op1_quality_rules": quality_rules(), "op10_license_scan": license_scan()}
+def _lower(c: str) -> str:
+    return f"translate(coalesce({c}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+def collocations(max_n: int = 4, least: int = 30, cover: int = 80, top: int = 2000) -> str:
+    part = lambda a, b: f"array_to_string(list_slice(w, {a}, {b}), ' ')"
+    return f"""
+with p as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_lower("text")}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents)),
+e as (select lang, w, unnest(range(1, len(w) + 1)) as i from p),
+g as materialized (select lang, m, {part("i", "i + m - 1")} as phrase, count(*) as f from (select *, unnest(range(1, {max_n + 1})) as m from e) where i + m - 1 <= len(w) group by all),
+n as (select lang, sum(f)::bigint as n from g where m = 1 group by 1),
+c as materialized (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from g where m > 1 and f >= {least}),
+k as (select lang, phrase, w, m, a, unnest(range(1, m)) as k from c),
+s as (select k.lang, k.phrase, a, k, x.f as l, y.f as r, (2000000::hugeint * a) // (x.f + y.f) as score from k
+  join g x on x.lang = k.lang and x.phrase = {part("1", "k")} join g y on y.lang = k.lang and y.phrase = {part("k + 1", "k.m")}),
+b as (select lang, phrase, a, arg_min(struct_pack(l := l, r := r, score := score), score * {max_n} + k) as x from s group by all),
+o as (select lang, phrase, max(a) as longer from (select lang, a, {part("i", "i + n - 1")} as phrase from (select *, unnest(range(1, m - n + 2)) as i from (select *, unnest(range(2, m)) as n from c where m > 2))) group by all),
+t as (select b.lang, b.phrase, a, x.l as l, x.r as r, x.score::bigint as score from b left join o on o.lang = b.lang and o.phrase = b.phrase where longer is null or 100::hugeint * longer < {cover}::hugeint * a)
+select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from t) join n using (lang) where rank <= {top}"""
+
+
+def ranked_search(k: int = 50) -> str:
+    terms = f"regexp_extract_all({_lower('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with d as materialized (select row_number() over () as row, doc_id, {terms} as w from documents),
+n as materialized (select row, doc_id, len(w)::bigint as n from d),
+s as (select count(*) filter (n > 0) as nn, greatest(sum(n), 1)::bigint as ll from n),
+i as materialized (select distinct item_id, unnest({terms}) as term from benchmark),
+p as materialized (select row, term, count(*) as tf from (select row, unnest(w) as term from d) where term in (select term from i) group by all),
+f as (select term, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint as w from (select term, count(*) as df from p group by 1), s),
+m as (select row, doc_id, 50 + (50 * n * nn) // ll as m from n, s),
+x as (select item_id, m.row as row, any_value(m.doc_id) as doc_id, sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score from p join m using (row) join f using (term) join i using (term) group by all),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from x where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= {k}"""
+
+
+ORACLES = {"op1_quality_rules": quality_rules(), "op10_license_scan": license_scan(), "op11_collocations": collocations(), "op13_ranked_search": ranked_search()}

@@ -89,5 +89,24 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_score, op3_simhash, op4_packing, op5_secret_scan, op6_mixing, op7_toxicity, op8_audio, op9_repeats, op10_license_scan)}
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from .collocations import mine
+
+    return mine(_table(spark, folder, "documents"))
+
+
+def op12_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    from .quality_model import fit, score
+
+    docs = _table(spark, folder, "documents")
+    return score(docs, fit(docs, _table(spark, folder, "labels")))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    from .ranked_search import search
+
+    return search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_score, op3_simhash, op4_packing, op5_secret_scan, op6_mixing, op7_toxicity, op8_audio, op9_repeats, op10_license_scan, op11_collocations, op12_quality_model, op13_ranked_search)}
 ORACLES: dict[str, str] = oracles.ORACLES
