@@ -2,16 +2,18 @@
 
 The items' terms are searched for in the texts: a document's postings are the
 terms it holds of those that are asked for, with their frequencies. For every term
-the k greatest impacts, the scores it alone gives to documents, are found; the kth
-is stored with the greatest. An item's kth score is at least the greatest kth
-impact among its terms: this is its threshold. Its terms, ordered by falling
+the k greatest impacts, the scores it alone gives to documents, are stored with
+their documents. They are the seeds: an item's kth score is at least the kth impact
+of any of its terms, and at least the kth of the whole scores of its terms' stored
+documents; the greatest of these is its threshold. Its terms, ordered by falling
 greatest impact, have a suffix whose greatest impacts add up to less than the
 threshold: a document that holds terms of the suffix alone can't be among the k
 best, so that the suffix makes no candidates. The other terms do, and those that may
 still reach the threshold are scored again, exactly, over all of the item's terms.
 
 Items are taken in blocks of a bounded number of terms; each block is a pass over
-the texts. Nothing but the block's terms and their counts goes to the driver.
+the texts. Nothing but the block's terms, their counts and k stored impacts for
+each goes to the driver.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from factloom.scratch import Scratch
 
 #: Bytes of a text that are split at once, about.
 SLICE = 4_000_000
-#: Cells of documents by items that are added up at once.
-CELLS = 4_000_000
+#: Cells of documents by items, and pairs of postings and items, that are worked on at once.
+CELLS = 2_000_000
 
 _APART = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _TABLE = bytes.maketrans(_APART + string.ascii_uppercase.encode(), b" " * len(_APART) + string.ascii_lowercase.encode())
@@ -56,12 +58,15 @@ def split_terms(data: bytes) -> Iterator[list[bytes]]:
 
 
 def _postings(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, n, terms, tfs) of every document: all its terms' number, and which of the given terms it holds how often."""
+    """(doc_id, n, terms, tfs, row) of every document: all its terms' number, which of the given terms it holds how often, and a number of its own."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast({t.encode(): i for i, t in enumerate(terms)})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         get, size = shared.value.get, len(shared.value)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             lengths, sizes, found = [], [], []
             for text in batch.column(1):
@@ -77,9 +82,10 @@ def _postings(docs: DataFrame, terms: list[str]) -> DataFrame:
             keys, tfs = np.unique(rows * size + (np.concatenate(found) if found else np.empty(0, np.int64)), return_counts=True)
             at = pa.array(np.searchsorted(keys, np.arange(len(sizes) + 1) * size).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array((keys % max(size, 1)).astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(tfs.astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *lists], ["doc_id", "n", "terms", "tfs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *lists, pa.array(np.arange(row, row + batch.num_rows))], ["doc_id", "n", "terms", "tfs", "row"])
+            row += batch.num_rows
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(work, f"doc_id {kind}, n long, terms array<int>, tfs array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(work, f"doc_id {kind}, n long, terms array<int>, tfs array<long>, row long")
 
 
 @dataclass
@@ -106,23 +112,78 @@ def _first_of_runs(keys: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys)))) < k
 
 
-def _greatest(posts: DataFrame, weights: Weights, k: int) -> DataFrame:
-    """(term, kth, most): the kth and the first of every term's impacts; kth is 0 for a term with fewer."""
+def _best_of(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """(key, value, row): the k greatest values of every key, ties by row."""
+    key, value, row = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    for more in found:
+        key, value, row = (np.concatenate(x) for x in zip((key, value, row), more, strict=True))
+        order = np.lexsort((row, -value, key))
+        order = order[_first_of_runs(key[order], k)]
+        key, value, row = key[order], value[order], row[order]
+    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value), pa.array(row)], ["key", "value", "row"])
+
+
+def _collected(best: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k greatest of all tasks, by key; for bounded numbers of keys."""
+    by = Window.partitionBy("key").orderBy(F.desc("value"), "row")
+    table = best.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= k).select("key", "value", "row").toArrow()
+    key, value, row = (table[c].to_numpy() for c in ("key", "value", "row"))
+    order = np.lexsort((row, -value, key))
+    return key[order], value[order], row[order]
+
+
+def _greatest(posts: DataFrame, weights: Weights, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, impact, row): every term's k greatest impacts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term, impact = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            _, t, x = weights.impacts(batch)
-            term, impact = np.concatenate((term, t)), np.concatenate((impact, x))
-            order = np.lexsort((-impact, term))
-            term, impact = term[order], impact[order]
-            first = _first_of_runs(term, k)
-            term, impact = term[first], impact[first]
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(impact)], ["term", "impact"])
+        def found():
+            for batch in batches:
+                rows, terms, impacts = weights.impacts(batch)
+                yield terms, impacts, batch.column(4).to_numpy()[rows]
+
+        return _best_of(found(), k)
+
+    return _collected(posts.mapInArrow(work, "key long, value long, row long"), k)
+
+
+def _kth(key: np.ndarray, value: np.ndarray, size: int, k: int) -> np.ndarray:
+    """The kth value of every key, 0 for a key with fewer; values fall within a key."""
+    ends = np.searchsorted(key, np.arange(size), side="right")
+    full = np.bincount(key, minlength=size) >= k
+    out = np.zeros(size, np.int64)
+    out[full] = value[ends[full] - 1]
+    return out
 
-    by = Window.partitionBy("term").orderBy(F.desc("impact"))
-    best = posts.mapInArrow(work, "term long, impact long").withColumn("at", F.row_number().over(by)).filter(F.col("at") <= k)
-    return best.groupBy("term").agg(F.coalesce(F.max(F.when(F.col("at") == k, F.col("impact"))), F.lit(0)).alias("kth"), F.max("impact").alias("most"))
+
+def _seeded(posts: DataFrame, weights: Weights, p: Plan, rows: np.ndarray, items: np.ndarray, k: int) -> np.ndarray:
+    """The kth of the whole scores of each item's seeds, the pairs of rows (rising) and items."""
+    shared = posts.sparkSession.sparkContext.broadcast((weights, p, rows, items))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, p, seeds, items = shared.value
+
+        def found():
+            for batch in batches:
+                own = batch.column(4).to_numpy()
+                at, place = _spread(np.searchsorted(seeds, own), np.searchsorted(seeds, own, side="right"))
+                if len(at):
+                    postings = weights.impacts(batch)
+                    for s, e in _cuts(np.diff(p.item_at)[items[place]], CELLS):
+                        yield items[place[s:e]], exact(p, at[s:e], items[place[s:e]], *postings, len(weights.weight)), own[at[s:e]]
+
+        return _best_of(found(), k)
+
+    key, value, _ = _collected(posts.mapInArrow(work, "key long, value long, row long"), k)
+    return _kth(key, value, len(p.threshold), k)
+
+
+def _cuts(cost: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches whose costs add up to about most, of one place at least."""
+    total, at = np.cumsum(cost), 0
+    while at < len(cost):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield at, end
+        at = end
 
 
 @dataclass
@@ -137,12 +198,12 @@ class Plan:
     rest: np.ndarray  # the most that the terms of the suffix add
 
 
-def plan(items: list[np.ndarray], kth: np.ndarray, most: np.ndarray) -> Plan:
-    """items: the term numbers of each."""
-    threshold, rest = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+def plan(items: list[np.ndarray], kth: np.ndarray, most: np.ndarray, seeded: np.ndarray | None = None) -> Plan:
+    """items: the term numbers of each; kth, most: of the terms' impacts; seeded: what else the items' kth scores reach."""
+    threshold, rest = np.zeros(len(items), np.int64) if seeded is None else seeded.copy(), np.zeros(len(items), np.int64)
     lead: list[tuple[np.ndarray, int]] = []
     for i, terms in enumerate(items):
-        threshold[i] = kth[terms].max(initial=0)
+        threshold[i] = kth[terms].max(initial=threshold[i])
         rising = terms[np.argsort(most[terms], kind="stable")]
         sums = np.cumsum(most[rising])
         left_out = int(np.searchsorted(sums, threshold[i], side="left"))  # sums below the threshold
@@ -196,17 +257,20 @@ def _best(posts: DataFrame, ids: pa.Array, id_kind: str, p: Plan, weights: Weigh
         bound = p.threshold.copy()
         held = None
         n_items = len(p.threshold)
-        step = max(1, CELLS // max(n_items, 1))
-        for whole in batches:
-            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], batch.schema.names)
-                rows, terms, impacts = weights.impacts(batch)
-                at, item = candidates(p, rows, terms, impacts, batch.num_rows, bound)
-                score = exact(p, at, item, rows, terms, impacts, len(weights.weight))
+        for batch in batches:
+            rows, terms, impacts = weights.impacts(batch)
+            starts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            cost = np.bincount(rows, p.lead_at[terms + 1] - p.lead_at[terms], batch.num_rows) + n_items
+            for s, e in _cuts(cost, CELLS):
+                own = slice(starts[s], starts[e])
+                postings = rows[own] - s, terms[own], impacts[own]
+                at, item = candidates(p, *postings, e - s, bound)
+                whole = [exact(p, at[i:j], item[i:j], *postings, len(weights.weight)) for i, j in _cuts(np.diff(p.item_at)[item], CELLS)]
+                score = np.concatenate(whole) if whole else np.empty(0, np.int64)
                 good = score >= bound[item]
                 if not good.any():
                     continue
-                new = pa.table({"item": item[good], "score": score[good], "doc_id": batch.column(0).take(pa.array(at[good]))})
+                new = pa.table({"item": item[good], "score": score[good], "doc_id": batch.column(0).take(pa.array(at[good] + s))})
                 held = new if held is None else pa.concat_tables([held, new])
                 held = held.take(pc.sort_indices(held, sort_keys=[("item", "ascending"), ("score", "descending"), ("doc_id", "ascending")], null_placement="at_end"))
                 held = held.filter(pa.array(_first_of_runs(held["item"].to_numpy(), k))).combine_chunks()
@@ -221,7 +285,7 @@ def _best(posts: DataFrame, ids: pa.Array, id_kind: str, p: Plan, weights: Weigh
     return posts.mapInArrow(work, f"item_id {id_kind}, doc_id {kind}, score long")
 
 
-def search(docs: DataFrame, items: DataFrame, *, k: int = 50, block_terms: int = 200_000) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, *, k: int = 50, block_terms: int = 50_000) -> DataFrame:
     """The k best documents of every item: item_id, rank (from 1), doc_id, score.
 
     docs: doc_id, text; items: item_id, text; other columns aren't read. Defined
@@ -230,7 +294,7 @@ def search(docs: DataFrame, items: DataFrame, *, k: int = 50, block_terms: int =
     item with the terms of all; repeated documents are found as often as they are
     there; equal scores go by doc_id, NULL last; documents that score 0 aren't
     returned; an empty table gives an empty result. A block holds about
-    ``block_terms`` terms of items, or one item's.
+    ``block_terms`` terms of items, or one item's; k seeds for each are broadcast.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "search")
@@ -251,10 +315,14 @@ def search(docs: DataFrame, items: DataFrame, *, k: int = 50, block_terms: int =
         df = dict(posts.select(F.explode("terms").alias("t")).groupBy("t").count().collect())  # bounded by block_terms
         n, held = total["n"], total["l"] or 1
         weights = Weights(np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * df.get(i, 0) + 1))) for i in range(len(terms))], np.int64), n, held)
-        kth, most = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
-        for r in _greatest(posts, weights, k).collect():  # bounded by block_terms
-            kth[r["term"]], most[r["term"]] = r["kth"], r["most"]
-        p = plan([np.array([number[t] for t in r["terms"]], np.int64) for r in rows], kth, most)
+        asked_terms = [np.array([number[t] for t in r["terms"]], np.int64) for r in rows]
+        term, impact, row = _greatest(posts, weights, k)
+        kth, most = _kth(term, impact, len(terms), k), np.zeros(len(terms), np.int64)
+        np.maximum.at(most, term, impact)
+        p = plan(asked_terms, np.zeros_like(kth), most)  # without a threshold all terms lead
+        seed, place = _spread(p.lead_at[term], p.lead_at[term + 1])
+        seeds = np.unique(np.stack((row[seed], p.lead_items[place])), axis=1)
+        p = plan(asked_terms, kth, most, _seeded(posts, weights, p, *seeds, k))
         found = _best(posts, pa.array([r["item_id"] for r in rows], to_arrow_type(id_type)), id_type.simpleString(), p, weights, k)
         out = found if out is None else out.unionByName(found)
     by = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
