@@ -49,7 +49,8 @@ class _Known(dict):
     """Numbers of the words met, from 0: the vocabulary, its shapes first, then the others as they come. ``as_known`` has the vocabulary number that stands for each."""
 
     def __init__(self, vocabulary: list[str], size: int):
-        super().__init__({w: i for i, w in enumerate(vocabulary)})
+        self.clear()
+        self.update({w: i for i, w in enumerate(vocabulary)})
         self.vocabulary, self.size = vocabulary, size
         self.as_known = list(range(len(vocabulary)))
         entries = [index_entries(w, size) for w in vocabulary]
@@ -216,9 +217,11 @@ def _contexts(docs: DataFrame, vocabulary: list[str], size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(table[used, j]) for j in range(size)]], ["w", *[f"v{j}" for j in range(size)]])
 
     parts = docs.select("text").mapInArrow(work, ", ".join(["w long", *[f"v{j} long" for j in range(size)]]))
+    names = [f"v{j}" for j in range(size)]
+    table = parts.groupBy("w").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # bounded by the vocabulary
+    shared.destroy()
     out = np.zeros((len(vocabulary), size))
-    for r in parts.groupBy("w").agg(F.array(*[F.sum(f"v{j}") for j in range(size)]).alias("v")).collect():  # bounded by the vocabulary
-        out[r["w"]] = r["v"]
+    out[table["w"].to_numpy()] = np.stack([table[c].to_numpy() for c in names], axis=1)
     return out
 
 
@@ -238,7 +241,7 @@ def word_vectors(contexts: np.ndarray, vocabulary: list[str], size: int) -> np.n
     return np.concatenate((learnt, unit(own)), axis=1).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 8192, size: int = 64, least: int = 5, held_out: int = 1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 8192, size: int = 64, least: int = 8, held_out: int = 1) -> Model:
     """A model of at most ``sample_per_class`` labelled rows of each class, those with the least hashes.
 
     Rows whose crc32(doc_id as text) mod 3 is ``held_out`` are never learnt from; of
@@ -269,6 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 8192, siz
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got.astype(np.float64).tolist(), pa.list_(pa.float64()))], ["quality", "h", "x"])
 
     rows = texts.mapInArrow(pool, "quality int, h long, x array<double>").collect()  # bounded by sample_per_class
+    shared.destroy()
     rows.sort(key=lambda r: (r["h"], r["quality"], r["x"]))
     if len({r["quality"] for r in rows}) < 2:
         return model

@@ -82,3 +82,10 @@ def test_defined_results(spark):
     assert [h for d, _, _, h in got if d is None] == [False]
     assert q.score(empty(spark), model).collect() == []
     assert q.score(docs, q.fit(empty(spark), labels)).count() == docs.count()
+
+
+def test_forgotten_words_are_met_again(monkeypatch):
+    known = q._Known(["a", "b"], 8)
+    q.numbered("a new b word", known)
+    known.trim(3)
+    assert q.numbered("b other a new", known).tolist() == [1, 2, 0, 3] and len(known) == len(known.as_known) == len(known.places) == 4
