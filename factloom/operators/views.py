@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import paths
 from factloom.functions.text import int_or_zero, verdict
 from factloom.operators import search
+from factloom.operators.numbering import numbered
 from factloom.operators.runs import hit_rate
 
 # Statuses, and the ranks of types and roles on a page.
@@ -184,10 +185,9 @@ def module_problem_records(problems: DataFrame) -> DataFrame:
 
 def issue_problem_records(issues: DataFrame, order: list[str]) -> DataFrame:
     """Search rows of single issues, numbered over all in ``order``. issues: module, issue_type, severity, section, claim_text, reason, path."""
-    number = F.row_number().over(Window.orderBy(*order)) - 1
-    numbered = issues.withColumn("number", number)
+    rows = numbered(issues, *order, first=0)
     return search.records(
-        numbered, "problem", entity_id=F.concat_ws(":", F.col("module"), F.lit("issue"), F.col("issue_type"), F.col("number").cast("string")), title=F.concat_ws(" ", "module", "issue_type"), subtitle=F.coalesce("reason", F.lit("")),
+        rows, "problem", entity_id=F.concat_ws(":", F.col("module"), F.lit("issue"), F.col("issue_type"), F.col("number").cast("string")), title=F.concat_ws(" ", "module", "issue_type"), subtitle=F.coalesce("reason", F.lit("")),
         module_name=F.col("module"), path=F.col("path"), search_text=_words(*[F.col(c) for c in ("module", "issue_type", "severity", "section", "claim_text", "reason")]),
         problem_type=F.col("issue_type"), severity=F.col("severity"),
     )
@@ -253,7 +253,7 @@ def rank_of(value: Column, order: tuple[str, ...], other: int = 99) -> Column:
 
 def ordered(rows: DataFrame, *keys: Column | str, by: tuple[str, ...] = ()) -> DataFrame:
     """The rows with their number, from 1, in the order of the keys, within ``by``."""
-    return rows.withColumn("number", F.row_number().over((Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*keys)))
+    return numbered(rows, *keys, by=by)
 
 
 #: Orders of pages and facts; NULL line numbers stand last on pages.

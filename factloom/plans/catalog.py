@@ -760,4 +760,4 @@ def markdown_index(t):
     return facts.markdown_table(made, "all", "page", ["n_nationkey", "n_name"]).select("n_nationkey", "n_name")
 
 
-from factloom.plans import view_catalog  # noqa: E402, F401  registers its queries here
+from factloom.plans import report_catalog, view_catalog  # noqa: E402, F401  register their queries here
