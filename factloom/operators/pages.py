@@ -1,9 +1,7 @@
-"""Markdown pages as strings, built by aggregation, and their writer."""
+"""Markdown tables and lists of pages, built by aggregation."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,30 +39,3 @@ def file_counts(entities: DataFrame, edges: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     return e.join(i, "file", "full").select("file", F.coalesce("entity_count", zero).alias("entity_count"), F.coalesce("import_count", zero).alias("import_count"))
 
-
-def write_pages(pages: DataFrame, root: str, previous: list[str] = ()) -> list[str]:
-    """Writes (path, page) rows below root and deletes those of the previous list that are gone; other files stay.
-
-    For documentation of one project, on the driver's disk: pages come one by one.
-    """
-    def inside(path: str) -> str:
-        if os.path.isabs(path) or ".." in path.replace("\\", "/").split("/"):
-            raise ValueError(f"leaves the folder: {path}")
-        return os.path.join(root, path)
-
-    written = []
-    for row in pages.toLocalIterator():
-        place = inside(row["path"])
-        os.makedirs(os.path.dirname(place), exist_ok=True)
-        with open(place, "w", encoding="utf-8") as f:
-            f.write(row["page"])
-        written.append(row["path"])
-    for gone in set(previous) - set(written):
-        place = inside(gone)
-        if os.path.isfile(place):
-            os.remove(place)
-            above = os.path.dirname(place)
-            while above != root and not os.listdir(above):
-                os.rmdir(above)
-                above = os.path.dirname(above)
-    return sorted(written)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import paths
-from factloom.functions.text import node_package, python_distribution
+from factloom.functions.text import node_package
 
 # Modules that come with Node.
 NODE_BUILTINS = (
@@ -73,10 +73,10 @@ def first_candidate(rows: DataFrame, candidates: Column, existing: DataFrame, ke
 
 
 def script_candidates(base: Column) -> Column:
-    """A specifier's path as it stands, with the known extensions, then as a directory with an index file."""
+    """A specifier's path as it stands, with the known extensions if it has none, then as a directory with an index file."""
     has = paths.extension(base) != ""
-    tried = F.array(base, *[F.concat(base, F.lit(e)) for e in paths.SCRIPT_EXTENSIONS], *[F.concat(base, F.lit("/index" + e)) for e in paths.SCRIPT_EXTENSIONS])
-    return F.when(has, F.array(base)).otherwise(tried)
+    files, indexes = ([F.concat(base, F.lit(x + e)) for e in paths.SCRIPT_EXTENSIONS] for x in ("", "/index"))
+    return F.when(has, F.array(base, *indexes)).otherwise(F.array(base, *files, *indexes))
 
 
 def joined_path(directory: Column, relative: Column) -> Column:
@@ -114,28 +114,3 @@ def edge_flags(edges: DataFrame) -> DataFrame:
         "is_internal": F.col("dependency_type") == "internal", "is_external": F.col("dependency_type").isin("stdlib", "node_builtin", "third_party"),
     })
 
-
-def resolve_python(imports: DataFrame, files: DataFrame, declared: DataFrame, stdlib: list[str]) -> DataFrame:
-    """Edges of Python imports. Of ``from base import names`` the names that are modules make edges; only if none is, base does.
-
-    imports: id, source_file, import_kind, imported, module, level, names.
-    """
-    index = module_index(files)
-    own = paths.python_module(F.col("source_file"))
-    package = F.when(paths.name(F.col("source_file")) == "__init__.py", own).otherwise(F.regexp_replace(own, r"(^|\.)[^.]+$", ""))
-    base = F.when(F.coalesce("level", F.lit(0)) > 0, paths.relative_base(package, F.col("level"), F.col("module"))).otherwise(F.coalesce("module", "imported"))
-    rows = imports.withColumn("_base", base)
-    names = rows.filter("import_kind = 'from'").select("id", F.explode("names").alias("_name"), "_base")
-    hits = names.withColumn("_full", F.concat_ws(".", F.nullif("_base", F.lit("")), "_name")).join(index.withColumnRenamed("module", "_full"), "_full")
-    hits = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("_full").alias("imported"), F.col("path").alias("file")))).alias("_hits"))
-    rows = rows.join(hits, "id", "left").join(index.select(F.col("module").alias("_m"), F.col("path").alias("_file")), F.col("_base") == F.col("_m"), "left")
-    one = F.array(F.struct(F.coalesce(F.nullif("_base", F.lit("")), "imported").alias("imported"), F.col("_file").alias("file")))
-    rows = rows.withColumn("_e", F.explode(F.coalesce("_hits", one)))
-    top = F.get(F.split(F.col("_e.imported"), r"\."), F.lit(0))
-    known = declared.filter("ecosystem = 'python'").select(F.col("normalized_name").alias("_known")).distinct()
-    rows = rows.join(known, python_distribution(top) == F.col("_known"), "left")
-    kind = (
-        F.when(F.col("_e.file").isNotNull() | (F.coalesce("level", F.lit(0)) > 0), "internal").when(top.isin(*stdlib), "stdlib").when(F.col("_known").isNotNull(), "third_party").otherwise("unresolved")
-    )
-    out = rows.select("id", "source_file", F.col("_e.imported").alias("imported"), "line_start", "import_kind", "language", F.col("_e.file").alias("resolved_file"), kind.alias("dependency_type"))
-    return edge_flags(out)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import paths, text
-from factloom.operators import candidates, graph, pages, planning, profile, quality, relations, resolve, runs, search, slugs
+from factloom.operators import candidates, graph, pages, planning, profile, quality, relations, resolve, runs, scoped, search, slugs
 from factloom.sources import extract, facts, manifests
 from factloom.streaming import history
 
@@ -723,7 +723,7 @@ def project_facts(spark: SparkSession) -> dict[str, DataFrame]:
     declared, found = manifests.external_dependencies(texts), extract.imports(texts)
     script = resolve.resolve_scripts(found.filter("language <> 'python'"), files, declared)
     names = ["id", "source_file", "imported", "line_start", "import_kind", "language", "resolved_file", "dependency_type", "resolved", "is_internal", "is_external"]
-    edges = resolve.resolve_python(found.filter("language = 'python'"), files, declared, sorted(sys.stdlib_module_names)).select(*names).unionByName(script.select(*names))
+    edges = scoped.resolve_python(found.filter("language = 'python'"), files, resolve.project_roots(files), declared, sorted(sys.stdlib_module_names)).select(*names).unionByName(script.select(*names))
     tested = relations.test_relations(edges, files)
     return {"inventory": files, "entities": extract.entities(texts), "edges": edges, "dependencies": declared, "relations": tested, "candidates": candidates.build_candidates(files, edges, tested)}
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import json_text, text, variants
-from factloom.operators import attempts, ledger, schema_check, scoped
+from factloom.operators import attempts, documents, ledger, schema_check, scoped
 from factloom.plans.catalog import Tables, query
 
 # ---- imports below nested roots: pages stand for files, whose languages are projects with packages of their own
@@ -139,3 +139,92 @@ select module, length(regexp_replace(body, '[ \\t\\n\\x0B\\f\\r]+\\z', '')) as c
 def context_texts(t):
     made = ledger.reduced(_context_documents(t)).withColumns({"module": F.expr("doc_id div 5"), "label": F.concat(F.lit("d"), F.col("doc_id").cast("string"))})
     return ledger.context_fingerprint(made, "module", "doc_id", "label")
+
+
+# ---- pages: parts stand for entities, orders for imports, customers for modules
+
+_E_SQL = """e as (select p_partkey, case when p_partkey % 30 < 27 then 'src/' || (p_partkey % 30) || '.py' end as file, p_name as name, p_size as line_start, (['function', 'method', 'class'])[p_partkey % 3 + 1] as entity_type, p_brand as parent from part),
+i as (select o_orderkey, 'src/' || (o_orderkey % 25) || '.py' as source_file, o_orderstatus || o_orderkey as imported, case when o_orderkey % 2 = 0 then 'lib/' || o_custkey end as resolved_file, o_orderpriority as dependency_type from orders),
+n as (select unnest(range(0, 29)) as n), f as (select n, 'src/' || n || '.py' as path from n)"""
+
+
+def _facts(t: Tables):
+    p, o = F.col("p_partkey"), F.col("o_orderkey")
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("function", "method", "class")]), (p % 3 + 1).cast("int"))
+    nothing = F.lit(None).cast("string")
+    file = lambda n: F.concat(F.lit("src/"), n.cast("string"), F.lit(".py"))
+    entities = t.part.select(
+        F.when(p % 30 < 27, file(p % 30)).alias("file"), F.col("p_name").alias("name"), F.col("p_size").alias("line_start"), kinds.alias("entity_type"), F.col("p_brand").alias("parent/container"),
+        *[nothing.alias(c) for c in ("type", "signature", "parameters", "return_annotation", "docstring/jsdoc", "confidence")], (p % 2 == 0).alias("is_async"), (p % 5 == 0).alias("exported"), p.alias("p_partkey"),
+    )
+    imports = t.orders.select(
+        file(o % 25).alias("source_file"), F.concat("o_orderstatus", o.cast("string")).alias("imported"), F.when(o % 2 == 0, F.concat(F.lit("lib/"), F.col("o_custkey").cast("string"))).alias("resolved_file"),
+        F.col("o_orderpriority").alias("dependency_type"), F.lit(1).alias("line_start"), o.alias("o_orderkey"), F.col("o_custkey"),
+    )
+    return entities, imports
+
+
+@query(f"""with {_E_SQL},
+m as (select 'src/' || (c_custkey % 21) || '.py' as file, c_name as name, lower(replace(c_name, '#', '-')) as slug, c_mktsegment as type, case when c_custkey % 3 = 0 then '' else 'detailed' end as role from customer),
+l as (select path as key, 0 as s, '' as a, '' as b, '' as c, '# Файл: ' || path || chr(10) || chr(10) || '## Сущности' || chr(10) as line from f
+union all select path, 1, '', '', '', case when exists (select 1 from e where file = path) then '| name | entity_type | type | parent/container | signature | parameters | return_annotation | is_async | exported | docstring/jsdoc | confidence |' || chr(10) || '| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |' else 'нет данных' end from f
+union all select file, 1, lpad(line_start::varchar, 12, '0'), name, entity_type, '| ' || name || ' | ' || entity_type || ' | нет данных | ' || parent || ' | нет данных | нет данных | нет данных | ' || (p_partkey % 2 = 0)::varchar || ' | ' || (p_partkey % 5 = 0)::varchar || ' | нет данных | нет данных |' from e where file is not null
+union all select path, 2, '', '', '', chr(10) || '## Импорты' || chr(10) from f
+union all select path, 3, '', '', '', case when exists (select 1 from i where source_file = path) then '| imported | dependency_type | resolved_file |' || chr(10) || '| --- | --- | --- |' else 'нет данных' end from f
+union all select source_file, 3, imported, '', '', '| ' || imported || ' | ' || dependency_type || ' | ' || coalesce(resolved_file, 'нет данных') || ' |' from i
+union all select path, 4, '', '', '', chr(10) || '## Участвует в модулях' || chr(10) from f
+union all select path, 5, '', '', '', 'нет данных' from f where not exists (select 1 from m where file = path)
+union all select file, 5, name, slug, '', '- [' || name || '](../modules/' || slug || '.md) (`' || type || '`, `' || case role when '' then 'unknown' else role end || '`)' from m
+union all select path, 6, '', '', '', '' from f)
+select key as path, sha256(string_agg(line, chr(10) order by s, a, b, c, line)) as page from l where key in (select path from f) group by 1""")
+def file_pages(t):
+    entities, imports = _facts(t)
+    file = lambda n: F.concat(F.lit("src/"), n.cast("string"), F.lit(".py"))
+    files = t.spark.range(29).select(file(F.col("id")).alias("path"))
+    k = F.col("c_custkey")
+    members = t.customer.select(file(k % 21).alias("file"), F.col("c_name").alias("name"), F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))).alias("slug"), F.col("c_mktsegment").alias("type"), F.when(k % 3 == 0, "").otherwise("detailed").alias("role"))
+    return documents.file_pages(files, entities, imports, members).select("path", text.fingerprint(F.col("page")).alias("page"))
+
+
+@query(f"""with {_E_SQL}, m as (select c_custkey as k, c_name as name, 'm' || c_custkey as slug, (['aggregate', 'entrypoint', 'test', 'detailed', 'odd', ''])[c_custkey % 6 + 1] as role, 'src/' || (c_custkey % 27) || '.py' as src, 't/' || (c_custkey % 9) || '.py' as test from customer),
+r as (select m.k, e.name as name, line_start, p_partkey, entity_type, parent, file, row_number() over (partition by m.k order by p_partkey) as rank from m join e on e.file = m.src),
+c as (select k, count(*) as n from r group by 1), j as (select o_custkey as k, count(*) as n from orders group by 1),
+l as (select k, 0 as s, 0 as a, '' as b, '# Модуль: ' || name || E'\n\n## Тип\n\nнет данных\n\n## Роль страницы\n\n' || case role when '' then 'unknown' else role end || E'\n\n## Назначение\n\n{documents.PURPOSE}\n\n## Навигация\n\n- [Индекс функций](../functions/function-index.md)\n- [Индекс файлов](../files/index.md)\n\n## Структурная сводка\n' as line from m
+union all select m.k, 1, 0, '', case role when 'aggregate' then E'Это обзорная aggregate-страница. Она не является полным индексом всех сущностей.\n\n- Количество файлов: 2\n- Количество сущностей: ' || coalesce(c.n, 0) || E'\n- Количество импортов: ' || coalesce(j.n, 0) || E'\n- Основные файлы: ' || src || E'\n- Полный индекс функций: [functions/function-index.md](../functions/function-index.md)\n- Индекс файлов: [files/index.md](../files/index.md)'
+  when 'entrypoint' then E'Это entrypoint-страница. Она показывает структурный обзор точки входа, а не полный индекс всех функций.\n\n- Entry point files: нет данных\n- Связанные файлы: ' || src || E'\n- Количество сущностей: ' || coalesce(c.n, 0) || E'\n- Количество импортов: ' || coalesce(j.n, 0)
+  when 'test' then E'Это тестовый/примерный артефакт, а не production-модуль.\n\n- Test files: ' || test || E'\n- Related production/source files: нет данных\n- Количество сущностей: ' || coalesce(c.n, 0) || E'\n- Количество импортов: ' || coalesce(j.n, 0)
+  when 'detailed' then E'- Количество файлов: 2\n- Количество сущностей: ' || coalesce(c.n, 0) || E'\n- Количество импортов: ' || coalesce(j.n, 0) || E'\n- Основные файлы: ' || src
+  else E'Это осторожное представление структурных данных. Архитектурные выводы не делаются автоматически.\n\n- Количество файлов: 2\n- Количество сущностей: ' || coalesce(c.n, 0) || E'\n- Количество импортов: ' || coalesce(j.n, 0) end from m left join c using (k) left join j using (k)
+union all select k, 2, 0, '', E'\n## Границы ответственности\n\n- `source_files`: ' || src || E'\n- `test_files`: ' || test || E'\n- `config_files`: нет данных\n- `doc_files`: нет данных\n- `other_files`: нет данных\n- `related_files`: нет данных\n\n## Ключевые файлы\n\n| category | file |\n| --- | --- |\n| source_files | ' || case when (k % 27) % 2 = 0 then '[' || src || '](../files/f' || (k % 27) || '.md)' else src end || E' |\n| test_files | ' || test || E' |\n\n' || case role when 'detailed' then '## Связанные сущности' else '## Ключевые сущности' end || chr(10) from m
+union all select m.k, 3, 0, '', case when coalesce(c.n, 0) = 0 then 'нет данных' else E'| name | entity_type | type | file | parent/container | signature | parameters | return_annotation | is_async | exported | docstring/jsdoc | confidence |\n| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |' end from m left join c using (k)
+union all select r.k, 3, rank, '', '| ' || r.name || ' | ' || entity_type || ' | нет данных | ' || file || ' | ' || parent || ' | нет данных | нет данных | нет данных | ' || (p_partkey % 2 = 0)::varchar || ' | ' || (p_partkey % 5 = 0)::varchar || ' | нет данных | нет данных |' from r join m using (k) where rank <= case role when 'detailed' then 30 else 15 end
+union all select m.k, 4, 0, '', '' || case when coalesce(c.n, 0) > case role when 'detailed' then 30 else 15 end then E'\nПоказаны первые ' || case role when 'detailed' then 30 else 15 end || E' сущностей. Полный список см. в [functions/function-index.md](../functions/function-index.md) и [files/index.md](../files/index.md).\n' else '' end || E'\n## Зависимости\n' from m left join c using (k)
+union all select m.k, 5, 0, '', case when j.n is null then 'нет данных' else E'| source_file | imported | dependency_type | resolved_file |\n| --- | --- | --- | --- |' end from m left join j using (k)
+union all select o_custkey, 5, 1, i.source_file || '|' || imported, '| ' || i.source_file || ' | ' || imported || ' | ' || dependency_type || ' | ' || coalesce(resolved_file, 'нет данных') || ' |' from i join orders using (o_orderkey)
+union all select m.k, 6, 0, '', E'\n## Связи с другими модулями\n' from m
+union all select m.k, 7, 0, '', case when j.n is null then '{documents.NO_RELATED}' else E'| source_file | resolved_file | target_modules | ambiguous |\n| --- | --- | --- | --- |\n| a.py | b.py | m' || m.k || ' | false |' end from m left join j using (k)
+union all select k, 8, 0, '', E'\n## Предупреждения и ограничения\n\n' || case when role = 'test' then '- beware' || E'\n- {documents.TEST_NOTE}' when k % 2 = 0 then '- beware' else 'нет данных' end || E'\n\n## Что требует ручного уточнения\n\n- Бизнес-назначение модуля.\n- Runtime-поведение.\n- Внешние API.\n- Побочные эффекты.\n- Сценарии использования.\n' from m)
+select 'm' || k as slug, sha256(string_agg(line, chr(10) order by s, a, b)) as page from l group by 1""")
+def module_pages(t):
+    from pyspark.sql import Window
+
+    entities, imports = _facts(t)
+    k = F.col("c_custkey")
+    none = F.array().cast("array<string>")
+    file = lambda n: F.concat(F.lit("src/"), n.cast("string"), F.lit(".py"))
+    test = F.concat(F.lit("t/"), (k % 9).cast("string"), F.lit(".py"))
+    role = F.element_at(F.array(*[F.lit(x) for x in ("aggregate", "entrypoint", "test", "detailed", "odd", "")]), (k % 6 + 1).cast("int"))
+    rows = t.customer.select(
+        k, F.concat(F.lit("m"), k.cast("string")).alias("slug"), F.col("c_name").alias("name"), F.lit("").alias("type"), role.alias("role"), F.array(file(k % 27)).alias("source_files"), F.array(test).alias("test_files"),
+        *[none.alias(c) for c in ("config_files", "doc_files", "other_files", "related_files", "entrypoint_files")], F.array(file(k % 27)).alias("primary_files"), F.when((k % 2 == 0) | (role == "test"), F.array(F.lit("beware"))).alias("warnings"),
+        F.when(k % 4 == 0, F.array(F.lit("beware"))).alias("limitations"), F.lit(2).alias("file_count"), file(k % 27).alias("file"),
+    )
+    mine = entities.filter("file is not null").join(rows.select("slug", "file"), "file")
+    mine = mine.withColumn("rank", F.row_number().over(Window.partitionBy("slug").orderBy("p_partkey")))
+    bought = imports.withColumn("slug", F.concat(F.lit("m"), F.col("o_custkey").cast("string")))
+    zero = F.lit(0).cast("long")
+    for name, of in (("entity_count", mine), ("import_count", bought)):
+        rows = rows.join(of.groupBy("slug").agg(F.count("*").alias(name)), "slug", "left").withColumn(name, F.coalesce(name, zero))
+    related = bought.select("slug").distinct().select("slug", F.lit("a.py").alias("source_file"), F.lit("b.py").alias("resolved_file"), F.col("slug").alias("target_modules"), F.lit(False).alias("ambiguous"))
+    slugs = t.spark.range(0, 27, 2).select(file(F.col("id")).alias("path"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("slug"))
+    return documents.module_pages(rows, mine, bought, related, slugs).select("slug", text.fingerprint(F.col("page")).alias("page"))

@@ -91,6 +91,19 @@ def test_long_chain(spark):
     assert graph.reachable(spark.createDataFrame([(0,)], "seed long"), edges).count() == 41
 
 
+def test_reachability_is_the_same_in_rounds(spark):
+    import random
+
+    r = random.Random(5)
+    edges = spark.createDataFrame([(r.randrange(60), r.randrange(60)) for _ in range(80)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7), (7, 7)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,), (7,), (100,), (999,), (7,)], "seed long")
+    told = sorted(map(tuple, graph.reachable(seeds, edges).collect()))
+    assert sorted(map(tuple, graph.reachable(seeds, edges, small=0).collect())) == told and (100, 140, 40) in told
+    for small in (0, 1000):
+        with pytest.raises(Exception, match="not all nodes"):
+            graph.reachable(seeds, edges, max_hops=9, small=small).collect()
+
+
 def test_joined_paths(spark):
     rows = spark.createDataFrame([("a/b", "../c.js"), (".", "./x"), ("a", "../../x"), ("a", "./b/./c")], "d string, r string")
     assert [r.p for r in rows.select(resolve.joined_path(F.col("d"), F.col("r")).alias("p")).collect()] == ["a/c.js", "x", None, "a/b/c"]
@@ -143,16 +156,6 @@ def test_text_functions(spark):
     assert one(text.missing_sections(F.array(F.lit("A")), ("A", "B"))) == ["B"]
 
 
-def test_pages_are_replaced_and_kept(spark, tmp_path):
-    rows = lambda *r: spark.createDataFrame(r, "path string, page string")
-    first = pages.write_pages(rows(("a/x.md", "1"), ("b.md", "2")), str(tmp_path))
-    (tmp_path / "own.md").write_text("mine")
-    assert pages.write_pages(rows(("b.md", "3")), str(tmp_path), first) == ["b.md"]
-    assert sorted(p.name for p in tmp_path.rglob("*")) == ["b.md", "own.md"] and (tmp_path / "b.md").read_text() == "3"
-    with pytest.raises(ValueError):
-        pages.write_pages(rows(("../x", "1")), str(tmp_path))
-
-
 def test_key_files(spark):
     rows = spark.createDataFrame([("m", ["a"], ["b", "c"])], "name string, source_files array<string>, test_files array<string>")
     assert sorted(tuple(r) for r in pages.key_files(rows, ["source_files", "test_files"]).collect()) == [("m", "source_files", "a"), ("m", "test_files", "b"), ("m", "test_files", "c")]
