@@ -6,10 +6,12 @@ word's id is its place in the first chunk that holds it. No phrase is more frequ
 than its words, so that texts are split at the others as they are at punctuation.
 A chunk then makes, for every word, the suffix of at most ``max_n`` words that
 begins there, adds up equal ones and deals them by language and first word (ids are
-of one language). Words with more suffixes than a part shall hold are dealt over
-several parts by the whole suffix. A part sorts its suffixes in reverse order, so
+of one language). Hot words, with more suffixes than a part shall hold, are dealt
+by further words, up to the first that isn't hot: no part gets more of one key than
+that word is frequent. A part sorts its suffixes in reverse order, so
 that a phrase follows all that extend it, and one pass with a stack of open phrases
-counts every prefix. What is left is joined: the parts of each cut, the longer
+counts every prefix; prefixes of hot words alone are counted in several parts and
+added up. What is left is joined: the parts of each cut, the longer
 phrases that hold a shorter one, the words' spelling.
 """
 
@@ -148,12 +150,13 @@ def _deal(chunks: DataFrame, marked: DataFrame, parts: int, size: int, max_n: in
         local[k] = np.arange(1, len(k) + 1, dtype=np.uint32)
         rows, counts = suffixes(local[tokens], max_n)
         word = np.concatenate(([0], word)).astype(np.uint64)
-        shares = np.concatenate(([1], -(-f // size))).astype(np.uint64)[rows[:, 0]]
+        hot = np.concatenate(([False], f > size))[rows]
         rows = word[rows]
-        whole = np.zeros(len(rows), np.uint64)
+        open_, part = np.ones(len(rows), bool), np.zeros(len(rows), np.uint64)
         for j in range(max_n):
-            whole = mixed(whole + rows[:, j])
-        part = (mixed(rows[:, 0]) + whole % shares) % np.uint64(parts)
+            part = np.where(open_, mixed(part + rows[:, j]), part)
+            open_ &= hot[:, j]
+        part = part % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         part, rows, counts = part[order].astype(np.int64), rows[order], counts[order].astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.empty(0, np.int64)
@@ -166,8 +169,8 @@ def _deal(chunks: DataFrame, marked: DataFrame, parts: int, size: int, max_n: in
     return left.cogroup(marked.select("chunk", "k", "id", "f").groupBy("chunk")).applyInArrow(work, "part long, n long, rows binary, counts binary")
 
 
-def count_prefixes(rows: np.ndarray, counts: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(row, length, count) of every prefix of two or more ids that comes least[row] times or more, in one pass over reverse-sorted rows.
+def count_prefixes(rows: np.ndarray, counts: np.ndarray, least: int, free: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, length, count) of every prefix of two or more ids that comes ``least`` times or more, and of those within the first free[row] ids, in one pass over reverse-sorted rows.
 
     The stack holds the prefixes of the row at hand, with what was counted for each;
     the next row closes those that it doesn't share, and what a closed one counted
@@ -177,29 +180,29 @@ def count_prefixes(rows: np.ndarray, counts: np.ndarray, least: np.ndarray) -> I
     depth = (rows > 0).sum(axis=1)
     same = np.cumprod((rows[1:] == rows[:-1]) & (rows[1:] > 0), axis=1).sum(axis=1) if len(rows) > 1 else np.empty(0, np.int64)
     open_ = [0] * (width + 1)
-    top, last = 0, 1
-    for i, (shared, d, c, need) in enumerate(zip([0, *same.tolist()], depth.tolist(), counts.tolist(), least.tolist(), strict=True)):
+    top = last = 0
+    for i, (shared, d, c, f) in enumerate(zip([0, *same.tolist()], depth.tolist(), counts.tolist(), free.tolist(), strict=True)):
         while top > shared:
             n = open_[top]
             open_[top] = 0
-            if n >= last and top > 1:
+            if top > 1 and (n >= least or top <= last):
                 yield i - 1, top, n
             top -= 1
             open_[top] += n
         if shared == 0:
             open_[0] = 0
-        top, last = d, need
+        top, last = d, f
         open_[d] += c
     while top > 1:
         n = open_[top]
-        if n >= last:
+        if n >= least or top <= last:
             yield len(rows) - 1, top, n
         top -= 1
         open_[top] += n
 
 
 def _phrases(dealt: DataFrame, hot: list[int], max_n: int, least: int) -> DataFrame:
-    """(words, f): phrases of two words or more with their frequencies, least or more. hot: ids whose suffixes are in several parts."""
+    """(words, f): phrases of two words or more with their frequencies, least or more. hot: ids of words that are dealt by further words."""
     shared = dealt.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.uint64))
 
     def work(table: pa.Table) -> pa.Table:
@@ -208,8 +211,8 @@ def _phrases(dealt: DataFrame, hot: list[int], max_n: int, least: int) -> DataFr
         counts = np.concatenate([_unpacked(x.as_py(), n, np.int64) for x, n in zip(table["counts"], sizes, strict=True)])
         order = np.lexsort(rows.T[::-1])[::-1]
         rows, counts = rows[order], counts[order]
-        needs = np.where(np.isin(rows[:, 0], shared.value), 1, least)
-        found = np.array(list(count_prefixes(rows, counts, needs)), np.int64).reshape(-1, 3)
+        free = np.cumprod(np.isin(rows, shared.value), axis=1).sum(axis=1)
+        found = np.array(list(count_prefixes(rows, counts, least, free)), np.int64).reshape(-1, 3)
         at = np.concatenate(([0], np.cumsum(found[:, 1]))).astype(np.int32)
         picked = rows[found[:, 0]][np.arange(max_n)[None, :] < found[:, 1][:, None]]
         return pa.table({"words": pa.ListArray.from_arrays(pa.array(at), pa.array(picked.astype(np.int64))), "f": pa.array(found[:, 2])})
