@@ -43,7 +43,7 @@ def shingles_of(text: bytes | None, shingle: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, node, shingles, bands): key tells apart texts of one doc_id, node names the shingle set."""
+    """(doc_id, key, node, bands): key tells apart texts of one doc_id, node names the shingle set, which isn't kept."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -55,11 +55,10 @@ def _marked(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                nodes, sets, keys = [], [], []
+                nodes, keys = [], []
                 for x in part.column(2):
                     s = shingles_of(x.as_py(), shingle)
                     nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
-                    sets.append(s.view(np.int64))
                     least = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
                     for i in range(0, len(s), 4096):
                         mixed = (s[i : i + 4096, None] ^ turn) * times
@@ -67,24 +66,38 @@ def _marked(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                     keys.append([xxhash.xxh64_intdigest(b.tobytes()) for b in np.hstack([salt, least.reshape(bands, rows)])] if len(s) else [])
                 offsets = lambda x: pa.array(np.concatenate(([0], np.cumsum([len(y) for y in x]))), pa.int32())
                 flat = np.array([k for x in keys for k in x], np.uint64).view(np.int64)
-                columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets(sets), pa.array(np.concatenate(sets))), pa.ListArray.from_arrays(offsets(keys), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "key", "node", "shingles", "bands"])
+                columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets(keys), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "key", "node", "bands"])
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("t"))
-    return texts.mapInArrow(work, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, key long, node long, shingles array<bigint>, bands array<bigint>")
+    return texts.mapInArrow(work, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, key long, node long, bands array<bigint>")
 
 
-def _sets(nodes: DataFrame, marked: DataFrame, scratch: Scratch, limit: int = 1_000_000) -> DataFrame:
-    """(node, s): the nodes' sets. Up to ``limit`` nodes, of 8 bytes each, are broadcast, so that the sets of all others aren't shuffled."""
-    asked = scratch.table(nodes.distinct())
-    found = marked.select("node", "shingles").join(broadcast_if_small(asked, asked.count(), limit), "node", "left_semi")
-    return scratch.table(found.groupBy("node").agg(F.first("shingles").alias("s")))
+def _sets(nodes: DataFrame, marked: DataFrame, docs: DataFrame, shingle: int, scratch: Scratch, limit: int = 1_000_000) -> DataFrame:
+    """(node, s): the nodes' sets, made again from one text of each, so that no set of another text is ever written.
+
+    The texts' keys, of 16 bytes with their nodes, are broadcast up to ``limit``;
+    with more, the texts are dealt by key.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingles_of(x.as_py(), shingle).view(np.int64) for x in part.column(1)]
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["node", "s"])
+
+    asked = scratch.table(marked.select("node", "key").join(nodes.distinct(), "node").groupBy("node").agg(F.min("key").alias("key")))
+    texts = docs.select(F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("t"))
+    found = texts.join(broadcast_if_small(asked, asked.count(), limit), "key").groupBy("node").agg(F.first("t").alias("t"))
+    return scratch.table(found.mapInArrow(work, "node long, s array<bigint>"))
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, shingle: int, threshold: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are as similar."""
     pairs = scratch.table(pairs)
-    sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), marked, scratch)
+    sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), marked, docs, shingle, scratch)
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     met = met.filter(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y"))
@@ -109,14 +122,14 @@ def similar(sets: list[np.ndarray], threshold: float, columns: int = 1 << 12) ->
     return common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6
 
 
-def _apart(members: DataFrame, marked: DataFrame, threshold: float, scratch: Scratch, block: int = 1024) -> DataFrame:
+def _apart(members: DataFrame, marked: DataFrame, docs: DataFrame, shingle: int, threshold: float, scratch: Scratch, block: int = 1024) -> DataFrame:
     """(a, b): links between nodes of one band with different roots, one for every two roots that a task sees. members: band, node, root.
 
     A band's commonest root needs no comparison within itself: the other members
     are dealt to blocks of about ``block`` that meet each other and the blocks of
     the commonest root's members, every two blocks a task's.
     """
-    sets = _sets(members.select("node"), marked, scratch)
+    sets = _sets(members.select("node"), marked, docs, shingle, scratch)
     roots = members.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("n"))
     roots = scratch.table(roots.select("band", F.col("x.root").alias("main"), F.expr(f"(n - x.n + {block - 1}) div {block}").alias("rest"), F.expr(f"(x.n + {block - 1}) div {block}").alias("mains")))
     dealt = members.join(roots, "band").withColumn("is_main", F.col("root") == F.col("main"))
@@ -155,11 +168,11 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, ba
     grouped = scratch.table(grouped)
     first = scratch.table(grouped.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1").select("group", "b"))
     candidates = members.select("node", "b").unionByName(grouped.join(first, "group").select("node", "b"))
-    links = _verified(candidates.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), marked, threshold, scratch)
+    links = _verified(candidates.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), marked, docs, shingle, threshold, scratch)
     roots = connected_components(links, scratch)
     now = scratch.table(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
     mixed = scratch.table(now.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("band", "n"))
-    more = scratch.table(_apart(now.join(mixed, "band", "left_semi"), marked, threshold, scratch))
+    more = scratch.table(_apart(now.join(mixed, "band", "left_semi"), marked, docs, shingle, threshold, scratch))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), scratch)
     return marked.select("doc_id", "key", "node").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
