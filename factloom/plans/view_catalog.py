@@ -298,19 +298,19 @@ def dependency_order(t):
 # ---- texts
 
 
-@query("""with w as (select doc_id, list_slice(string_split(lower(text), ' '), 1, 60) as w from documents)
-select doc_id, sha256(array_to_string(list_reduce(list_prepend([]::varchar[], list_transform(w, lambda x: [x])), lambda a, x: case when list_contains(a, x[1]) then a else list_concat(a, x) end), '|')) as once,
-array_to_string(list_filter(['the', 'of', 'nothing', 'die', 'de'], lambda x: list_contains(w, x)), ',') as allowed from w""")
+@query("""with w as (select doc_id, string_split(lower(text), ' ') as w from documents),
+u as (select doc_id, x, min(i) as i from (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from w) group by 1, 2), o as (select doc_id, sha256(string_agg(x, '|' order by i)) as once from u group by 1)
+select doc_id, once, array_to_string(list_filter(['the', 'of', 'nothing', 'die', 'de'], lambda x: list_contains(w, x)), ',') as allowed from w left join o using (doc_id)""")
 def ordered_distinct(t):
-    w = F.slice(F.split(F.lower("text"), " "), 1, 60)
+    w = F.split(F.lower("text"), " ")
     refs = F.array(*[F.lit(x) for x in ("the", "of", "nothing", "die", "de", "the")])
     return t.documents.select("doc_id", F.sha2(F.array_join(F.array_distinct(w), "|"), 256).alias("once"), F.array_join(views.allowed_refs(refs, w), ",").alias("allowed"))
 
 
-@query("""with s as (select doc_id, translate(lower(trim(substr(text, 1, 40), ' ')), '\\/ ._', '-----') as t, text from documents), k as (select *, regexp_replace(regexp_replace(t, '[^\\p{L}\\p{N}-]', '', 'g'), '^-+|-+$', '', 'g') as k from s)
-select doc_id, case when k = '' then 'unknown' else k end as slug, substr(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), 1, 160) as preview, replace(replace(text, 'the', 'THE'), 'THE ', 'a ') = text as same from k""")
+@query("""with s as (select doc_id, translate(lower(trim(text, ' ')), '\\/ ._', '-----') as t, text from documents), k as (select *, regexp_replace(regexp_replace(t, '[^\\p{L}\\p{N}-]', '', 'g'), '^-+|-+$', '', 'g') as k from s)
+select doc_id, sha256(case when k = '' then 'unknown' else k end) as slug, substr(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), 1, 160) as preview, replace(replace(text, 'the', 'THE'), 'THE ', 'a ') = text as same from k""")
 def text_forms(t):
-    return t.documents.select("doc_id", text.module_slug(F.substring("text", 1, 40)).alias("slug"), text.preview(F.col("text")).alias("preview"), (text.replaced(F.col("text"), {"the": "THE", "THE ": "a "}) == F.col("text")).alias("same"))
+    return t.documents.select("doc_id", text.fingerprint(text.module_slug(F.col("text"))).alias("slug"), text.preview(F.col("text")).alias("preview"), (text.replaced(F.col("text"), {"the": "THE", "THE ": "a "}) == F.col("text")).alias("same"))
 
 
 @query("""select p_partkey, '{"files": ["' || least(p_name, p_type) || '", "' || greatest(p_name, p_type) || '"], "name": "' || p_name || '", "related_files": [], "type": "' || p_brand || '"}' as identity from part""")
@@ -319,13 +319,13 @@ def identity_json(t):
     return t.part.select("p_partkey", text.identity_json(F.col("p_name"), F.col("p_brand"), files=F.array("p_type", "p_name"), related_files=none).alias("identity"))
 
 
-@query("""with b as (select doc_id, regexp_replace(substr(text, 1, 30), '[\\n\\r`~]', ' ', 'g') as b from documents)
+@query("""with b as (select doc_id, regexp_replace(text, '[\\n\\r`~]', ' ', 'g') as b from documents)
 select doc_id, b || (case doc_id % 5 when 0 then '' when 1 then chr(10) || '```py' || chr(10) || 'x' when 2 then chr(10) || '```' || chr(10) || 'x' || chr(10) || '````' when 3 then chr(10) || '~~~~' || chr(10) || '~~~' || chr(10) else chr(10) || '    ```' end) ||
 (case doc_id % 5 when 1 then chr(10) || '```' when 3 then '~~~~' else '' end) as closed from b""")
 def closed_fences(t):
     d = F.col("doc_id") % 5
     more = F.when(d == 0, "").when(d == 1, "\n```py\nx").when(d == 2, "\n```\nx\n````").when(d == 3, "\n~~~~\n~~~\n").otherwise("\n    ```")
-    return t.documents.select("doc_id", text.closed_fence(F.concat(F.regexp_replace(F.substring("text", 1, 30), "[\\n\\r`~]", " "), more)).alias("closed"))
+    return t.documents.select("doc_id", text.closed_fence(F.concat(F.regexp_replace("text", "[\\n\\r`~]", " "), more)).alias("closed"))
 
 
 @query("""select event_id, array_to_string(list_filter([case when event_id % 2 = 0 then 'Missing expected field: weak_claims.' end, case when event_id % 3 = 0 then 'Missing expected field: notes.' end, case when event_type not in ('click') then 'Missing or invalid verdict.' end], lambda x: x is not null), '|') as errors from events""")
@@ -456,9 +456,9 @@ def page_consistency(t):
     return quality.consistency(t.events.select(file("event_id", 40)), t.part.select(file("p_partkey", 37)))
 
 
-@query("""select doc_id, trim(regexp_replace(substr(text, 1, 50), '[\\s`]+', ' ', 'g'), ' ') as body from documents""")
+@query("""select doc_id, trim(regexp_replace(text, '[\\s`]+', ' ', 'g'), ' ') as body from documents""")
 def unfenced_texts(t):
-    body = F.trim(F.regexp_replace(F.substring("text", 1, 50), "[\\s`]+", " "))
+    body = F.trim(F.regexp_replace("text", "[\\s`]+", " "))
     fenced = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```markdown\n"), body, F.lit("\n```\n"))).otherwise(body)
     return t.documents.select("doc_id", F.trim(text.unfenced(fenced)).alias("body"))
 
