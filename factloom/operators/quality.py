@@ -51,6 +51,24 @@ def problem_summary(modules: DataFrame) -> DataFrame:
     return row.withColumn("status", F.when(F.col("_v") == 0, "no_data").when(F.col("_v") < F.col("_n"), "partial").otherwise("ok")).drop("_n", "_v")
 
 
+def problems_by_module(modules: DataFrame, reports: DataFrame) -> DataFrame:
+    """(module, problem_types, severity, a count for each issue kind) of modules with a problem or an issue.
+
+    Both as above, a module's report once; reports of modules that aren't there don't
+    count, and a module without a report has no issues. Severity is the worst of the
+    module's own problems and its issues.
+    """
+    kinds = [kind for kind, column, _ in ISSUES if column in reports.columns]
+    rank = F.array_position(F.array(*[F.lit(s) for s in ("info", "warning", "fail")]), F.col("severity"))
+    issues = issue_problems(reports).groupBy("module").agg(*[F.count_if(F.col("issue_type") == k).alias(k) for k in kinds], F.max(rank).alias("_issue"))
+    own = module_problems(modules).select("module", "problem_types", rank.alias("_own"))
+    rows = modules.select("module").join(own, "module", "left").join(issues, "module", "left")
+    worst = F.greatest(F.coalesce("_own", F.lit(0)), F.coalesce("_issue", F.lit(0)))
+    nothing, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    rows = rows.withColumn("_worst", worst).filter("_worst > 0")
+    return rows.select("module", F.coalesce("problem_types", nothing).alias("problem_types"), F.element_at(F.array(F.lit("info"), F.lit("warning"), F.lit("fail")), F.col("_worst").cast("int")).alias("severity"), *[F.coalesce(k, zero).alias(k) for k in kinds])
+
+
 def problem_order() -> list[Column]:
     return [F.array_position(F.array(F.lit("fail"), F.lit("warning"), F.lit("info")), F.col("severity")), F.col("module")]
 

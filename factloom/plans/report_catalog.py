@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import json_text, text, variants
-from factloom.operators import attempts, documents, ledger, schema_check, scoped
+from factloom.operators import attempts, documents, ledger, quality, schema_check, scoped
 from factloom.plans.catalog import Tables, query
 
 # ---- imports below nested roots: pages stand for files, whose languages are projects with packages of their own
@@ -228,3 +228,18 @@ def module_pages(t):
     related = bought.select("slug").distinct().select("slug", F.lit("a.py").alias("source_file"), F.lit("b.py").alias("resolved_file"), F.col("slug").alias("target_modules"), F.lit(False).alias("ambiguous"))
     slugs = t.spark.range(0, 27, 2).select(file(F.col("id")).alias("path"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("slug"))
     return documents.module_pages(rows, mine, bought, related, slugs).select("slug", text.fingerprint(F.col("page")).alias("page"))
+
+
+# ---- problems by module: customers stand for modules, every second has a report
+
+@query("""with m as (select c_custkey as k, c_name as module, (['pass', ' Warning', 'fail', null])[c_nationkey % 4 + 1] as v, c_custkey % 3 <> 0 as e, c_custkey % 5 <> 0 as d, case when c_custkey % 2 = 0 then c_custkey % 4 else 0 end as weak, case when c_custkey % 2 = 0 then c_custkey % 3 else 0 end as bad from customer),
+p as (select *, list_filter([case when trim(lower(v)) = 'warning' then 'verification_warning' end, case when v = 'fail' then 'verification_fail' end, case when not e then 'missing_enhanced' end, case when not d then 'missing_verification' end], lambda x: x is not null) as types from m)
+select module, array_to_string(types, ',') as problem_types, case when v = 'fail' or bad > 0 then 'fail' when trim(lower(v)) = 'warning' or weak > 0 then 'warning' else 'info' end as severity, weak::bigint as weak_claim, bad::bigint as unsupported_claim from p where len(types) > 0 or weak > 0 or bad > 0""")
+def problems_by_module(t):
+    k = F.col("c_custkey")
+    said = F.element_at(F.array(F.lit("pass"), F.lit(" Warning"), F.lit("fail"), F.lit(None)), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    modules = t.customer.select(F.col("c_name").alias("module"), said.alias("verdict"), (k % 3 != 0).alias("enhanced_present"), (k % 5 != 0).alias("verified"))
+    claims = lambda n: F.array_repeat(F.struct(F.lit("here").alias("section"), F.lit("so").alias("reason")), n.cast("int"))
+    reports = t.customer.filter(k % 2 == 0).select(F.col("c_name").alias("module"), claims(k % 4).alias("weak_claims"), claims(k % 3).alias("unsupported_claims"))
+    gone = reports.select(F.concat("module", F.lit(" gone")).alias("module"), "weak_claims", "unsupported_claims")
+    return quality.problems_by_module(modules, reports.unionByName(gone)).withColumn("problem_types", F.array_join("problem_types", ","))

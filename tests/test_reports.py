@@ -181,3 +181,12 @@ def test_numbers_without_one_task(spark):
     for df in (all_, numbering.numbered(rows, "k", by=("g",))):
         assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
     assert numbering.numbered(rows.limit(0), "k").collect() == [] == numbering.numbered(rows.limit(0), "k", by=("g",)).collect()
+
+
+def test_problems_by_module(spark):
+    from factloom.operators import quality
+
+    modules = spark.createDataFrame([("a", "pass", True, True), ("b", "warning", True, True), ("c", None, False, False), ("d", "pass", True, True)], "module string, verdict string, enhanced_present boolean, verified boolean")
+    reports = spark.createDataFrame([("a", [("s",)], []), ("b", [], [("s",), ("t",)]), ("gone", [("s",)], [("s",)]), ("d", [], None)], "module string, weak_claims array<struct<section string>>, unsupported_claims array<struct<section string>>")
+    got = {r["module"]: tuple(r)[1:] for r in quality.problems_by_module(modules, reports).collect()}
+    assert got == {"a": ([], "warning", 1, 0), "b": (["verification_warning"], "fail", 0, 2), "c": (["missing_enhanced", "missing_verification"], "info", 0, 0)}
