@@ -29,7 +29,7 @@ IMPORT_COLUMNS = ("source_file", "imported", "dependency_type", "resolved_file")
 LINE, HEAD, EMPTY = 0, 1, 2
 
 
-def _lines(rows: DataFrame, key: Column, section: int, text: Column, *by: Column, kind: int = LINE) -> DataFrame:
+def lines(rows: DataFrame, key: Column, section: int, text: Column, *by: Column, kind: int = LINE) -> DataFrame:
     place = F.array(*[F.coalesce(b.cast("string"), F.lit("")) for b in by]) if by else F.array().cast("array<string>")
     return rows.select(key.alias("key"), F.lit(section).alias("section"), place.alias("place"), F.lit(kind).alias("kind"), text.alias("line"))
 
@@ -48,13 +48,13 @@ def fixed(rows: DataFrame, key: Column, lines: dict[int, list[Column | str]]) ->
 def table(rows: DataFrame, key: Column, section: int, cells: dict[str, Column], *by: Column) -> DataFrame:
     """A table's lines; its head comes with the pages, by ``table_head``."""
     shown = F.array(*[F.coalesce(F.nullif(cell(c.cast("string")), F.lit("")), F.lit(NO_DATA)) for c in cells.values()])
-    return _lines(rows, key, section, F.concat(F.lit("| "), F.array_join(shown, " | "), F.lit(" |")), *by)
+    return lines(rows, key, section, F.concat(F.lit("| "), F.array_join(shown, " | "), F.lit(" |")), *by)
 
 
 def table_head(pages: DataFrame, key: Column, section: int, columns: tuple[str, ...], empty: str = NO_DATA) -> list[DataFrame]:
     """The head of a section's table, and what stands there without rows."""
     head = "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |"
-    return [_lines(pages, key, section, F.lit(head), F.lit(""), kind=HEAD), _lines(pages, key, section, F.lit(empty), F.lit(""), kind=EMPTY)]
+    return [lines(pages, key, section, F.lit(head), F.lit(""), kind=HEAD), lines(pages, key, section, F.lit(empty), F.lit(""), kind=EMPTY)]
 
 
 def assembled(parts: list[DataFrame]) -> DataFrame:
@@ -81,10 +81,10 @@ def file_pages(files: DataFrame, entities: DataFrame, imports: DataFrame, member
     link = F.concat(F.lit("- ["), "name", F.lit("](../modules/"), "slug", F.lit(".md) (`"), unknown("type"), F.lit("`, `"), unknown("role"), F.lit("`)"))
     heads = fixed(files, key, {0: [F.concat(F.lit("# Файл: "), key), "", "## Сущности", ""], 2: ["", "## Импорты", ""], 4: ["", "## Участвует в модулях", ""], 6: [""]})
     return assembled([
-        heads, *table_head(files, key, 1, of_entity), *table_head(files, key, 3, of_import), _lines(files, key, 5, F.lit(NO_DATA), kind=EMPTY),
+        heads, *table_head(files, key, 1, of_entity), *table_head(files, key, 3, of_import), lines(files, key, 5, F.lit(NO_DATA), kind=EMPTY),
         table(entities, F.col("file"), 1, {c: F.col(f"`{c}`") for c in of_entity}, number(F.col("line_start")), F.col("name"), F.col("entity_type")),
         table(imports, F.col("source_file"), 3, {c: F.col(c) for c in of_import}, F.col("imported"), F.col("resolved_file"), number(F.col("line_start"))),
-        _lines(members, F.col("file"), 5, link, F.col("name"), F.col("slug")),
+        lines(members, F.col("file"), 5, link, F.col("name"), F.col("slug")),
     ]).withColumnRenamed("key", "path")
 
 
@@ -138,13 +138,13 @@ def module_pages(modules: DataFrame, entities: DataFrame, imports: DataFrame, re
         15: ["", "## Что требует ручного уточнения", "", *[f"- {x}" for x in MANUAL], ""],
     })
     overview = rows.select(key.alias("key"), F.posexplode(_overview(role)).alias("i", "line"))
-    overview = _lines(overview, F.col("key"), 2, F.col("line"), number(F.col("i")))
+    overview = lines(overview, F.col("key"), 2, F.col("line"), number(F.col("i")))
     unpivoted = rows.select(key.alias("key"), F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(c).alias("category"), F.col(c).alias("files")) for i, c in enumerate(FILE_CATEGORIES)])))
     unpivoted = unpivoted.select("key", "c", "category", F.posexplode("files").alias("i", "file"))
     if file_slugs is not None:
         unpivoted = unpivoted.join(file_slugs.select(F.col("path").alias("file"), F.col("slug").alias("_s")), "file", "left")
         unpivoted = unpivoted.withColumn("file", F.when(F.col("_s").isNotNull(), F.concat(F.lit("["), "file", F.lit("](../files/"), "_s", F.lit(".md)"))).otherwise(F.col("file")))
-    cut = _lines(rows.filter(F.col("entity_count") > F.col("_most")), key, 8, F.concat(more, F.lit("\n")))
+    cut = lines(rows.filter(F.col("entity_count") > F.col("_most")), key, 8, F.concat(more, F.lit("\n")))
     warned = rows.select(key.alias("key"), F.posexplode(notes).alias("i", "note"))
     shown = entities.join(rows.select("slug", "_most"), "slug").filter(F.col("rank") <= F.col("_most"))
     return assembled([
@@ -153,7 +153,7 @@ def module_pages(modules: DataFrame, entities: DataFrame, imports: DataFrame, re
         *table_head(rows, key, 10, IMPORT_COLUMNS), table(imports, key, 10, {c: F.col(c) for c in IMPORT_COLUMNS}, F.col("source_file"), F.col("imported"), F.col("resolved_file"), number(F.col("line_start"))),
         *table_head(rows, key, 12, ("source_file", "resolved_file", "target_modules", "ambiguous"), NO_RELATED),
         table(related, key, 12, {c: F.col(c) for c in ("source_file", "resolved_file", "target_modules", "ambiguous")}, F.col("source_file"), F.col("resolved_file"), F.col("target_modules")),
-        _lines(rows, key, 14, F.lit(NO_DATA), kind=EMPTY), _lines(warned, F.col("key"), 14, F.concat(F.lit("- "), "note"), number(F.col("i"))),
+        lines(rows, key, 14, F.lit(NO_DATA), kind=EMPTY), lines(warned, F.col("key"), 14, F.concat(F.lit("- "), "note"), number(F.col("i"))),
     ]).withColumnRenamed("key", "slug")
 
 
