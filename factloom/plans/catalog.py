@@ -760,4 +760,4 @@ def markdown_index(t):
     return facts.markdown_table(made, "all", "page", ["n_nationkey", "n_name"]).select("n_nationkey", "n_name")
 
 
-from factloom.plans import context_catalog, overview_catalog, report_catalog, view_catalog  # noqa: E402, F401  register their queries here
+from factloom.plans import context_catalog, overview_catalog, report_catalog, result_catalog, view_catalog  # noqa: E402, F401  register their queries here
