@@ -50,14 +50,15 @@ def replayed(originals: DataFrame, ledger: DataFrame, key: list[str], path: str
     """key, content, same: each ledger row's document cut again, and whether that is what was recorded.
 
     ledger: key, path and cut, as ``reduced`` gave them. A recorded length that the
-    path's limit doesn't give cuts at that length; a document that is gone has no
-    content and isn't the same. Rows without a cut have the whole text and are the
-    same.
+    path's limit doesn't give cuts at that length, or not at all if it isn't below
+    the original's; a cut that its mark makes longer than the original is the
+    limit's own. A document that is gone has no content and isn't the same. Rows
+    without a cut have the whole text and are the same.
     """
     rows = ledger.select(*key, path, "cut").join(originals.select(*key, F.col(text).alias("_t")), key, "left")
     kept = F.col("cut.retained_chars")
     again = _cut(F.col("_t"), F.col(path))
-    content = F.when(F.col("cut").isNull() | (F.col("cut.original_chars") <= kept), F.col("_t")).when(F.length(again) == kept, again).otherwise(F.substring(again, F.lit(1), kept.cast("int")))
+    content = F.when(F.col("cut").isNull(), F.col("_t")).when(F.length(again) == kept, again).when(F.col("cut.original_chars") <= kept, F.col("_t")).otherwise(F.substring(again, F.lit(1), kept.cast("int")))
     rows = rows.withColumn("content", content)
     same = F.coalesce(F.when(F.col("cut").isNull(), F.col("content").isNotNull()).otherwise((F.length("_t") == F.col("cut.original_chars")) & (fingerprint(F.col("content")) == F.col("cut.fingerprint"))), F.lit(False))
     return rows.select(*key, "content", same.alias("same"))

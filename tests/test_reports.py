@@ -149,6 +149,14 @@ def test_cuts_replay_from_the_ledger(spark):
     assert {r["id"]: r["same"] for r in ledger.replayed(changed, table, ["id"]).collect()} == {1: False, 2: True, 3: True, 4: True, 5: False, 6: True}
 
 
+def test_cut_longer_than_the_original_is_replayed(spark):
+    docs = spark.createDataFrame([(n, "files/file-x.md", "z" * n) for n in (2500, 2501, 2512, 2513, 2514)], "id int, path string, text string")
+    made = ledger.reduced(docs)
+    again = {r["id"]: (r["content"], r["same"]) for r in ledger.replayed(docs, made.select("id", "path", "cut"), ["id"]).collect()}
+    assert again == {r["id"]: (r["content"], True) for r in made.collect()}
+    assert [len(again[n][0]) for n in sorted(again)] == [2500, 2513, 2513, 2513, 2513]
+
+
 def test_roots_give_names_of_their_own(spark):
     files = ["a/pyproject.toml", "a/util.py", "a/app.py", "a/pkg/__init__.py", "a/pkg/mod.py", "a/b/setup.py", "a/b/util.py", "a/b/app.py", "c/app.py", "top.py", "c/deep/top.py", "a/data.json"]
     table = spark.createDataFrame([(f,) for f in files], "path string")
