@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -107,13 +108,20 @@ def modules_of_page(modules: DataFrame, page: str) -> DataFrame:
     return modules.filter(F.exists("file_doc_paths", lambda x: x["doc_path"] == page))
 
 
-def function_index(entities: DataFrame, modules: DataFrame, pages: DataFrame) -> DataFrame:
-    """Functions and methods with a file and a name, their qualified name, page and modules. pages: source_file, doc_path."""
+def function_index(entities: DataFrame, modules: DataFrame, pages: DataFrame, of_names: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Functions and methods with a file and a name, their qualified name, page and modules. pages: source_file, doc_path.
+
+    of_names: columns made of a file's module names, instead of module_names. They
+    are worked out once per file, so that functions don't carry long lists.
+    """
+    of_names = of_names or {"module_names": lambda names: names}
     some = entities.filter(F.col("entity_type").isin("function", "method") & (F.coalesce("file", F.lit("")) != "") & (F.coalesce("name", F.lit("")) != ""))
-    rows = some.withColumnRenamed("file", "source_file").join(pages, "source_file", "left").join(related_modules(modules), "source_file", "left")
+    per_file = related_modules(modules).select("source_file", F.lit(True).alias("_some"), *[of(F.col("module_names")).alias(c) for c, of in of_names.items()])
+    rows = some.withColumnRenamed("file", "source_file").join(pages, "source_file", "left").join(per_file, "source_file", "left")
     qualified = F.concat_ws(".", F.nullif(F.col("container"), F.lit("")), F.col("name"))
     nothing = F.array().cast("array<string>")
-    return rows.select("name", qualified.alias("qualified_name"), "source_file", "doc_path", F.coalesce("module_names", nothing).alias("module_names"), int_or_zero(F.col("line_start")).alias("line_start"), "signature")
+    made = [F.when(F.col("_some"), F.col(c)).otherwise(of(nothing)).alias(c) for c, of in of_names.items()]
+    return rows.select("name", qualified.alias("qualified_name"), "source_file", "doc_path", *made, int_or_zero(F.col("line_start")).alias("line_start"), "signature")
 
 
 def index_text(text: Column, limit: int = 20_000) -> Column:
@@ -147,18 +155,29 @@ def file_records(files: DataFrame) -> DataFrame:
     )
 
 
-def function_records(functions: DataFrame) -> DataFrame:
-    """Search rows of a function index."""
+def shown_names(names: Column) -> Column:
+    """Module names as search rows show them."""
+    return F.array_join(names, ", ")
+
+
+def function_records(functions: DataFrame, module_name: Column | None = None) -> DataFrame:
+    """Search rows of a function index. module_name: what stands for the joined module_names, if the index has none."""
+    module_name = shown_names(F.col("module_names")) if module_name is None else module_name
     place = F.concat_ws(":", "source_file", F.col("line_start").cast("string"))
     return search.records(
-        functions, "function", entity_id=F.col("qualified_name"), title=F.col("name"), subtitle=place, module_name=F.array_join("module_names", ", "), path=F.col("source_file"),
+        functions, "function", entity_id=F.col("qualified_name"), title=F.col("name"), subtitle=place, module_name=module_name, path=F.col("source_file"),
         search_text=_words(F.col("qualified_name"), F.col("source_file"), F.col("signature")), type=F.lit("function"),
     )
 
 
-def function_link(functions: DataFrame) -> Column:
-    """Where a function is shown: on its file's page, else on its first module's."""
-    return F.coalesce(F.concat(F.lit("/file?path="), F.nullif(F.col("doc_path"), F.lit(""))), F.concat(F.lit("/module/"), F.get("module_names", F.lit(0))))
+def first_name(names: Column) -> Column:
+    return F.get(names, F.lit(0))
+
+
+def function_link(functions: DataFrame, first: Column | None = None) -> Column:
+    """Where a function is shown: on its file's page, else on its first module's. first: that module, if the index has no module_names."""
+    first = first_name(F.col("module_names")) if first is None else first
+    return F.coalesce(F.concat(F.lit("/file?path="), F.nullif(F.col("doc_path"), F.lit(""))), F.concat(F.lit("/module/"), first))
 
 
 def run_records(runs: DataFrame) -> DataFrame:

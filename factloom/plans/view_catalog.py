@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators import views
-from factloom.plans.catalog import Tables, joined, query
+from factloom.plans.catalog import Tables, query
 
 _STATUSES = ("generated", "skipped_cached", "failed_generation", "skipped_by_plan", "dry_run_planned")
 
@@ -101,7 +103,7 @@ functions as (select name, case when coalesce(container, '') = '' then name else
     coalesce(module_names, []) as module_names, line_start::bigint as line_start, signature from e left join files on file = source_file where entity_type in ('function', 'method') and coalesce(file, '') <> '' and coalesce(name, '') <> '')"""
 
 
-def _functions(t: Tables) -> DataFrame:
+def _functions(t: Tables, **of_names: Callable[[Column], Column]) -> DataFrame:
     p = F.col("p_partkey")
     entities = t.part.select(
         _pick(("function", "method", "class"), p % 3).alias("entity_type"), F.when(p % 11 == 0, "").otherwise(F.concat(F.lit("src/"), (p % 30).cast("string"), F.lit(".py"))).alias("file"),
@@ -110,13 +112,13 @@ def _functions(t: Tables) -> DataFrame:
     )
     n = F.col("id").cast("string")
     pages = t.spark.range(0, 30, 2).select(F.concat(F.lit("src/"), n, F.lit(".py")).alias("source_file"), F.concat(F.lit("files/"), n, F.lit(".md")).alias("doc_path"))
-    return views.function_index(entities, _modules(t), pages)
+    return views.function_index(entities, _modules(t), pages, of_names)
 
 
 @query(f"with {_FUNCTIONS_SQL} select name, qualified_name, source_file, doc_path, sha256(array_to_string(module_names, ',')) as module_names, line_start, signature, coalesce('/file?path=' || doc_path, '/module/' || module_names[1]) as link from functions")
 def function_index(t):
-    rows = _functions(t)
-    return rows.withColumn("link", views.function_link(rows)).withColumn("module_names", F.sha2(joined("module_names"), 256))
+    rows = _functions(t, module_names=lambda names: F.sha2(F.array_join(names, ","), 256), first=views.first_name)
+    return rows.withColumn("link", views.function_link(rows, F.col("first"))).drop("first")
 
 
 _SEARCH = "entity_kind, entity_id, title, subtitle, module_name, path, sha256(search_text) as search_text, verification_verdict, type, problem_type, role, severity, run_kind, run_id"

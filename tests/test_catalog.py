@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import slugs
+from factloom.operators import slugs, views
 from factloom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -57,6 +57,21 @@ def test_slug_collision_where_hashes_begin_alike(spark, tmp_path):
     assert unique.select("slug").distinct().count() == 5
 
 
+def test_module_names_of_a_file(spark):
+    entities = spark.createDataFrame([("function", f, n, None, 1, "s") for f, n in (("a", "x"), ("a", "y"), ("b", "z"))], "entity_type string, file string, name string, container string, line_start int, signature string")
+    modules = spark.createDataFrame([(f"m{i}", ["a"]) for i in (2, 1)], "name string, source_files array<string>")
+    pages = spark.createDataFrame([], "source_file string, doc_path string")
+    made = views.function_index(entities, modules, pages, {"n": F.size, "first": views.first_name})
+    assert sorted((r.name, r.n, r.first) for r in made.collect()) == [("x", 2, "m1"), ("y", 2, "m1"), ("z", 0, None)]
+    assert {r.name: r.module_names for r in views.function_index(entities, modules, pages).collect()} == {"x": ["m1", "m2"], "y": ["m1", "m2"], "z": []}
+
+
+@pytest.mark.parametrize("name", ["function_index"])
+def test_functions_carry_no_lists(spark, name):
+    plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" in plan and "array_join" not in plan[: plan.index("Join Left")]  # lists are joined below the joins, once per file
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_without_sql_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).collect()
