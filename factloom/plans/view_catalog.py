@@ -163,7 +163,8 @@ def search_files(t):
 
 @query(f"with {_FUNCTIONS_SQL}, s as ({_search_sql('functions', entity_kind=chr(39) + 'function' + chr(39), entity_id='qualified_name', title='name', subtitle='source_file || chr(58) || line_start', module_name='array_to_string(module_names, chr(44) || chr(32))', path='source_file', type=chr(39) + 'function' + chr(39), search_text='qualified_name || chr(32) || source_file || chr(32) || signature')}) select {_SEARCH.replace('module_name,', 'sha256(module_name) as module_name,')} from s")
 def search_functions(t):
-    return _hashed(views.function_records(_functions(t))).withColumn("module_name", F.sha2("module_name", 256))
+    functions = _functions(t, module_name=lambda names: F.sha2(views.shown_names(names), 256))
+    return _hashed(views.function_records(functions, F.col("module_name")))
 
 
 _RUNS_SQL = """runs as (select case when o_orderkey % 2 = 0 then 'generation' else 'verification' end as kind, 'run-' || o_orderkey as run_id, strftime(o_orderdate, '%Y-%m-%d') as generated_at, case when o_orderkey % 3 > 0 then 'history/' || o_orderkey || '.json' end as manifest_path,

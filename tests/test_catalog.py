@@ -66,7 +66,7 @@ def test_module_names_of_a_file(spark):
     assert {r.name: r.module_names for r in views.function_index(entities, modules, pages).collect()} == {"x": ["m1", "m2"], "y": ["m1", "m2"], "z": []}
 
 
-@pytest.mark.parametrize("name", ["function_index"])
+@pytest.mark.parametrize("name", ["function_index", "search_functions"])
 def test_functions_carry_no_lists(spark, name):
     plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_join" in plan and "array_join" not in plan[: plan.index("Join Left")]  # lists are joined below the joins, once per file
