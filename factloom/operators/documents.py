@@ -25,13 +25,35 @@ FILE_CATEGORIES = ("source_files", "test_files", "config_files", "doc_files", "o
 ENTITY_COLUMNS = ("name", "entity_type", "type", "file", "parent/container", "signature", "parameters", "return_annotation", "is_async", "exported", "docstring/jsdoc", "confidence")
 IMPORT_COLUMNS = ("source_file", "imported", "dependency_type", "resolved_file")
 
+#: How many key entities a module's page shows, by its role, and else.
+LIMITS, LIMIT = {"detailed": 30}, 15
 #: Kinds of lines: always there, only above lines that are always there, only without them.
 LINE, HEAD, EMPTY = 0, 1, 2
 
 
-def lines(rows: DataFrame, key: Column, section: int, text: Column, *by: Column, kind: int = LINE) -> DataFrame:
+def _parts(section: int, text: Column, *by: Column, kind: int = LINE) -> list[Column]:
     place = F.array(*[F.coalesce(b.cast("string"), F.lit("")) for b in by]) if by else F.array().cast("array<string>")
-    return rows.select(key.alias("key"), F.lit(section).alias("section"), place.alias("place"), F.lit(kind).alias("kind"), text.alias("line"))
+    return [F.lit(section).alias("section"), place.alias("place"), F.lit(kind).alias("kind"), text.alias("line")]
+
+
+def lines(rows: DataFrame, key: Column, section: int, text: Column, *by: Column, kind: int = LINE) -> DataFrame:
+    return rows.select(key.alias("key"), *_parts(section, text, *by, kind=kind))
+
+
+def said(section: int, text: Column | str, when: Column | None = None, kind: int = LINE) -> Column:
+    """A line, or several as one text, of a section without others of its kind; none unless ``when``."""
+    one = F.struct(*_parts(section, F.lit(text) if isinstance(text, str) else text, kind=kind))
+    return one if when is None else F.when(when, one)
+
+
+def gathered(rows: DataFrame, key: Column, *lines: Column) -> DataFrame:
+    """(key, l): all that a row says, by ``said``, as one row."""
+    return rows.select(key.alias("key"), F.filter(F.array(*lines), lambda x: x.isNotNull()).alias("l"))
+
+
+def text_of(*lines: Column | str) -> Column:
+    """Lines as one text; a NULL one is empty."""
+    return F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else F.coalesce(x, F.lit("")) for x in lines])
 
 
 def number(n: Column) -> Column:
@@ -53,14 +75,23 @@ def table(rows: DataFrame, key: Column, section: int, cells: dict[str, Column],
 
 def table_head(pages: DataFrame, key: Column, section: int, columns: tuple[str, ...], empty: str = NO_DATA) -> list[DataFrame]:
     """The head of a section's table, and what stands there without rows."""
-    head = "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |"
-    return [lines(pages, key, section, F.lit(head), F.lit(""), kind=HEAD), lines(pages, key, section, F.lit(empty), F.lit(""), kind=EMPTY)]
+    return [lines(pages, key, section, F.lit(_head(columns)), F.lit(""), kind=HEAD), lines(pages, key, section, F.lit(empty), F.lit(""), kind=EMPTY)]
+
+
+def _head(columns: tuple[str, ...]) -> str:
+    return "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |"
+
+
+def table_said(section: int, columns: tuple[str, ...], empty: str = NO_DATA) -> list[Column]:
+    """What ``table_head`` gives, for ``gathered``."""
+    return [said(section, _head(columns), kind=HEAD), said(section, empty, kind=EMPTY)]
 
 
 def assembled(parts: list[DataFrame]) -> DataFrame:
-    """(key, page) of the keys that have a line in section 0. One page is gathered at a time."""
+    """(key, page) of the keys that have a line in section 0. parts: lines, or what ``gathered`` gives. One page is gathered at a time."""
+    parts = [p if "l" in p.columns else p.select("key", F.array(F.struct("section", "place", "kind", "line")).alias("l")) for p in parts]
     rows = reduce(DataFrame.unionByName, parts)
-    whole = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("section", "place", "kind", "line"))).alias("l"))
+    whole = rows.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("l"))).alias("l"))
     full = F.array_distinct(F.transform(F.filter("l", lambda x: x["kind"] == LINE), lambda x: x["section"]))
     whole = whole.withColumn("full", full).filter(F.array_contains("full", 0))
     stays = lambda x: F.when(x["kind"] == LINE, F.lit(True)).otherwise(F.array_contains("full", x["section"]) == (x["kind"] == HEAD))
@@ -112,6 +143,12 @@ def _overview(role: Column) -> Column:
     return out.otherwise(lines(*other))
 
 
+def most_shown(role: Column, limits: dict[str, int] | None = None) -> Column:
+    """How many key entities the page of a module of this role shows."""
+    pairs = [F.lit(x) for pair in (limits or LIMITS).items() for x in pair]
+    return F.coalesce(F.element_at(F.create_map(*pairs), F.coalesce(F.nullif(role, F.lit("")), F.lit("unknown"))), F.lit(LIMIT))
+
+
 def module_pages(modules: DataFrame, entities: DataFrame, imports: DataFrame, related: DataFrame, file_slugs: DataFrame | None = None, limits: dict[str, int] | None = None) -> DataFrame:
     """(slug, page) of every module's page.
 
@@ -122,38 +159,37 @@ def module_pages(modules: DataFrame, entities: DataFrame, imports: DataFrame, re
     related: slug, source_file, resolved_file, target_modules, ambiguous; file_slugs:
     path, slug of files with a page, to which the table of key files links.
     """
-    limits = limits or {"detailed": 30}
     key, role = F.col("slug"), F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("unknown"))
-    most = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), role), F.lit(15))
+    most = most_shown(F.col("role"), limits)
     rows = modules.withColumns({"_role": role, "_most": most})
     role = F.col("_role")
     more = F.concat(F.lit("Показаны первые "), F.col("_most").cast("string"), F.lit(" сущностей. Полный список см. в [functions/function-index.md](../functions/function-index.md) и [files/index.md](../files/index.md)."))
     notes = F.array_sort(F.array_distinct(F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.when(role == "test", F.array(F.lit(TEST_NOTE))).otherwise(F.array().cast("array<string>")), F.coalesce("limitations", F.array().cast("array<string>")))))
     entity_heading = F.when(role == "detailed", "## Связанные сущности").otherwise("## Ключевые сущности")
-    heads = fixed(rows, key, {
+    heads = {
         0: [F.concat(F.lit("# Модуль: "), "name"), "", "## Тип", "", F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit(NO_DATA)), "", "## Роль страницы", "", role, "", "## Назначение", "", PURPOSE, "", "## Навигация", ""],
         1: ["- [Индекс функций](../functions/function-index.md)", "- [Индекс файлов](../files/index.md)", "", "## Структурная сводка", ""],
         3: ["", "## Границы ответственности", "", *[F.concat(F.lit(f"- `{c}`: "), _listed(F.col(c))) for c in FILE_CATEGORIES], "", "## Ключевые файлы", ""],
         5: ["", entity_heading, ""], 7: [""], 9: ["## Зависимости", ""], 11: ["", "## Связи с другими модулями", ""], 13: ["", "## Предупреждения и ограничения", ""],
         15: ["", "## Что требует ручного уточнения", "", *[f"- {x}" for x in MANUAL], ""],
-    })
-    overview = rows.select(key.alias("key"), F.posexplode(_overview(role)).alias("i", "line"))
-    overview = lines(overview, F.col("key"), 2, F.col("line"), number(F.col("i")))
+    }
     unpivoted = rows.select(key.alias("key"), F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(c).alias("category"), F.col(c).alias("files")) for i, c in enumerate(FILE_CATEGORIES)])))
     unpivoted = unpivoted.select("key", "c", "category", F.posexplode("files").alias("i", "file"))
     if file_slugs is not None:
         unpivoted = unpivoted.join(file_slugs.select(F.col("path").alias("file"), F.col("slug").alias("_s")), "file", "left")
         unpivoted = unpivoted.withColumn("file", F.when(F.col("_s").isNotNull(), F.concat(F.lit("["), "file", F.lit("](../files/"), "_s", F.lit(".md)"))).otherwise(F.col("file")))
-    cut = lines(rows.filter(F.col("entity_count") > F.col("_most")), key, 8, F.concat(more, F.lit("\n")))
-    warned = rows.select(key.alias("key"), F.posexplode(notes).alias("i", "note"))
+    overview = F.array_join(F.transform(_overview(role), lambda x: F.coalesce(x, F.lit(""))), "\n")
+    of_related = ("source_file", "resolved_file", "target_modules", "ambiguous")
+    whole = gathered(
+        rows, key, *[said(i, text_of(*texts)) for i, texts in heads.items()], said(2, overview), *table_said(4, ("category", "file")), *table_said(6, ENTITY_COLUMNS), said(8, F.concat(more, F.lit("\n")), F.col("entity_count") > F.col("_most")),
+        *table_said(10, IMPORT_COLUMNS), *table_said(12, of_related, NO_RELATED), said(14, NO_DATA, kind=EMPTY), said(14, F.array_join(F.transform(notes, lambda x: F.coalesce(F.concat(F.lit("- "), x), F.lit(""))), "\n"), F.size(notes) > 0),
+    )
     shown = entities.join(rows.select("slug", "_most"), "slug").filter(F.col("rank") <= F.col("_most"))
     return assembled([
-        heads, overview, *table_head(rows, key, 4, ("category", "file")), table(unpivoted, F.col("key"), 4, {"category": F.col("category"), "file": F.col("file")}, F.col("c"), number(F.col("i"))),
-        *table_head(rows, key, 6, ENTITY_COLUMNS), table(shown, key, 6, {c: F.col(f"`{c}`") for c in ENTITY_COLUMNS}, number(F.col("rank"))), cut,
-        *table_head(rows, key, 10, IMPORT_COLUMNS), table(imports, key, 10, {c: F.col(c) for c in IMPORT_COLUMNS}, F.col("source_file"), F.col("imported"), F.col("resolved_file"), number(F.col("line_start"))),
-        *table_head(rows, key, 12, ("source_file", "resolved_file", "target_modules", "ambiguous"), NO_RELATED),
-        table(related, key, 12, {c: F.col(c) for c in ("source_file", "resolved_file", "target_modules", "ambiguous")}, F.col("source_file"), F.col("resolved_file"), F.col("target_modules")),
-        lines(rows, key, 14, F.lit(NO_DATA), kind=EMPTY), lines(warned, F.col("key"), 14, F.concat(F.lit("- "), "note"), number(F.col("i"))),
+        whole, table(unpivoted, F.col("key"), 4, {"category": F.col("category"), "file": F.col("file")}, F.col("c"), number(F.col("i"))),
+        table(shown, key, 6, {c: F.col(f"`{c}`") for c in ENTITY_COLUMNS}, number(F.col("rank"))),
+        table(imports, key, 10, {c: F.col(c) for c in IMPORT_COLUMNS}, F.col("source_file"), F.col("imported"), F.col("resolved_file"), number(F.col("line_start"))),
+        table(related, key, 12, {c: F.col(c) for c in of_related}, F.col("source_file"), F.col("resolved_file"), F.col("target_modules")),
     ]).withColumnRenamed("key", "slug")
 
 

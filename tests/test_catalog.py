@@ -72,6 +72,11 @@ def test_functions_carry_no_lists(spark, name):
     assert "array_join" in plan and "array_join" not in plan[: plan.index("Join Left")]  # lists are joined below the joins, once per file
 
 
+def test_entities_are_ranked_before_they_meet_modules(spark):
+    plan = catalog.QUERIES["module_pages"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(file#" in plan and "windowspecdefinition(slug#" not in plan  # a join before would pair every module with all entities of its file
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_without_sql_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).collect()
