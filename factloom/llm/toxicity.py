@@ -15,8 +15,9 @@ hold.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,25 @@ def features_of(word: str) -> list[str]:
     return [word, *[f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n]]
 
 
+class Known(dict):
+    """The numbers of words' features, of some 500,000 words at most; a word that isn't there is looked up when it is asked for."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number = number
+        self.starts = {f[:4] for f in number} | {f[1:5] for f in number if f[0] == "^"}  # words that begin otherwise have no feature
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        begins = word.strip(TRIM)[:4] in self.starts
+        self[word] = out = tuple([t for t in map(self.number.get, features_of(word)) if t is not None]) if begins else ()
+        return out
+
+    def of(self, found: Iterable[str]) -> Iterator[int]:
+        return chain.from_iterable(filter(None, map(self.__getitem__, found)))
+
+
 @dataclass
 class Index:
     """Examples as sparse unit vectors in blocks of ``block`` rows; everything is bounded by examples and features."""
@@ -56,23 +76,17 @@ class Index:
     visited: int = 0  # blocks, of all queries so far
     base: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0]), np.array([0.0])))
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    known: Known = field(init=False)
     begins: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # the examples' own features and weights, row by row
     held: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     parts: np.ndarray = field(default_factory=lambda: np.empty(0))
 
+    def __post_init__(self) -> None:
+        self.known = Known(self.terms)
+
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers and unit TF-IDF weights of a whole text."""
-        known, out = self.known, []
-        for w in text.lower().split():
-            got = known.get(w)
-            if got is None:
-                if len(known) > 500_000:
-                    known.clear()
-                known[w] = got = tuple(t for f in features_of(w) if (t := self.terms.get(f)) is not None)
-            if got:
-                out += got
-        return self.weigh(Counter(out))
+        return self.weigh(Counter(self.known.of(text.lower().split())))
 
     def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.fromiter(sorted(counts), np.int64, len(counts))
@@ -83,15 +97,15 @@ class Index:
         """Rows and cosines of the blocks' examples with a feature in common."""
         self.visited += len(blocks)
         lo, hi = self.pointer[terms[:, None], blocks], self.pointer[terms[:, None], blocks + 1]
-        n = (hi - lo).ravel()
-        at = np.repeat(lo.ravel(), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        w = np.repeat(np.repeat(weights, len(blocks)), n)
-        place = np.zeros(self.peak.shape[1], np.int64)
-        place[blocks] = np.arange(len(blocks))
-        rows = self.rows[at]
-        sums = np.bincount(place[rows // self.block] * self.block + rows % self.block, w * self.weights[at], len(blocks) * self.block)
+        n = hi - lo
+        ends = np.cumsum(n).reshape(n.shape)
+        at = np.repeat((lo - ends + n).ravel(), n.ravel())
+        at += np.arange(len(at))
+        w = np.repeat(weights, n.sum(axis=1))
+        w *= self.weights[at]
+        sums = np.bincount(self.rows[at], w)
         hit = np.flatnonzero(sums)
-        return blocks[hit // self.block] * self.block + hit % self.block, sums[hit]
+        return hit, sums[hit]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, first: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a feature in common, ties by row."""
@@ -104,7 +118,11 @@ class Index:
         if len(more):
             others, far = self._cosines(more, terms, weights)
             rows, sims = np.concatenate((rows, others)), np.concatenate((sims, far))
-        keep = np.lexsort((rows, -np.round(sims, 12)))[: self.k]
+        near = np.round(sims, 12)
+        if len(near) > self.k:
+            some = np.flatnonzero(near >= np.partition(near, len(near) - self.k)[len(near) - self.k])  # the k nearest and ties of the last
+            rows, sims, near = rows[some], sims[some], near[some]
+        keep = np.lexsort((rows, -near))[: self.k]
         return rows[keep], sims[keep]
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
@@ -188,18 +206,11 @@ def _document_counts(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(number) + 1, np.int64)
-        known: dict[str, tuple[int, ...]] = {}
+        known = Known(number)
         for batch in batches:
             held[-1] += batch.num_rows
             for text in batch.column(0).to_pylist():
-                found: set[int] = set()
-                for w in set(text.lower().split()) if text else ():
-                    got = known.get(w)
-                    if got is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[w] = got = tuple(t for f in features_of(w) if (t := number.get(f)) is not None)
-                    found.update(got)
+                found = set(known.of(set(text.lower().split()))) if text else ()
                 held[list(found)] += 1
         used = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used])], ["t", "n"])

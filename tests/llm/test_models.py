@@ -290,3 +290,22 @@ def test_integral_image_sums():
     a, b = frames[t : t + w // 2, y : y + h].sum(), frames[t + w // 2 : t + w, y : y + h].sum()
     code = int(audio.GRAY[np.digitize(np.log((1e-3 + a) / (1e-3 + b)), audio.EDGES)])
     assert int(prints[t]) >> 2 * (15 - 3) & 3 == code and kind == 2
+
+
+def test_known_words_have_all_their_features_and_no_others():
+    number = {f: i for i, f in enumerate(["^abcd", "^^abc", "^abc", "abc", "^toxic", "toxi", "^hate"])}
+    known = toxicity.Known(number)
+    for word in ("abcdef", "(abcd)", "^abcdef", "^abc", "abc", "toxic", "toxical", "toxi", "hate", "haters!", "...", "filler", "ab"):
+        assert known[word] == tuple(number[f] for f in toxicity.features_of(word) if f in number), word
+    assert list(known.of(["toxi", "filler", "toxi"])) == [5, 5] and "filler" in known
+
+
+def test_ties_of_the_last_neighbour_go_to_the_first_rows():
+    examples = [(i, i % 2, {0: 1, 1: 1} if i % 3 else {0: 1}) for i in range(90)]
+    index = toxicity.build_index(examples, ["a", "b"], np.array([9.0, 9.0]), 90, {0: 1.0, 1: 1.0}, block=4, k=7)
+    for counts in ({0: 1}, {1: 2}, {0: 1, 1: 1}):
+        t, w = index.weigh(counts)
+        cosines = np.array([(w * [index.weigh(examples[i][2])[1][list(index.weigh(examples[i][2])[0]).index(x)] if x in examples[i][2] else 0.0 for x in t]).sum() for i in index.ids])
+        order = np.lexsort((np.arange(len(cosines)), -np.round(cosines, 12)))[:7]
+        rows, sims = index.nearest(t, w)
+        assert rows.tolist() == order.tolist() and np.allclose(sims, cosines[order])
