@@ -8,7 +8,8 @@ outside it is taken as its shape (letters, digits, marks, how long), and shapes
 vocabulary words too. A word's vector is its context vector, centred and of length
 one, beside its index vector. A document is pooled: the mean over its words, the
 mean over its different words, how many there are, how many differ and how often
-one is drawn or follows twice. A network
+one is drawn or follows twice. Texts are split and their words numbered some thousands
+at a time, by Arrow: a word is looked up once for all its places among them. A network
 with one hidden layer, in numpy, learns from the sample; a temperature, fitted to
 labelled rows that the network hasn't seen, makes its outputs probabilities.
 """
@@ -16,19 +17,23 @@ labelled rows that the network hasn't seen, makes its outputs probabilities.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch
 
-WORDS = re.compile(r"\w+|[^\w\s]")
-#: Entries of an index vector that aren't 0; neighbours on either side; characters of a text that are split at once.
-ENTRIES, REACH, SLICE = 4, 2, 1_000_000
+WORDS, SPACE, NOT_WORD = re.compile(r"\w+|[^\w\s]"), re.compile(r"\s"), re.compile(r"[^\w ]")
+#: Bytes that are no marks; the others are looked at one by one.
+PLAIN = b"abcdefghijklmnopqrstuvwxyz0123456789_ "
+#: Entries of an index vector that aren't 0; neighbours on either side; characters of a text that are split at once, and of texts that are numbered at once.
+ENTRIES, REACH, SLICE, BUNCH = 4, 2, 1_000_000, 8_000_000
 
 
 def shape(word: str) -> str:
@@ -37,51 +42,116 @@ def shape(word: str) -> str:
     return f"{kind} {min(len(word), 12) if len(word) <= 30 else 30}"
 
 
-def index_entries(word: str, size: int) -> tuple[list[int], list[int]]:
-    """Where a word's index vector isn't 0, and what it is there; from its hash alone."""
+def word_hash(word: str) -> int:
     import xxhash
 
-    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 12)
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 12)
+
+
+def index_entries(word: str, size: int) -> tuple[list[int], list[int]]:
+    """Where a word's index vector isn't 0, and what it is there; from its hash alone."""
+    h = word_hash(word)
     return [(h >> 12 * i) % size for i in range(ENTRIES)], [1 if h >> 48 + i & 1 else -1 for i in range(ENTRIES)]
 
 
+def index_vectors(hashes: Iterable[int], size: int) -> np.ndarray:
+    """The index vectors of words with these hashes, as rows; entries that meet in one place add up."""
+    h = np.array(hashes, np.uint64)
+    out, rows = np.zeros((len(h), size), np.int8), np.arange(len(h))
+    for i in range(ENTRIES):
+        out[rows, ((h >> np.uint64(12 * i)) % np.uint64(size)).astype(np.int64)] += ((h >> np.uint64(48 + i) & np.uint64(1)).astype(np.int8) * 2 - 1).astype(np.int8)
+    return out
+
+
 class _Known(dict):
-    """Numbers of the words met, from 0: the vocabulary, its shapes first, then the others as they come. ``as_known`` has the vocabulary number that stands for each."""
+    """Numbers of the words met, from 0: the vocabulary, its shapes first, then the others as they come. ``as_known`` has the vocabulary number that stands for each, ``places`` the hash that its index vector follows from."""
 
     def __init__(self, vocabulary: list[str], size: int):
         self.clear()
         self.update({w: i for i, w in enumerate(vocabulary)})
         self.vocabulary, self.size = vocabulary, size
-        self.as_known = list(range(len(vocabulary)))
-        entries = [index_entries(w, size) for w in vocabulary]
-        self.places, self.signs = [p for p, _ in entries], [s for _, s in entries]
-
-    def __missing__(self, word: str) -> int:
-        places, signs = index_entries(word, self.size)
-        self.places.append(places)
-        self.signs.append(signs)
-        self.as_known.append(self.get(shape(word), 0))
-        self[word] = n = len(self)
-        return n
+        self.as_known, self.places = array("q", range(len(vocabulary))), array("Q", map(word_hash, vocabulary))
+
+    def meet(self, words: list[str]) -> np.ndarray:
+        """The numbers of words that all differ."""
+        new = [w for w in words if w not in self]
+        self.places.extend(map(word_hash, new))
+        self.as_known.extend([self.get(shape(w), 0) for w in new])
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def trim(self, most: int = 300_000) -> None:
         if len(self) > most:
             self.__init__(self.vocabulary, self.size)
 
 
-def numbered(text: str, known: _Known) -> np.ndarray:
-    """The words of a whole text as numbers, slice by slice, cut between words."""
+def spaced(text: str) -> Iterator[str]:
+    """A whole text in lower case with blanks between its words and no other white space, slice by slice, cut between words."""
     text = text.lower()
-    out, at = [], 0
+    at = 0
     while at < len(text):
         end = len(text)
         if end - at > SLICE:
-            gap = re.compile(r"\s").search(text, at + SLICE)
+            gap = SPACE.search(text, at + SLICE)
             end = gap.start() if gap else end
-        words = WORDS.findall(text, at, end)
-        out.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        at = end
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+        part, at = text[at:end], end
+        rest = part.encode("utf-8", "surrogatepass").translate(None, PLAIN).decode("utf-8", "surrogatepass")
+        marks = list(filter(NOT_WORD.match, set(rest)))
+        if len(marks) > 200:  # each costs a pass over the slice
+            part = " ".join(WORDS.findall(part))
+        else:
+            for m in marks:
+                part = part.replace(m, " " if m.isspace() else f" {m} ")
+        yield part
+
+
+def numbered_all(texts: list[str], known: _Known) -> tuple[np.ndarray, np.ndarray]:
+    """The words of whole texts as numbers, one text after the other, and how many words each text has."""
+    out, lengths = [], np.zeros(len(texts), np.int64)
+    parts, owners, n = [], [], 0
+
+    def work() -> None:
+        split = pc.split_pattern(pa.array(parts, pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        different, codes = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        nothing = different.index("") if "" in different else len(different)  # what is between two blanks in a row
+        real = codes != nothing
+        before = np.append(0, np.cumsum(real))[split.offsets.to_numpy()]
+        np.add.at(lengths, owners, np.diff(before))
+        codes = codes[real]
+        out.append(known.meet(different[:nothing] + different[nothing + 1 :])[codes - (codes > nothing)])
+        parts.clear()
+        owners.clear()
+
+    for i, text in enumerate(texts):
+        for part in spaced(text):
+            parts.append(part)
+            owners.append(i)
+            n += len(part)
+            if n >= BUNCH:
+                work()
+                n = 0
+    if parts:
+        work()
+    return np.concatenate(out) if out else np.empty(0, np.int64), lengths
+
+
+def numbered(text: str, known: _Known) -> np.ndarray:
+    """The words of a whole text as numbers."""
+    return numbered_all([text], known)[0]
+
+
+def bunches(texts: pa.Array) -> Iterator[list[str]]:
+    """Whole texts, NULL as empty, some thousands at a time; a long one alone."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text.as_py() or "")
+        n += len(held[-1])
+        if n >= BUNCH:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 @dataclass
@@ -95,18 +165,23 @@ class Model:
     temperature: float = 1.0
     base: float = 0.5  # of texts without a word, and of all if there was nothing to learn
 
-    def pooled(self, texts: list[np.ndarray]) -> np.ndarray:
-        """A row of features for each document; texts: vocabulary numbers."""
-        width = self.vectors.shape[1]
-        out = np.zeros((len(texts), 2 * width + 5), np.float32)
-        for i, t in enumerate(texts):
-            if len(t):
-                words, n = np.unique(t, return_counts=True)
-                v = self.vectors[words]
-                out[i, :width] = n.astype(np.float32) @ v / len(t)
-                out[i, width : 2 * width] = v.mean(axis=0)
-                even = float((n / len(t)) @ (n / len(t)))  # of two words drawn, how often they are one
-                out[i, 2 * width :] = np.log1p(len(t)), np.log1p(len(words)), len(words) / len(t), even, np.count_nonzero(t[1:] == t[:-1]) / len(t)
+    def pooled(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A row of features for each document; words: vocabulary numbers, one document after the other."""
+        width, most = self.vectors.shape[1], len(self.vectors)
+        out = np.zeros((len(lengths), 2 * width + 5), np.float32)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        pairs = np.sort(owner * most + words)
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.empty(0, np.int64)
+        n, of, different = np.diff(np.append(first, len(pairs))), pairs[first] // most, pairs[first] % most
+        ends = np.searchsorted(of, np.arange(len(lengths) + 1))
+        share = n / lengths[of]
+        even = np.bincount(of, share * share, len(lengths))  # of two words drawn, how often they are one
+        twice = np.bincount(owner[1:][(words[1:] == words[:-1]) & (owner[1:] == owner[:-1])], minlength=len(lengths))
+        for i in np.flatnonzero(lengths):
+            a, b = ends[i], ends[i + 1]
+            means = np.stack((share[a:b], np.full(b - a, 1 / (b - a)))).astype(np.float32)
+            out[i, : 2 * width] = (means @ self.vectors.take(different[a:b], axis=0)).ravel()
+            out[i, 2 * width :] = np.log1p(lengths[i]), np.log1p(b - a), (b - a) / lengths[i], even[i], twice[i] / lengths[i]
         return out
 
     def logits(self, features: np.ndarray) -> np.ndarray:
@@ -172,7 +247,7 @@ def _vocabulary(texts: DataFrame, least: int) -> list[str]:
         held: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                held.update(set(WORDS.findall(text.as_py().lower())))
+                held.update({w for part in spaced(text.as_py()) for w in part.split()})
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
 
     counts = texts.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
@@ -188,31 +263,27 @@ def _contexts(docs: DataFrame, vocabulary: list[str], size: int) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         known = _Known(vocabulary, size)
-        sums = np.zeros(len(vocabulary) * size, np.int64)
-
-        def add(rows: list[np.ndarray]) -> None:
-            gap = np.full(REACH, -1, np.int64)
-            ids = np.concatenate([x for r in rows for x in (r, gap)])
-            own = np.append(np.array(known.as_known, np.int64), -1)[ids]
-            places, signs = np.array([*known.places, [0] * ENTRIES], np.int32), np.array([*known.signs, [0] * ENTRIES], np.int8)
-            for d in range(1, REACH + 1):
-                for a, b in ((ids[:-d], own[d:]), (ids[d:], own[:-d])):
-                    keep = (a >= 0) & (b >= 0)
-                    a, b = a[keep], b[keep] * size
-                    sums[:] += np.bincount((places[a] + b[:, None]).ravel(), signs[a].ravel(), len(sums)).astype(np.int64)
-
-        held, n = [], 0
+        table = np.zeros((len(vocabulary), size), np.int64)
+
+        def add(ids: np.ndarray, lengths: np.ndarray) -> None:
+            at = np.arange(len(ids)) + REACH * (np.repeat(np.arange(len(lengths)), lengths) + 1)
+            padded = np.full(len(ids) + REACH * (len(lengths) + 1), len(known))  # between texts stands a word whose vector is 0
+            padded[at] = ids
+            vectors = np.concatenate((index_vectors(known.places, size), np.zeros((1, size), np.int8)))
+            ordered = np.sort(np.array(known.as_known, np.int64)[ids] << 32 | at)  # places of a word stand together
+            for b in range(0, len(ordered), 8192):
+                word, place = ordered[b : b + 8192] >> 32, ordered[b : b + 8192] & 0xFFFFFFFF
+                near = np.zeros((len(place), size), np.int8)
+                for d in range(1, REACH + 1):
+                    near += vectors.take(padded[place - d], axis=0)
+                    near += vectors.take(padded[place + d], axis=0)
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                table[word[first]] += np.add.reduceat(near, first, axis=0, dtype=np.int32)
+
         for batch in batches:
-            for text in batch.column(0):
-                held.append(numbered(text.as_py() or "", known))
-                n += len(held[-1])
-                if n >= 2_000_000:
-                    add(held)
-                    held, n = [], 0
-                    known.trim()
-        if n:
-            add(held)
-        table = sums.reshape(-1, size)
+            for texts in bunches(batch.column(0)):
+                add(*numbered_all(texts, known))
+                known.trim()
         used = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(table[used, j]) for j in range(size)]], ["w", *[f"v{j}" for j in range(size)]])
 
@@ -229,16 +300,14 @@ def word_vectors(contexts: np.ndarray, vocabulary: list[str], size: int) -> np.n
     """Context vectors, each of length one before and after the mean of all is taken out, beside index vectors of length one."""
 
     def unit(v: np.ndarray) -> np.ndarray:
-        return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
+        v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
+        return v
 
-    own = np.zeros((len(vocabulary), size))
-    for i, w in enumerate(vocabulary):
-        np.add.at(own[i], *index_entries(w, size))
-    learnt = unit(contexts)
+    learnt = unit(contexts.astype(np.float32))
     seen = contexts.any(axis=1)
     if seen.any():
-        learnt[seen] = unit(learnt[seen] - learnt[seen].mean(axis=0))
-    return np.concatenate((learnt, unit(own)), axis=1).astype(np.float32)
+        learnt[seen] = unit(learnt[seen] - learnt[seen].mean(axis=0, dtype=np.float64).astype(np.float32))
+    return np.concatenate((learnt, unit(index_vectors([word_hash(w) for w in vocabulary], size).astype(np.float32))), axis=1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 8192, size: int = 64, least: int = 8, held_out: int = 1) -> Model:
@@ -268,15 +337,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 8192, siz
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Known(shared.value.vocabulary, size)
         for batch in batches:
-            got = pooled_of(batch.column(2), shared.value, words)[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got.astype(np.float64).tolist(), pa.list_(pa.float64()))], ["quality", "h", "x"])
+            for at, got, _ in pooled_of(batch.column(2), shared.value, words):
+                x = pa.ListArray.from_arrays(np.arange(0, got.size + 1, got.shape[1], dtype=np.int32), pa.array(got.ravel()))
+                yield pa.RecordBatch.from_arrays([c.slice(at, len(got)) for c in batch.columns[:2]] + [x], ["quality", "h", "x"])
 
-    rows = texts.mapInArrow(pool, "quality int, h long, x array<double>").collect()  # bounded by sample_per_class
+    rows = texts.mapInArrow(pool, "quality int, h long, x array<float>").toArrow()  # bounded by sample_per_class
     shared.destroy()
-    rows.sort(key=lambda r: (r["h"], r["quality"], r["x"]))
-    if len({r["quality"] for r in rows}) < 2:
+    y, h = rows["quality"].to_numpy().astype(float), rows["h"].to_numpy()
+    if len(set(y)) < 2:
         return model
-    x, y, h = np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows], float), np.array([r["h"] for r in rows])
+    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1).astype(float)
+    order = np.lexsort((*x.T[::-1], y, h))
+    x, y, h = x[order], y[order], h[order]
     found = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.where(y > 0, total[1] / found[1], total[0] / found[0])
     learn = h % 5 != 0
@@ -289,12 +361,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 8192, siz
     return model
 
 
-def pooled_of(texts: pa.Array, model: Model, words: _Known) -> tuple[np.ndarray, np.ndarray]:
-    """Features of whole texts, and which have no word."""
-    words.trim()
-    numbers = [numbered(t.as_py() or "", words) for t in texts]
-    stands_for = np.array(words.as_known, np.int64)
-    return model.pooled([stands_for[t] for t in numbers]), np.array([len(t) == 0 for t in numbers], bool)
+def pooled_of(texts: pa.Array, model: Model, words: _Known) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Features of whole texts, and which have no word; some thousands at a time, each time with the number of the first."""
+    at = 0
+    for held in bunches(texts):
+        words.trim()
+        numbers, lengths = numbered_all(held, words)
+        yield at, model.pooled(np.array(words.as_known, np.int64)[numbers], lengths), lengths == 0
+        at += len(held)
 
 
 def score(docs: DataFrame, model: Model, *, held_out: int = 1, cutoff: float = 0.5) -> DataFrame:
@@ -313,9 +387,8 @@ def score(docs: DataFrame, model: Model, *, held_out: int = 1, cutoff: float = 0
         model = shared.value
         words = _Known(model.vocabulary, model.size)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.probabilities(*pooled_of(part.column(1), model, words)))], ["doc_id", "score"])
+            for at, features, empty in pooled_of(batch.column(1), model, words):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(features)), pa.array(model.probabilities(features, empty))], ["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == held_out, F.lit(False))

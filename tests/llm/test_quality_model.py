@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from llm_cases import documents, empty, prose
 
 from factloom.llm import quality_model as q
@@ -34,6 +35,56 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     assert q.numbered(text, q._Known(["w1", "w2"], 8)).tolist() == whole
 
 
+def test_words_are_those_of_the_pattern():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["", " \n", "a", *["ab".join(every[at : at + 100]) for at in range(0, 20_000, 100)], "x".join(every), "One, two--three  (four)\t\u2028_five_6 \u0130I\u0307 \x1cend."]
+    for text in texts:
+        assert " ".join(q.spaced(text)).split() == q.WORDS.findall(text.lower())
+    known = q._Known([], 8)
+    numbers, lengths = q.numbered_all(texts, known)
+    words = list(known)
+    assert [words[n] for n in numbers] == [w for t in texts for w in q.WORDS.findall(t.lower())]
+    assert lengths.tolist() == [len(q.WORDS.findall(t.lower())) for t in texts]
+
+
+def test_texts_are_numbered_alike_in_any_bunch(monkeypatch):
+    texts = [prose(5, 400), "", "a " * 50, prose(6, 90)]
+    whole = [x.tolist() for x in q.numbered_all(texts, q._Known(["w1"], 8))]
+    monkeypatch.setattr(q, "SLICE", 11)
+    monkeypatch.setattr(q, "BUNCH", 40)
+    assert [x.tolist() for x in q.numbered_all(texts, q._Known(["w1"], 8))] == whole
+    assert [t for held in q.bunches(pa.array([*texts, None])) for t in held] == [*texts, ""]
+
+
+def test_index_vectors_are_the_entries():
+    words = [f"w{i}" for i in range(300)]
+    expected = np.zeros((300, 16), np.int8)
+    for row, word in zip(expected, words, strict=True):
+        np.add.at(row, *q.index_entries(word, 16))
+    assert np.array_equal(q.index_vectors([q.word_hash(w) for w in words], 16), expected)
+
+
+def test_pooled_by_hand():
+    model = q.Model(["a", "b", "c"], 8, np.array([[1, 0], [0, 1], [2, 2]], np.float32))
+    got = model.pooled(np.array([0, 0, 1, 1, 2]), np.array([3, 0, 2]))
+    expected = [[2 / 3, 1 / 3, 0.5, 0.5, np.log(4), np.log(3), 2 / 3, 5 / 9, 1 / 3], [0] * 9, [1, 1.5, 1, 1.5, np.log(3), np.log(3), 1, 0.5, 0]]
+    assert np.allclose(got, expected)
+
+
+def test_a_word_is_looked_up_once_for_all_its_places():
+    """Each place was a lookup, when the query was over its budget of CPU seconds."""
+    looked_up = Counter()
+
+    class Counted(q._Known):
+        def __getitem__(self, word):
+            looked_up[word] += 1
+            return super().__getitem__(word)
+
+    text = prose(5, 4000, 12)
+    assert len(q.numbered(text, Counted(["w1", "w2"], 8))) == len(q.WORDS.findall(text))
+    assert set(looked_up) == set(q.WORDS.findall(text.lower())) and set(looked_up.values()) == {1}
+
+
 def test_words_used_alike_get_like_vectors(spark):
     r = np.random.default_rng(1)
     rows = [(i, " ".join(f"{r.choice(['cat', 'dog'])} eats {r.choice(['fish', 'meat'])} . rain falls on {r.choice(['roads', 'roofs'])} ." for _ in range(30))) for i in range(10)]
